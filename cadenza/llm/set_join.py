@@ -24,8 +24,10 @@ SKETCH_BITS = 22
 #: Bits of the filter of classes to be verified: 4 MB. A fuller one lets more sets by, with the same result.
 FILTER_BITS = 25
 #: Widths of the rounds before the last one, and rows of a list's block in the last one.
-WIDTHS, BLOCK, TILE = (16, 64), 2048, 256
-POSTING = "token long, n int, pos int, sid long"
+WIDTHS, BLOCK, TILE = (2, 16, 128), 2048, 256
+#: at holds a set's size (upper half) and the token's position in its order (lower half).
+POSTING = "token long, at long, sid long"
+LOW = (1 << 32) - 1
 
 
 def class_id(s: np.ndarray) -> int:
@@ -33,6 +35,17 @@ def class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def packed(s: np.ndarray) -> bytes:
+    """A set as the leading 48 bits of each member."""
+    return (s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(members: bytes) -> np.ndarray:
+    out = np.zeros((len(members) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(members, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 class SetJoin:
     """Sets of k-word shingles; two link when den * intersection >= num * union."""
 
@@ -77,7 +90,7 @@ class SetJoin:
         return merged_table(texts.select(texts.columns[1]), count, cells, "uint32", "add")
 
     def postings(self, texts: DataFrame, rarity: np.ndarray) -> DataFrame:
-        """Each class under its rarest shingles: (token, n, pos, sid). A batch lists a class once."""
+        """Each class under its rarest shingles. A batch lists a class once."""
         shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
         def run(batches):
@@ -91,7 +104,7 @@ class SetJoin:
                     n = len(s)
                     length = n - -(-self.num * n // self.den) + 1
                     order = np.argsort((often[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U(32)) | (s & U(0xFFFFFFFF)), kind="stable")[:length]
-                    out.append((s[order].view(np.int64), np.full(length, n, np.int32), np.arange(length, dtype=np.int32), np.full(length, sid, np.int64)))
+                    out.append((s[order].view(np.int64), (n << 32) + np.arange(length), np.full(length, sid, np.int64)))
                     if len(out) == 2000:
                         yield self._rows(out)
                         out = []
@@ -102,10 +115,10 @@ class SetJoin:
 
     @staticmethod
     def _rows(parts: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["token", "n", "pos", "sid"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["token", "at", "sid"])
 
-    def near_pairs(self, lists: DataFrame, width: int, order: list[str]) -> DataFrame:
-        """Pairs (a, b) that stand at most `width` apart in a list and may link, of different components."""
+    def near_pairs(self, lists: DataFrame, width: int) -> DataFrame:
+        """Pairs (a, b) that stand at most `width` apart in a list, in the order of a hash, and may link, of different components."""
 
         def run(batches):
             tail = None
@@ -113,7 +126,7 @@ class SetJoin:
                 cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
                 if tail is not None:
                     cols = [np.concatenate([t, c]) for t, c in zip(tail, cols, strict=True)]
-                token, n, pos, sid, comp = cols
+                token, n, pos, sid, comp = cols[0], cols[1] >> 32, cols[1] & LOW, cols[2], cols[3]
                 old = 0 if tail is None else len(tail[0])
                 found = []
                 for d in range(1, min(width, len(token) - 1) + 1):
@@ -128,9 +141,9 @@ class SetJoin:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.sort(pairs, 1), axis=0).T], names=["a", "b"])
 
         n_tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        columns = ["token", "n", "pos", "sid", "comp"]
-        dealt = lists.select(*columns, *(c for c in order if c not in columns)).repartition(n_tasks, "token")
-        return dealt.sortWithinPartitions("token", *order).select(*columns).mapInArrow(run, "a long, b long").distinct()
+        columns = ["token", "at", "sid", "comp"]
+        dealt = lists.select(*columns).repartition(n_tasks, "token").sortWithinPartitions("token", F.xxhash64("sid"), "sid")
+        return dealt.select(*columns).mapInArrow(run, "a long, b long").distinct()
 
     def all_pairs(self, lists: DataFrame) -> DataFrame:
         """Pairs (a, b) of different components in any list that may link. A long list is cut into blocks of BLOCK rows by
@@ -140,7 +153,7 @@ class SetJoin:
         rows = lists.join(sized, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks")).cast("int"))
         meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
-        rows = rows.select("token", "n", "pos", "sid", "comp", F.explode(meets).alias("m")).select("token", "m.lo", "m.hi", "n", "pos", "sid", "comp")
+        rows = rows.select("token", "at", "sid", "comp", F.explode(meets).alias("m")).select("token", "m.lo", "m.hi", "at", "sid", "comp")
 
         def run(batches):
             tail = None
@@ -157,14 +170,14 @@ class SetJoin:
                 yield from self._tiles(tail, np.zeros(0, np.int64))
 
         n_tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(n_tasks, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "pos")
+        dealt = rows.repartition(n_tasks, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "at")
         return dealt.mapInArrow(run, "a long, b long").distinct()
 
     def _tiles(self, cols: list[np.ndarray], cuts: np.ndarray):
-        _, _, _, n_, pos_, sid_, comp_ = cols
+        n_, pos_, sid_, comp_ = cols[3] >> 32, cols[3] & LOW, cols[4], cols[5]
         found = []
         for a, b in zip([0, *cuts], [*cuts, len(n_)], strict=True):
-            n, pos, sid, comp = n_[a:b].astype(np.int64), pos_[a:b].astype(np.int64), sid_[a:b], comp_[a:b]
+            n, pos, sid, comp = n_[a:b], pos_[a:b], sid_[a:b], comp_[a:b]
             for i in range(0, b - a, TILE):
                 x = slice(i, i + TILE)
                 for j in range(i, b - a, TILE):
@@ -207,7 +220,7 @@ class SetJoin:
                     if len(s):
                         sid = class_id(s)
                         if all((wanted[int(at[0] >> U(3))] >> int(at[0] & U(7))) & 1 for at in spots(np.array([sid]))):
-                            seen.setdefault(sid, s.tobytes())
+                            seen.setdefault(sid, packed(s))
                     if len(seen) >= 1000:
                         yield pa.RecordBatch.from_pydict({"sid": pa.array(seen.keys(), pa.int64()), "members": pa.array(seen.values(), pa.binary())})
                         seen = {}
@@ -219,9 +232,9 @@ class SetJoin:
             for batch in batches:
                 out = []
                 for a, b, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    t = np.frombuffer(members.as_buffer(), np.uint64)
+                    t = unpacked(members.as_py())
                     if held is None:
-                        held = (a, b, t.copy())
+                        held = (a, b, t)
                         continue
                     both = np.sort(np.concatenate([held[2], t]), kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
@@ -243,27 +256,24 @@ class SetJoin:
         same = Window.partitionBy("token")
         several = listed.withColumn("several", F.min("sid").over(same) != F.max("sid").over(same)).filter("several").drop("several")
         live = cut(several.dropDuplicates(["token", "sid"]))
-        links, known, covered = None, None, 0
+        links, known, tried, covered = None, None, None, 0
         for width in (*WIDTHS, None):
             lists = live.withColumn("comp", F.col("sid")) if known is None else live.join(known, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-            if known is not None:
-                open_ = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-                open_ = open_.filter((F.col("lo") != F.col("hi")) & (F.col("size") > covered + 1)).select("token")
-                lists = cut(lists.join(open_, "token", "left_semi"))
-            if width is None:
-                pairs = cut(self.all_pairs(lists))
-            else:
-                lists = lists.withColumn("shuffled", F.xxhash64("sid", F.lit(width)))
-                pairs = cut(self.near_pairs(lists, width, ["n", "sid"] if known is None else ["shuffled"]))
-            covered = width
-            if not pairs.isEmpty():
-                new = cut(self.verified(texts, pairs))
-                links = new if links is None else links.union(new)
-                star = components(links)
-                links = star.select(F.col("component").alias("a"), F.col("node").alias("b"))
-                known = star.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-            elif known is None:
-                break
+            if covered:  # lists of more sets than that, of several components
+                same = Window.partitionBy("token")
+                open_ = (F.min("comp").over(same) != F.max("comp").over(same)) & (F.count("*").over(same) > covered + 1)
+                lists = cut(lists.withColumn("open", open_).filter("open").drop("open"))
+                if lists.isEmpty():
+                    break
+            pairs = self.all_pairs(lists) if width is None else self.near_pairs(lists, width)
+            pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            covered, tried = width, pairs if tried is None else tried.union(pairs)
+            if pairs.isEmpty():
+                continue
+            new = cut(self.verified(texts, pairs))
+            star = components(new if links is None else links.union(new))
+            links = star.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            known = star.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
         if known is None:
             return classes.select("id", "n", F.col("id").alias("component_id"))
         placed = classes.join(known, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
