@@ -150,7 +150,7 @@ class SetJoin:
         size; every two of its blocks meet in a group of their own, and tiles of a group that can't link by their sizes and
         positions are skipped."""
         sized = lists.groupBy("token").agg(F.count("*").alias("size"))
-        rows = lists.join(sized, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        rows = lists.drop("size").join(sized, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks")).cast("int"))
         meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
         rows = rows.select("token", "at", "sid", "comp", F.explode(meets).alias("m")).select("token", "m.lo", "m.hi", "at", "sid", "comp")
@@ -254,15 +254,17 @@ class SetJoin:
         classes = cut(self.classes(texts))
         listed = self.postings(texts, self.rarity(texts))
         same = Window.partitionBy("token")
-        several = listed.withColumn("several", F.min("sid").over(same) != F.max("sid").over(same)).filter("several").drop("several")
+        several = listed.withColumn("several", F.min("sid").over(same) != F.max("sid").over(same)).withColumn("size", F.count("*").over(same)).filter("several").drop("several")
         live = cut(several.dropDuplicates(["token", "sid"]))
         links, known, tried, covered = None, None, None, 0
         for width in (*WIDTHS, None):
+            live = live.filter(F.col("size") > covered + 1)
             lists = live.withColumn("comp", F.col("sid")) if known is None else live.join(known, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
             if covered:  # lists of more sets than that, of several components
                 same = Window.partitionBy("token")
                 open_ = (F.min("comp").over(same) != F.max("comp").over(same)) & (F.count("*").over(same) > covered + 1)
                 lists = cut(lists.withColumn("open", open_).filter("open").drop("open"))
+                live = lists.drop("comp")
                 if lists.isEmpty():
                     break
             pairs = self.all_pairs(lists) if width is None else self.near_pairs(lists, width)

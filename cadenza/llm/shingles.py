@@ -81,9 +81,10 @@ def shingles(found: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     first = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
     size = np.repeat(np.minimum(counts, k), many)
     out = size.astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
     for i in range(k):
         here = size > i
-        out[here] += found[first[here] + i] * U((2 * i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+        out[here] += found[first[here] + i] * factors[i]
     return mix(out), many
 
 
