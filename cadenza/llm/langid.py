@@ -17,7 +17,7 @@ GRAM = 4
 UNDECIDED = "und"
 #: The classifier is fitted on about this many labelled documents a language, picked by hash, and keeps this many words and
 #: n-grams a language. The languages are the labelled ones, up to the commonest MAX_LANGS.
-SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 1500, 60_000, 60_000, 256
+SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 800, 25_000, 15_000, 256
 
 
 def words_of(text: str) -> list[str]:
