@@ -44,3 +44,9 @@ def temporal(df: DataFrame, as_of_year: int) -> DataFrame:
     scaled = lambda c, a, b: F.coalesce((F.col(c) - F.col(a)) / F.when(F.col(b) > F.col(a), F.col(b) - F.col(a)).otherwise(1), F.lit(0.5))
     new = {"year_normalized": scaled("year", "y0", "y1"), "duration_ms_normalized": scaled("duration_ms", "d0", "d1"), "years_since_release": F.coalesce((as_of_year - F.col("year")).cast("double"), "mid", F.lit(0.0))}
     return rows.withColumns(new).select(*df.columns, *new)
+
+
+def playlist_neighbourhood(members: DataFrame, audio: DataFrame, columns: list[str]) -> DataFrame:
+    """pp_*: the mean over a track's playlists of their mean features, the track itself included; tracks on no playlist have no row."""
+    means = members.join(audio, "track_id").groupBy("playlist_id").agg(*(F.avg(c).alias(f"pp_{c}") for c in columns))
+    return members.join(means, "playlist_id").groupBy("track_id").agg(*(F.avg(f"pp_{c}").alias(f"pp_{c}") for c in columns))

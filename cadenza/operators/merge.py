@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,22 @@ def sync_members(old: DataFrame, snapshot: DataFrame, synced: DataFrame, now: st
     both = o.join(s, ["playlist_id", "track_id"], "full").join(synced.select("playlist_id").distinct().withColumn("due", F.lit(True)), "playlist_id", "left")
     removed = F.when(F.col("due").isNull(), F.col("removed_at")).when(F.col("here"), F.lit(None)).otherwise(F.coalesce("removed_at", F.lit(now)))
     return both.select("playlist_id", "track_id", removed.alias("removed_at"))
+
+
+def sync_plan(now: DataFrame, was: DataFrame, fresh_hours: float = 23) -> DataFrame:
+    """State of every playlist seen now (playlist_id, n) or stored (playlist_id, n, status, hours since its last sync), and whether to sync
+    it: active, of another size than stored, and not synced within fresh_hours. A playlist that was never stored is new and excluded."""
+    both = now.select("playlist_id", F.col("n").alias("n1")).join(was.select("playlist_id", F.col("n").alias("n0"), F.col("status").alias("given"), "hours"), "playlist_id", "full")
+    status = F.coalesce("given", F.lit("excluded"))
+    changed = ~F.col("n1").eqNullSafe(F.col("n0"))
+    state = F.when(F.col("n1").isNull(), "archived").when(F.col("n0").isNull(), "new").when(status == "excluded", "excluded").when(changed, "stale").otherwise("current")
+    due = F.col("n1").isNotNull() & (status == "active") & changed & F.coalesce(F.col("hours") >= fresh_hours, F.lit(True))
+    return both.select("playlist_id", status.alias("status"), state.alias("state"), due.alias("needs_sync"))
+
+
+def within_budget(rows: DataFrame, size: str, key: str, budget: int) -> DataFrame:
+    """Rows, smallest first (ties by key), as long as their sizes sum to at most the budget. A row larger than the budget can't be among
+    them, nor can any after the budget's count of non-empty ones, so only the least rows of each partition reach the running sum."""
+    least = rows.filter(F.col(size) <= budget).orderBy(size, key).limit(budget)
+    running = F.sum(size).over(Window.orderBy(size, key).rowsBetween(Window.unboundedPreceding, 0))
+    return least.withColumn("__running", running).filter(F.col("__running") <= budget).drop("__running")
