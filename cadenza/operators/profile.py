@@ -24,15 +24,15 @@ def track_profile(tracks: DataFrame, audio: DataFrame, genre: DataFrame, faves:
 
 def mode_of(df: DataFrame, by: str, value: str) -> DataFrame:
     """The commonest non-null value of each group; ties go to the least value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    first = Window.partitionBy(by).orderBy(F.desc("n"), value)
-    return counts.withColumn("k", F.row_number().over(first)).filter("k = 1").select(by, value)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__n"))
+    first = Window.partitionBy(by).orderBy(F.desc("__n"), value)
+    return counts.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select(by, value)
 
 
 def top_values(df: DataFrame, by: str, value: str, n: int, out: str) -> DataFrame:
     """The n commonest values of each group, comma-joined, commonest first, ties by value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__n"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("__n")).alias("m"), F.col(value).alias("v"))))
     return counts.groupBy(by).agg(F.array_join(F.transform(F.slice(ranked, 1, n), lambda x: x["v"]), ",").alias(out))
 
 

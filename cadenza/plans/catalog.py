@@ -1,5 +1,5 @@
 """All groups of registered queries together."""
 
-from . import dialogue, models, registry, reports, streams  # noqa: F401
+from . import audits, dialogue, models, registry, reports, streams  # noqa: F401
 
 queries, oracle_sql = registry.queries, registry.oracle_sql
