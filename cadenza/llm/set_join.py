@@ -276,8 +276,8 @@ class SetJoin:
             star = components(new if links is None else links.union(new))
             links = star.select(F.col("component").alias("a"), F.col("node").alias("b"))
             known = star.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-        if known is None:
-            return classes.select("id", "n", F.col("id").alias("component_id"))
+        if known is None:  # no links between different sets; rows with equal sets still belong together
+            known = texts.sparkSession.createDataFrame([], "sid long, comp long")
         placed = classes.join(known, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         least = placed.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
         return placed.join(least, "comp", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))

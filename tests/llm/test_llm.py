@@ -104,6 +104,15 @@ def test_set_join_last_round(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+def test_set_join_of_exact_copies_alone(spark):
+    """Equal sets belong together where no two different sets share a list."""
+    rows = [(5, "one two three four five six"), (2, "One  two three\tfour five six"), (3, "seven eight nine ten eleven"), (9, "short"), (4, "SHORT"), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in set_join.jaccard_components(df, 4, 85, 100).collect()), key=str)
+    assert got == brute_components(rows, 4, 85, 100)
+    assert sorted(r[0] for r in set_join.one_of_each(df, 4, 85, 100).collect()) == [2, 3, 4, 7, 8]
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(path, "a long, b long").repartition(4)).collect()}
