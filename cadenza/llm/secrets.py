@@ -13,11 +13,16 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-#: Candidates of the entropy scan: whole runs of 20 such characters or more with a digit after letters only, tried once a run.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
-WINDOW, BITS_HEX, BITS_MIXED = 20, 2.9, 3.8
-#: Allowed although they may look random: numbers with separators, lower-case words with a number, paths of words, samples.
-ALLOWED = r"^[0-9+/_=-]+$|^[a-z]+[0-9]{0,4}$|^[A-Z]?[a-z]*([/_=+-][A-Z]?[a-z]*[0-9]{0,4})+$|(?i)example|sample|placeholder|^(.)\1+$"
+#: Candidates of the entropy scan: whole runs of 20 such characters or more, tried once a run.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+WINDOW, BITS_HEX, BITS_MIXED, BITS_CASES, BITS_LETTERS = 20, 2.9, 3.8, 3.6, 3.4
+#: Allowed although they may look random: numbers with separators, lower-case words with a number, paths of words, one
+#: character again and again, the alphabet. The word patterns are for runs with a digit; those without have limits of their own.
+ALLOWED = r"^[0-9+/_=-]+$|^(.)\1+$|^(?i:abcdefghijklmnopqrstuvwxyz)+$"
+ALLOWED_WORDS = r"^[a-z]+[0-9]{0,4}$|^[A-Z]?[a-z]*([/_=+-][A-Z]?[a-z]*[0-9]{0,4})+$"
+#: Words that tell of a sample; they are left out of a candidate, and what is left of it is judged.
+SAMPLES = r"(?i)(?<![A-Za-z0-9])(?:example|sample|placeholder)s?(?![A-Za-z0-9])[+/_=-]*"
+CONSONANTS = r"(?i)[b-df-hj-np-tv-xz]{8}"
 BLOCK = 256
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -68,9 +73,17 @@ def window_entropy(s: Column) -> Column:
 
 
 def suspicious(s: Column) -> Column:
-    """Hex strings and mixed strings each have their limit; what the allow-list names is left alone."""
-    limit = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(BITS_HEX)).otherwise(F.lit(BITS_MIXED))
-    return ~s.rlike(ALLOWED) & (window_entropy(s) >= limit)
+    """Hex strings, mixed strings and strings without a digit each have their limit; what the allow-list names is left alone.
+    Without a digit, a string must have a quarter of its letters in each case, vowels for a quarter of its letters at
+    most, or eight consonants in a row."""
+    rest = F.regexp_replace(s, SAMPLES, "")
+    count = lambda kind: F.char_length(F.regexp_replace(rest, f"[^{kind}]", ""))
+    letters, capitals, vowels = count("A-Za-z"), count("A-Z"), count("AEIOUaeiou")
+    both = F.least(capitals, letters - capitals) * 4 >= letters
+    digits, hexes = rest.rlike("[0-9]"), rest.rlike("^[0-9a-fA-F]+$")
+    limit = F.when(hexes, F.lit(BITS_HEX)).when(digits, F.lit(BITS_MIXED)).when(both, F.lit(BITS_CASES)).otherwise(F.lit(BITS_LETTERS))
+    open_ = F.when(digits, ~rest.rlike(ALLOWED_WORDS)).otherwise(hexes | both | (vowels * 4 <= letters) | rest.rlike(CONSONANTS))
+    return ~rest.rlike(ALLOWED) & open_ & (window_entropy(rest) >= limit)
 
 
 def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -165,6 +165,27 @@ def test_secrets(spark):
     assert clean[0] is None and clean[6] == "key [secret] end" and clean[9] == "[secret]" and clean[7] == texts[7]
 
 
+def test_secrets_of_letters(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    either = ["".join(rng.choice(letters + letters.upper()) for _ in range(24)) for _ in range(100)]
+    small = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(100)]
+    signs = ["".join(rng.choice(letters + letters.upper() + "+/") for _ in range(24)) for _ in range(100)]
+    key = "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6"
+    samples = [f"sample-{key}", f"{key}/example", f"{key}placeholder", f"{key}EXAMPLE"]
+    plain = [
+        "internationalization", "antidisestablishmentarianism", "a-well-known-state-of-the-art-method", "/usr/share/documents/examples/readme", "AbstractUserAuthenticationFactory", "MAXIMUM_NUMBER_OF_RETRIES",
+        "--------------------------", "aaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz", "your-example-placeholder-key-2024", "sample_placeholder_example_", "Donaudampfschifffahrtsgesellschaft",
+    ]
+    texts = [*either, *small, *signs, *samples, *plain]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] == f"entropy:4:{4 + len(texts[r['doc_id']])}" for r in secrets.secret_report(df).collect()}
+    for a in (0, 100, 200):
+        assert sum(found[i] for i in range(a, a + 100)) >= 85
+    assert all(found[300 + i] for i in range(len(samples)))
+    assert [t for i, t in enumerate(plain) if found[300 + len(samples) + i]] == []
+
+
 def test_entropy_is_exact(spark):
     rng = random.Random(2)
     strings = ["".join(rng.choice("abcdef0123456789XYZ") for _ in range(n)) for n in (20, 21, 45, 130)]
