@@ -30,6 +30,10 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 TAGS = "p h1 h2 h3 h4 h5 h6 div section article main header footer nav aside form ul ol li table tr td blockquote pre figure figcaption body a span b".split()
+#: Nodes that hold whatever the page has, and are never judged; bare text and inline elements in them make up runs (RUN), one
+#: between any two breaks, which are judged. A run without text of its own that turns out to hold blocks becomes an OPEN one.
+RUN, OPEN = "#run", "#open"
+AROUND = frozenset(("#", "html", "body", OPEN))
 #: Attribute tokens (of class, id, role) that tell of either kind.
 FOR_TEXT = frozenset("article content main body post entry story text page blog".split())
 AGAINST = frozenset(
@@ -58,6 +62,7 @@ class Dom:
 def parse(page: str) -> Dom:
     """A forgiving reading: unclosed elements end with their parents, stray end tags are passed over."""
     dom, stack, at = Dom(["#"], [-1], [[]], [False]), [0], 0
+    texts: set[int] = set()  # the nodes that hold text themselves
 
     def open_node(tag: str, attributes: str) -> None:
         tokens = []
@@ -72,6 +77,19 @@ def parse(page: str) -> Dom:
         dom.hidden.append(dom.hidden[stack[-1]] or tag in HIDDEN)
         stack.append(len(dom.tags) - 1)
 
+    def run_begins() -> None:
+        if dom.tags[stack[-1]] in AROUND:
+            open_node(RUN, "")
+
+    def run_ends() -> None:
+        if dom.tags[stack[-1]] == RUN:
+            stack.pop()
+
+    def open_up() -> None:
+        for i in stack:
+            if dom.tags[i] == RUN and i not in texts:
+                dom.tags[i] = OPEN
+
     def close_to(names: set[str], within: frozenset | set) -> None:
         for k in range(len(stack) - 1, 0, -1):
             tag = dom.tags[stack[k]]
@@ -85,12 +103,17 @@ def parse(page: str) -> Dom:
         m = PART.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text and not dom.hidden[stack[-1]]:
+            if text.strip():
+                run_begins()
+                texts.add(stack[-1])
             dom.items.append((stack[-1], text))
         if not m:
             break
         at = m.end()
         if m[1]:
             tag = m[1].lower()
+            if tag in BLOCK:
+                run_ends()
             if any(dom.tags[i] == tag for i in stack[1:]):
                 while dom.tags[stack.pop()] != tag:
                     pass
@@ -104,10 +127,14 @@ def parse(page: str) -> Dom:
             if tag in CLOSES:
                 close_to(*CLOSES[tag])
             if tag in BLOCK:
+                run_ends()
+                open_up()
                 close_to({"p"}, BLOCK - {"p"} | {"button"})
                 dom.items.append((stack[-1], ""))
             if tag in VOID:
                 continue
+            if tag not in BLOCK and tag not in HIDDEN:
+                run_begins()
             open_node(tag, m[3])
             if m[3].rstrip().endswith("/") and tag not in BLOCK:
                 stack.pop()
@@ -189,15 +216,42 @@ INSERTS = (
 )
 
 
+def bare_version(dom: Dom, label: np.ndarray, apart: bool) -> tuple[Dom, np.ndarray]:
+    """The page's judged texts put straight into a body, as runs with the labels they had; blocks of one label are runs of
+    their own, or (not apart) parts of one run."""
+    n = len(dom.tags)
+    linked = [False] * n
+    for i in range(1, n):
+        linked[i] = linked[dom.parents[i]] or dom.tags[i] == "a"
+    runs: list[tuple[int, list[str]]] = []
+    fresh = True
+    for i, text in dom.items:
+        if text == "":
+            fresh = True
+        elif label[i] >= 0 and text.strip():
+            if not runs or runs[-1][0] != label[i] or (fresh and apart):
+                runs.append((int(label[i]), []))
+            elif fresh:
+                runs[-1][1].append("<br><br>")
+            runs[-1][1].append(f"<a>{text}</a>" if linked[i] else text)
+            fresh = False
+    made = parse("<html><body>" + "<hr>".join("".join(parts) for _, parts in runs) + "</body></html>")
+    out, order = np.full(len(made.tags), -1), iter(runs)
+    for i in range(1, len(made.tags)):
+        out[i] = next(order)[0] if made.tags[i] == RUN else out[made.parents[i]]
+    return made, out
+
+
 def training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     xs, ys = [], []
     for k, page in enumerate(pages):
         texts = [t for t in re.findall(r">([^<>]{8,200})<", page)[:40]] or ["text"]
         made = INSERTS[k % len(INSERTS)].format(*(texts[(k + j) % len(texts)] for j in range(3)))
         into = re.sub(r"(</article>|</body>|\Z)", lambda m: made + m[0], page, count=1)
-        for version in (page, into):
-            dom = parse(version)
-            label = weak_labels(dom)
+        versions = [(dom, weak_labels(dom)) for dom in map(parse, (page, into))]
+        if (versions[1][1] == 1).any():
+            versions += [bare_version(*versions[1], apart) for apart in (False, True)]
+        for dom, label in versions:
             shown = (label >= 0) & ~np.array(dom.hidden)
             for plain in (False, True):
                 xs.append(features(dom, plain)[shown])
@@ -284,8 +338,11 @@ def decode(dom: Dom, logit: np.ndarray) -> np.ndarray:
     keep = -np.logaddexp(0, -logit)  # log p
     drop = -np.logaddexp(0, logit)
     keep[0] = 0
+    with_run = np.array([t == RUN for t in dom.tags])  # a run and the inline elements that share its verdict
     for i in range(1, n):
-        if dom.tags[i] in ("html", "body"):  # these hold whatever the page has
+        inline = with_run[dom.parents[i]] and dom.tags[i] not in BLOCK and not any(t in AGAINST for t in dom.tokens[i])
+        with_run[i] |= inline
+        if dom.tags[i] in AROUND or inline:
             keep[i] = drop[i] = 0
     kept, dropped = keep.copy(), drop.copy()
     for i in range(n - 1, 0, -1):
@@ -309,7 +366,7 @@ def main_text(dom: Dom, kept: np.ndarray) -> str:
             if block:
                 blocks.append(block)
             parts = []
-        elif kept[i] and text != "​" and i and dom.tags[i] not in ("html", "body"):
+        elif kept[i] and text != "​" and dom.tags[i] not in AROUND:
             parts.append(text)
     return "\n\n".join(blocks)
 

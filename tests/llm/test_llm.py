@@ -310,6 +310,23 @@ def test_html(spark):
     assert html_text.extract(nothing, html_text.fit(nothing)).count() == 0
 
 
+def test_html_bare_text(spark):
+    """Text that stands in the body itself or in no element at all is judged like any other."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(" ".join(rng.choice(WORDS) for _ in range(9)) + ", and more of it." for _ in range(n))
+    menu = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>'
+    made = [f'<html><body>{menu}<div class="ad">Buy {say(1)}</div><article><h1>{say(1)}</h1><p>{say(3)}</p><p>{say(2)}</p></article><footer>(c) <a href="/l">Legal</a></footer></body></html>' for _ in range(60)]
+    a, b, c = say(4), say(3), say(5)
+    asked = {
+        "no markup": (a, a), "body": (f"<html><body>{a}<br><br>{b}</body></html>", f"{a} {b}"), "inline": (f"<body><b>Old</b> {a} <i>and</i> {b}</body>", f"Old {a} and {b}"),
+        "runs": (f"<html>{menu}<body>{a}<hr>{b}<p>{c}</p></body></html>", f"{a}\n\n{b}\n\n{c}"), "links": (f'<body><a href="/">Home</a> <a href="/n">News</a> <a href="/c">Contact</a><hr>{c}</body>', c),
+    }
+    pages = spark.createDataFrame([(str(i), "u", t) for i, t in enumerate(made)] + [(k, "u", t) for k, (t, _) in asked.items()], "page_id string, url string, html string")
+    model = html_text.fit(pages.filter("page_id rlike '^[0-9]+$'"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages, model).collect()}
+    assert {k: got[k] for k in asked} == {k: text for k, (_, text) in asked.items()}
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as p
 
