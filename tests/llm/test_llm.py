@@ -284,6 +284,18 @@ def test_ann(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_line_dedup_common_words_last(spark):
+    """A very common word (class 15, the highest) comes after all rarer ones in a line's order."""
+    line = spark.createDataFrame([("the rare odd words",)], "norm string")
+    cells = line_dedup.RARITY_CELLS
+    spot = line.select(F.pmod(F.xxhash64(F.lit("the")), F.lit(cells)).cast("int")).first()[0]
+    for letter in "ahip":
+        table = "a" * spot + letter + "a" * (cells - spot - 1)
+        keys = line_dedup.keyed(line, table).first()["keys"]
+        own = line_dedup.keyed(spark.createDataFrame([("the",)], "norm string"), table).first()["keys"][0]
+        assert min(keys) >= 0 and keys[-1] == own
+
+
 def test_line_dedup(docs, empty):
     rows = corpus()
     lines = [(r[0], i, frozenset(re.split(r"[\x20\x09-\x0D]+", lower(line))) - {""}) for r in {(r[0], r[1]): r for r in rows}.values() for i, line in enumerate((r[1] or "").split("\n"))]
