@@ -106,8 +106,9 @@ with recursive w as (
 ), reach as (
   select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join both_ways l on l.a = r.other
 )
-select s.doc_id, s.n as n_shingles, r.component_id
+select s.doc_id, s.n as n_shingles, r.component_id, coalesce(l.n_links, 0) as n_links
 from sized s join (select doc_id, min(other) as component_id from reach group by doc_id) r using (doc_id)
+left join (select a as doc_id, count(*) as n_links from both_ways group by a) l using (doc_id)
 """,
     "op8_exact_dedup": f"""
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256

@@ -1,33 +1,39 @@
-"""Exact Jaccard self-join of shingle sets, down to the components of its links.
-
-Equal sets are one class. Every class is listed under its rarest shingles (as many as the threshold asks for); two classes
-that are similar enough share a list. Lists are ordered and skipped by size and by position. A class takes over the answers
-of the classes it has been found similar to: lists are walked in rounds of growing width, and a pair whose two classes are
-already known to be in one component is not looked at again. The last round covers every pair that is left, by blocks.
+"""Exact Jaccard self-join of shingle sets: classes, numbers of links, and the components of the links.
+
+Every shingle is counted over all texts, exactly: each block of texts sends its distinct shingles, in buckets by value, to be
+summed up, and gets back those that more than one text holds, with their counts. A set orders its shingles by these counts,
+rarest first; sets that are similar enough share one of their first shingles, so only such shingles are listed, and only for
+sets that have a shared one among their first.
+
+Set relations then save most comparisons. Of each list (a shingle, by size bands) the set with the least hash is compared with
+the others; a set so near to one of these that any two sets that near must link is put into its group: the answers of the
+group's members to each other, and to all that is far from or near enough to the group, follow from those of its pivot by the
+triangle inequality of the Jaccard distance. Lists are kept as blocks, one for each group and size band, with bounds of sizes
+and of what follows the shared position; blocks that can't link by these bounds are skipped. Only members of two groups about
+which the pivots' distance leaves doubt are compared with each other, inside tasks; no pairs of a group are ever written.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, merged_table
+from .common import cut
 from .components import components
-from .shingles import U, chunks, shingle_sets, shingles, words
+from .shingles import U, shingle_sets
 
-#: Counters of the rarity sketch: only the order of shingles depends on it, never the result.
-SKETCH_BITS = 22
-#: Bits of the filter of classes to be verified: 4 MB. A fuller one lets more sets by, with the same result.
-FILTER_BITS = 25
-#: Widths of the rounds before the last one, and rows of a list's block in the last one.
-WIDTHS, BLOCK, TILE = (2, 16, 128), 2048, 256
-#: at holds a set's size (upper half) and the token's position in its order (lower half).
-POSTING = "token long, at long, sid long"
-LOW = (1 << 32) - 1
+#: Bits of a shingle's fingerprint that are kept; shingles a block collects before it is sent; classes it may hold.
+BITS, BLOCK, MOST = 48, 1 << 20, 65_535
+#: Members of a group that are compared with as many of another group in one go.
+CHUNK = 64
+EPS = 1e-9
 
 
 def class_id(s: np.ndarray) -> int:
@@ -35,264 +41,337 @@ def class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def packed(s: np.ndarray) -> bytes:
-    """A set as the leading 48 bits of each member."""
-    return (s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def planes(x: np.ndarray) -> bytes:
+    """48-bit numbers byte plane by byte plane: of sorted ones, the upper planes compress to nearly nothing."""
+    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
 
 
-def unpacked(members: bytes) -> np.ndarray:
-    out = np.zeros((len(members) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(members, np.uint8).reshape(-1, 6)
+def unplaned(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) * 8 // BITS, 8), np.uint8)
+    out[:, : BITS // 8] = np.frombuffer(b, np.uint8).reshape(BITS // 8, -1).T
     return out.view(np.uint64).ravel()
 
 
+def n_tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 class SetJoin:
     """Sets of k-word shingles; two link when den * intersection >= num * union."""
 
     def __init__(self, k: int, num: int, den: int):
         self.k, self.num, self.den = k, num, den
 
-    def need(self, n, m):
+    def need(self, n: Column, m: Column) -> Column:
         """The least overlap of two sets of n and m that links them."""
-        return -(-self.num * (n + m) // (self.num + self.den))
-
-    def fits(self, n, p, m, q):
-        """Whether sets that first share an element at positions p and q can link, by their sizes and what follows."""
-        near = self.den * np.minimum(n, m) >= self.num * np.maximum(n, m)
-        return near & (np.minimum(n - p, m - q) >= self.need(n, m))
-
-    def classes(self, texts: DataFrame) -> DataFrame:
-        """(id, n, sid): size and class of each text's set; sid is null for an empty one. texts: (id, text)."""
+        return F.ceil((n + m) * self.num / (self.num + self.den) - EPS)
+
+    def band(self, n: Column) -> Column:
+        """Sets that may link are in the same band of sizes or in neighbouring ones."""
+        return F.floor(F.log(n.cast("double")) / math.log(self.den / self.num) + EPS).cast("int")
+
+    def prefix(self, n: int) -> int:
+        return n - -(-self.num * n // self.den) + 1
+
+    def _blocks(self, texts: DataFrame, buckets: int) -> DataFrame:
+        """Blocks of texts: a row with what the block keeps to itself (bucket -1), and one for each bucket of its shingles."""
+        edges = np.array([(i << BITS) // buckets for i in range(buckets)], np.uint64)
+        kind, block_size = pa_type(texts), max(BLOCK, 200 * buckets)
+
+        def rows(block: int, ids: list[pa.Array], place: list[int], size: list[int], sids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            lens = np.array([len(s) for s in sets], np.int64)
+            every = np.concatenate([np.zeros(0, np.uint64), *sets])
+            order = np.argsort(every, kind="stable")
+            own, every = np.repeat(np.arange(len(sets)), lens).astype(np.uint16)[order], every[order]
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+            different, often = every[first], np.diff(np.r_[first, len(every)])
+            cuts = np.r_[np.searchsorted(different, edges), len(different)]
+            head = pickle.dumps((np.array(place, np.int32), np.array(size, np.int64), np.array(sids, np.int64), lens, own, often, cuts), 5)
+            used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            payload = [head, *(pickle.dumps((planes(different[cuts[b] : cuts[b + 1]]), often[cuts[b] : cuts[b + 1]].astype(np.uint16).tobytes()), 5) for b in used)]
+            return pa.RecordBatch.from_arrays([
+                pa.array([block % buckets, *used], pa.int32()), pa.array([block] * len(payload), pa.int64()), pa.array([-1, *used], pa.int32()), pa.array(payload, pa.large_binary()),
+                pa.array([pa.concat_arrays(ids).to_pylist()] + [None] * len(used), pa.list_(kind)),
+            ], names=["goes", "block", "bucket", "payload", "ids"])
 
         def run(batches):
+            made, ids, place, size, sids, sets, total = TaskContext.get().partitionId() << 32, [], [], [], [], [], 0
+            known: dict[int, int] = {}
             for batch in batches:
-                sets = list(shingle_sets(batch.column(1), self.k))
-                sid = pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), sid], names=["id", "n", "sid"])
-
-        return texts.mapInArrow(run, f"id {texts.schema[0].dataType.simpleString()}, n long, sid long")
-
-    def rarity(self, texts: DataFrame) -> np.ndarray:
-        """How often shingles occur in all texts, in a table of fixed size by their leading bits."""
-        cells = 1 << SKETCH_BITS
-
-        def count(batches):
-            total, waiting, size = np.zeros(cells, np.uint32), [], 0
-            for batch in batches:
-                for _, raw, at in chunks(batch.column(0)):
-                    waiting.append((shingles(*words(raw, at), self.k)[0] >> U(64 - SKETCH_BITS)).astype(np.int32))
-                    size += len(waiting[-1])
-                    if size > cells:
-                        total += np.bincount(np.concatenate(waiting), minlength=cells).astype(np.uint32)
-                        waiting, size = [], 0
-            return total + np.bincount(np.concatenate([np.zeros(0, np.int32), *waiting]), minlength=cells).astype(np.uint32)
-
-        return merged_table(texts.select(texts.columns[1]), count, cells, "uint32", "add")
-
-    def postings(self, texts: DataFrame, rarity: np.ndarray) -> DataFrame:
-        """Each class under its rarest shingles. A batch lists a class once."""
-        shared = texts.sparkSession.sparkContext.broadcast(rarity)
-
-        def run(batches):
-            often = shared.value
-            for batch in batches:
-                seen, out = set(), []
-                for s in shingle_sets(batch.column(0), self.k):
-                    if not len(s) or (sid := class_id(s)) in seen:
-                        continue
-                    seen.add(sid)
-                    n = len(s)
-                    length = n - -(-self.num * n // self.den) + 1
-                    order = np.argsort((often[(s >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U(32)) | (s & U(0xFFFFFFFF)), kind="stable")[:length]
-                    out.append((s[order].view(np.int64), (n << 32) + np.arange(length), np.full(length, sid, np.int64)))
-                    if len(out) == 2000:
-                        yield self._rows(out)
-                        out = []
-                if out:
-                    yield self._rows(out)
-
-        return texts.select(texts.columns[1]).mapInArrow(run, POSTING)
+                done = 0
+                for r, full in enumerate(shingle_sets(batch.column(1), self.k)):
+                    size.append(len(full))
+                    if len(full):
+                        s = full >> U(64 - BITS)
+                        s = s[np.r_[True, s[1:] != s[:-1]]]
+                        sid = class_id(full)
+                        if sid not in known:
+                            known[sid] = len(sids)
+                            sids.append(sid)
+                            sets.append(s)
+                            total += len(s)
+                        place.append(known[sid])
+                    else:
+                        place.append(-1)
+                    if total >= block_size or len(sids) >= MOST or len(place) >= MOST:
+                        ids.append(batch.column(0).slice(done, r + 1 - done))
+                        yield rows(made, ids, place, size, sids, sets)
+                        made, done, ids, place, size, sids, sets, total, known = made + 1, r + 1, [], [], [], [], [], 0, {}
+                if done < batch.num_rows:
+                    ids.append(batch.column(0).slice(done))
+            if place:
+                yield rows(made, ids, place, size, sids, sets)
+
+        return texts.mapInArrow(run, f"goes int, block long, bucket int, payload binary, ids array<{texts.schema[0].dataType.simpleString()}>")
 
     @staticmethod
-    def _rows(parts: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["token", "at", "sid"])
-
-    def near_pairs(self, lists: DataFrame, width: int) -> DataFrame:
-        """Pairs (a, b) that stand at most `width` apart in a list, in the order of a hash, and may link, of different components."""
+    def _shared(batches):
+        """Sums the buckets' counts; each block gets back which of its shingles others hold too. Blocks' own rows pass on."""
+        blocks, values, counts = [], [], []
+        for batch in batches:
+            own = np.asarray(batch.column(2).to_numpy()) < 0
+            if own.any():
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(own)) for c in batch.columns], schema=batch.schema)
+            schema = batch.schema
+            for i in np.flatnonzero(~own):
+                value, often = pickle.loads(batch.column(3)[int(i)].as_py())  # noqa: S301
+                blocks.append((batch.column(1)[int(i)].as_py(), batch.column(2)[int(i)].as_py()))
+                values.append(unplaned(value))
+                counts.append(np.frombuffer(often, np.uint16))
+        if not blocks:
+            return
+        every, at = np.concatenate(values), np.cumsum([0, *map(len, values)])
+        order = np.argsort(every, kind="stable")
+        first = np.r_[True, every[order][1:] != every[order][:-1]]
+        sums = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), np.flatnonzero(first))
+        total = np.empty(len(every), np.int64)
+        total[order] = sums[np.cumsum(first) - 1]
+        for i in range(0, len(blocks), 64):
+            part, payload = blocks[i : i + 64], []
+            for k in range(i, i + len(part)):
+                t = total[at[k] : at[k + 1]]
+                shared = np.flatnonzero(t > 1)
+                payload.append(pickle.dumps((shared.astype(np.uint32), planes(values[k][shared]), t[shared]), 5))
+            none = pa.nulls(len(part), schema.field(4).type)
+            yield pa.RecordBatch.from_arrays([pa.array([b % (1 << 31) for b, _ in part], pa.int32()), pa.array([b for b, _ in part], pa.int64()), pa.array([k for _, k in part], pa.int32()), pa.array(payload, schema.field(3).type), none], schema=schema)
+
+    def _facts(self, batches, kind):
+        """From each block: (id, n, sid) of its rows (what 0); sid, size and shared shingles of the classes that may link
+        (what 1); and these classes listed under their first shingles, with size and position in `at` (what 2)."""
+        names = ["what", "id", "n", "sid", "token", "at", "members"]
+        types = [pa.int8(), kind, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.large_binary()]
+
+        def table(what, m, **given):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, what, np.int8)), *(given[c] if c in given else pa.nulls(m, t) for c, t in zip(names[1:], types[1:], strict=True))], names=names)
+
+        def done(head, ids, parts):
+            place, size, sids, lens, own, often, cuts = head
+            yield table(0, len(place), id=ids, n=pa.array(size), sid=pa.array(np.append(sids, 0)[place], mask=place < 0))
+            if not parts:
+                return
+            at = np.concatenate([cuts[b] + shared for b, shared, _, _ in parts])
+            value, total = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+            begin, m = np.cumsum(often) - often, often[at]
+            owner = own[np.repeat(begin[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())].astype(np.int64)
+            value, total = np.repeat(value, m), np.repeat(total, m)
+            order = np.lexsort((value, total, owner))
+            owner, value = owner[order], value[order]
+            held = np.bincount(owner, minlength=len(sids))
+            start, out, members = np.cumsum(held) - held, [], []
+            for c in np.flatnonzero(held):
+                n, alone = int(lens[c]), int(lens[c] - held[c])
+                first = self.prefix(n)
+                if alone >= first:
+                    continue
+                mine = value[start[c] : start[c] + held[c]]
+                out.append((mine[: first - alone].view(np.int64), (n << 32) + alone + np.arange(first - alone), np.full(first - alone, sids[c])))
+                members.append((sids[c], n, planes(np.sort(mine))))
+            for i in range(0, len(members), 2000):
+                some = members[i : i + 2000]
+                yield table(1, len(some), sid=pa.array([x[0] for x in some], pa.int64()), n=pa.array([x[1] for x in some], pa.int64()), members=pa.array([x[2] for x in some], pa.large_binary()))
+                token, where, sid = (np.concatenate(c) for c in zip(*out[i : i + 2000], strict=True))
+                yield table(2, len(token), sid=pa.array(sid), token=pa.array(token), at=pa.array(where))
+
+        block, head, ids, parts = None, None, None, []
+        for batch in batches:
+            for b, k, payload, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                if k < 0:
+                    if block is not None:
+                        yield from done(head, ids, parts)
+                    block, head, ids, parts = b, pickle.loads(payload.as_py()), given.values, []  # noqa: S301
+                else:
+                    shared, value, total = pickle.loads(payload.as_py())  # noqa: S301
+                    if len(shared):
+                        parts.append((k, shared.astype(np.int64), unplaned(value), total))
+        if block is not None:
+            yield from done(head, ids, parts)
+
+    def facts(self, texts: DataFrame) -> DataFrame:
+        """texts: (id, text), read once. Its rows, the classes that may link, and their lists; see _facts."""
+        n, kind = n_tasks(texts), pa_type(texts)
+        id_kind = texts.schema[0].dataType.simpleString()
+        sent = self._blocks(texts, n).repartition(n, "goes")
+        back = sent.mapInArrow(self._shared, sent.schema).repartition(n, "block").sortWithinPartitions("block", "bucket")
+        return cut(back.mapInArrow(lambda batches: self._facts(batches, kind), f"what byte, id {id_kind}, n long, sid long, token long, at long, members binary"))
+
+    def fits(self, x: str, y: str) -> Column:
+        """Whether two listed sets can link, by their sizes and what follows their positions."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        near = F.least(n, m) * self.den >= F.greatest(n, m) * self.num
+        return near & (F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos")) >= self.need(n, m))
+
+    def overlaps(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, na, nb, common) of pairs of classes. A class a with many partners is met in as many places as there are
+        tasks; each place gets its set once, and each partner's set."""
+        n = n_tasks(pairs)
+        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int").alias("salt"))
+        left = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("sid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "n", "members")
+        right = pairs.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "salt", "b", "n", "members")
 
         def run(batches):
-            tail = None
+            hub, size = None, 0
             for batch in batches:
-                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                if tail is not None:
-                    cols = [np.concatenate([t, c]) for t, c in zip(tail, cols, strict=True)]
-                token, n, pos, sid, comp = cols[0], cols[1] >> 32, cols[1] & LOW, cols[2], cols[3]
-                old = 0 if tail is None else len(tail[0])
-                found = []
-                for d in range(1, min(width, len(token) - 1) + 1):
-                    i = np.arange(max(d, old), len(token))
-                    i = i[(token[i] == token[i - d]) & (comp[i] != comp[i - d])]
-                    j = i - d
-                    ok = self.fits(n[i], pos[i], n[j], pos[j])
-                    found.append(np.stack([sid[i][ok], sid[j][ok]], 1))
-                tail = [c[-width:] for c in cols]
-                if found:
-                    pairs = np.concatenate(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.sort(pairs, 1), axis=0).T], names=["a", "b"])
-
-        n_tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        columns = ["token", "at", "sid", "comp"]
-        dealt = lists.select(*columns).repartition(n_tasks, "token").sortWithinPartitions("token", F.xxhash64("sid"), "sid")
-        return dealt.select(*columns).mapInArrow(run, "a long, b long").distinct()
-
-    def all_pairs(self, lists: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different components in any list that may link. A long list is cut into blocks of BLOCK rows by
-        size; every two of its blocks meet in a group of their own, and tiles of a group that can't link by their sizes and
-        positions are skipped."""
-        sized = lists.groupBy("token").agg(F.count("*").alias("size"))
-        rows = lists.drop("size").join(sized, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks")).cast("int"))
-        meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
-        rows = rows.select("token", "at", "sid", "comp", F.explode(meets).alias("m")).select("token", "m.lo", "m.hi", "at", "sid", "comp")
+                out = []
+                for a, b, m, members in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                    s = unplaned(members.as_py())
+                    if b is None:
+                        hub, size = s, m
+                    else:
+                        out.append((a, b, size, m, in_both(hub, s)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], names=["a", "b", "na", "nb", "common"])
+
+        met = left.unionByName(right).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return met.mapInArrow(run, "a long, b long, na long, nb long, common long")
+
+    def groups(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """(sid, g, d): classes put into the group of a pivot g, and their distance from it, (1 - num / den) / 2 at most."""
+        hashed = F.xxhash64("sid")
+        first = lists.groupBy("token", "band").agg(F.min(F.struct(hashed.alias("h"), "sid", "n", "pos")).alias("p"), F.max(hashed).alias("last")).filter(F.col("p.h") < F.col("last"))
+        x, y = lists.alias("x"), first.select("token", "band", "p.sid", "p.n", "p.pos").alias("y")
+        pairs = x.join(y, ["token", "band"]).filter((F.col("x.sid") != F.col("y.sid")) & self.fits("x", "y")).select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b")).distinct()
+        union = F.col("na") + F.col("nb") - F.col("common")
+        near = self.overlaps(pairs, sets).filter(F.col("common") * 2 * self.den >= union * (self.num + self.den))
+        near = cut(near.select("a", "b", (1 - F.col("common") / union).alias("d")))
+        roots = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        best = roots.groupBy(F.col("b").alias("sid")).agg(F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("g"), "d")).alias("m"))
+        return best.select("sid", "m.g", "m.d")
+
+    def doubtful(self, pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(g, h, sid, gain): which members of two groups link, compared in blocks of CHUNK by CHUNK: how many documents each
+        gains. members: (sid, g, w), pairs: (g, h)."""
+        sizes = members.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+        chunked = members.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).join(sets, "sid")
+        wide = pairs.join(sizes.toDF("g", "cg"), "g").join(sizes.toDF("h", "ch"), "h")
+        blocks = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cg") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ch") - 1))).select("g", "h", "i", "j")
+        kept = ["sid", "w", "n", "members"]
+        left = blocks.join(chunked.select("g", F.col("chunk").alias("i"), *kept), ["g", "i"]).select("g", "h", "i", "j", F.lit(0).alias("side"), *kept)
+        right = blocks.join(chunked.select(F.col("g").alias("h"), F.col("chunk").alias("j"), *kept), ["h", "j"]).select("g", "h", "i", "j", F.lit(1).alias("side"), *kept)
+
+        def compare(key, sides):
+            (la, lb) = sides
+            if not la or not lb:
+                return []
+            own = np.repeat(np.arange(len(lb)), [len(x[3]) for x in lb])
+            every, m = np.concatenate([x[3] for x in lb]), np.array([x[2] for x in lb])
+            wa, wb, gain_a, gain_b = [x[1] for x in la], np.array([x[1] for x in lb]), [], np.zeros(len(lb), np.int64)
+            for (_, w, n, s), _ in zip(la, wa, strict=True):
+                spot = np.minimum(np.searchsorted(s, every), max(0, len(s) - 1))
+                common = np.bincount(own[s[spot] == every] if len(s) else own[:0], minlength=len(lb))
+                link = self.den * common >= self.num * (n + m - common)
+                gain_a.append(int(wb[link].sum()))
+                gain_b += link * w
+            return [(key[0], key[1], x[0], gain) for x, gain in [*zip(la, gain_a, strict=True), *zip(lb, gain_b.tolist(), strict=True)] if gain]
 
         def run(batches):
-            tail = None
-            for batch in batches:
-                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                if tail is not None:
-                    cols = [np.concatenate([t, c]) for t, c in zip(tail, cols, strict=True)]
-                token, lo, hi = cols[:3]
-                cut_at = np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-                last = int(cut_at[-1]) if len(cut_at) else 0
-                yield from self._tiles([c[:last] for c in cols], cut_at[:-1])
-                tail = [c[last:] for c in cols]
-            if tail is not None:
-                yield from self._tiles(tail, np.zeros(0, np.int64))
-
-        n_tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(n_tasks, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "at")
-        return dealt.mapInArrow(run, "a long, b long").distinct()
-
-    def _tiles(self, cols: list[np.ndarray], cuts: np.ndarray):
-        n_, pos_, sid_, comp_ = cols[3] >> 32, cols[3] & LOW, cols[4], cols[5]
-        found = []
-        for a, b in zip([0, *cuts], [*cuts, len(n_)], strict=True):
-            n, pos, sid, comp = n_[a:b], pos_[a:b], sid_[a:b], comp_[a:b]
-            for i in range(0, b - a, TILE):
-                x = slice(i, i + TILE)
-                for j in range(i, b - a, TILE):
-                    y = slice(j, j + TILE)
-                    # rows are in order of size: the smallest of y against the largest of x, and the most that can follow
-                    if self.den * n[x].max() < self.num * n[y].min() or min((n[x] - pos[x]).max(), (n[y] - pos[y]).max()) < self.need(n[x].min(), n[y].min()):
-                        continue
-                    ok = (comp[x][:, None] != comp[y][None, :]) & self.fits(n[x][:, None], pos[x][:, None], n[y][None, :], pos[y][None, :])
-                    p, q = np.nonzero(ok)
-                    found.append(np.stack([sid[x][p], sid[y][q]], 1))
-        if found:
-            pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
-            for i in range(0, len(pairs), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs[i : i + 50_000].T], names=["a", "b"])
-
-    def verified(self, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The pairs that link. Sets are made anew from the texts, for the pairs' classes only, and sent to the pairs."""
-        spark = texts.sparkSession
-        cells = 1 << (FILTER_BITS - 3)
-
-        def spots(sid: np.ndarray) -> list[np.ndarray]:
-            x = sid.view(np.uint64)
-            return [(x >> U(s)) & U((1 << FILTER_BITS) - 1) for s in (0, 64 - FILTER_BITS)]
-
-        def fill(batches):
-            out = np.zeros(cells, np.uint8)
-            for batch in batches:
-                for c in batch.columns:
-                    for at in spots(c.to_numpy()):
-                        np.bitwise_or.at(out, (at >> U(3)).astype(np.int64), U(1).astype(np.uint8) << (at & U(7)).astype(np.uint8))
-            return out
-
-        shared = spark.sparkContext.broadcast(merged_table(pairs, fill, cells, "uint8", "or"))
-
-        def make(batches):
-            wanted = shared.value
-            for batch in batches:
-                seen: dict[int, bytes] = {}
-                for s in shingle_sets(batch.column(0), self.k):
-                    if len(s):
-                        sid = class_id(s)
-                        if all((wanted[int(at[0] >> U(3))] >> int(at[0] & U(7))) & 1 for at in spots(np.array([sid]))):
-                            seen.setdefault(sid, packed(s))
-                    if len(seen) >= 1000:
-                        yield pa.RecordBatch.from_pydict({"sid": pa.array(seen.keys(), pa.int64()), "members": pa.array(seen.values(), pa.binary())})
-                        seen = {}
-                if seen:
-                    yield pa.RecordBatch.from_pydict({"sid": pa.array(seen.keys(), pa.int64()), "members": pa.array(seen.values(), pa.binary())})
-
-        def overlap(batches):
-            held = None
+            key, sides = None, ([], [])
             for batch in batches:
                 out = []
-                for a, b, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    t = unpacked(members.as_py())
-                    if held is None:
-                        held = (a, b, t)
-                        continue
-                    both = np.sort(np.concatenate([held[2], t]), kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    if self.den * common >= self.num * (len(both) - common):
-                        out.append((a, b))
-                    held = None
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        sets = texts.select(texts.columns[1]).mapInArrow(make, "sid long, members binary").dropDuplicates(["sid"])
-        sides = pairs.select(F.explode(F.array("a", "b")).alias("sid"), "a", "b")
-        n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        wide = sides.join(sets, "sid").select("a", "b", "members").repartition(n_tasks, "a", "b").sortWithinPartitions("a", "b")
-        return wide.mapInArrow(overlap, "a long, b long")
+                for *now, side, sid, w, n, members_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if now != key:
+                        if key is not None:
+                            out += compare(key, sides)
+                        key, sides = now, ([], [])
+                    sides[side].append((sid, w, n, unplaned(members_)))
+                yield gains(out)
+            if key is not None:
+                yield gains(compare(key, sides))
+
+        def gains(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["g", "h", "sid", "gain"])
+
+        met = left.unionByName(right).repartition(n_tasks(pairs), "g", "h", "i", "j").sortWithinPartitions("g", "h", "i", "j", "side")
+        return met.mapInArrow(run, "g long, h long, sid long, gain long")
 
     def run(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        classes = cut(self.classes(texts))
-        listed = self.postings(texts, self.rarity(texts))
-        same = Window.partitionBy("token")
-        several = listed.withColumn("several", F.min("sid").over(same) != F.max("sid").over(same)).withColumn("size", F.count("*").over(same)).filter("several").drop("several")
-        live = cut(several.dropDuplicates(["token", "sid"]))
-        links, known, tried, covered = None, None, None, 0
-        for width in (*WIDTHS, None):
-            live = live.filter(F.col("size") > covered + 1)
-            lists = live.withColumn("comp", F.col("sid")) if known is None else live.join(known, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-            if covered:  # lists of more sets than that, of several components
-                same = Window.partitionBy("token")
-                open_ = (F.min("comp").over(same) != F.max("comp").over(same)) & (F.count("*").over(same) > covered + 1)
-                lists = cut(lists.withColumn("open", open_).filter("open").drop("open"))
-                live = lists.drop("comp")
-                if lists.isEmpty():
-                    break
-            pairs = self.all_pairs(lists) if width is None else self.near_pairs(lists, width)
-            pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-            covered, tried = width, pairs if tried is None else tried.union(pairs)
-            if pairs.isEmpty():
-                continue
-            new = cut(self.verified(texts, pairs))
-            star = components(new if links is None else links.union(new))
-            links = star.select(F.col("component").alias("a"), F.col("node").alias("b"))
-            known = star.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-        if known is None:  # no links between different sets; rows with equal sets still belong together
-            known = texts.sparkSession.createDataFrame([], "sid long, comp long")
-        placed = classes.join(known, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        least = placed.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
-        return placed.join(least, "comp", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+        facts = self.facts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+        rows = facts.filter("what = 0").select("id", "n", "sid")
+        sets = facts.filter("what = 1").select("sid", "n", "members").dropDuplicates(["sid"])
+        lists = facts.filter("what = 2").select("token", "sid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos")).dropDuplicates(["token", "sid"])
+        lists = lists.withColumn("band", self.band(F.col("n")))
+        grouped = cut(self.groups(lists, sets))
+
+        weights = rows.filter("sid is not null").groupBy("sid").agg(F.count("*").alias("w"), F.min("id").alias("least"))
+        classes = weights.join(grouped, "sid", "left").select("sid", "w", "least", F.coalesce("g", "sid").alias("g"), F.coalesce("d", F.lit(0.0)).alias("d"))
+        classes = cut(classes)
+        groups = classes.groupBy("g").agg(F.sum("w").alias("weight"), F.max("d").alias("radius"), F.min("least").alias("least"))
+
+        # blocks of lists, one for a group and a band, of lists with several groups
+        placed = lists.join(grouped.select("sid", "g"), "sid", "left").withColumn("g", F.coalesce("g", "sid"))
+        blocks = placed.groupBy("token", "band", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+        several = blocks.groupBy("token").agg(F.min("g").alias("ga"), F.max("g").alias("gb")).filter("ga <> gb").select("token")
+        blocks = cut(blocks.join(several, "token", "left_semi"))
+        probe = blocks.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+        x, y = probe.alias("x"), blocks.alias("y")
+        least = self.need(F.col("x.low"), F.col("y.low"))
+        can = (F.col("x.g") != F.col("y.g")) & (F.col("x.high") * self.den >= F.col("y.low") * self.num) & (F.col("y.high") * self.den >= F.col("x.low") * self.num) & (F.least("x.rest", "y.rest") >= least)
+        pairs = x.join(y, ["token", "band"]).filter(can).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b")).distinct()
+
+        union, apart = F.col("na") + F.col("nb") - F.col("common"), 1 - self.num / self.den
+        met = self.overlaps(pairs, sets).select("a", "b", (F.col("common") * self.den >= union * self.num).alias("link"), (1 - F.col("common") / union).alias("d"))
+        met = met.join(groups.select(F.col("g").alias("a"), F.col("weight").alias("wa"), F.col("radius").alias("ra")), "a").join(groups.select(F.col("g").alias("b"), F.col("weight").alias("wb"), F.col("radius").alias("rb")), "b")
+        both = F.col("ra") + F.col("rb")
+        verdict = F.when(both == 0, F.col("link").cast("int")).when(F.col("d") + both <= apart - EPS, 1).when(F.col("d") - both > apart + EPS, 0).otherwise(2)
+        met = cut(met.withColumn("verdict", verdict).filter("verdict > 0"))
+        doubts = met.filter("verdict = 2").select(F.col("a").alias("g"), F.col("b").alias("h"))
+        gains = cut(self.doubtful(doubts, classes.select("sid", "g", "w"), sets))
+
+        sure = met.filter("verdict = 1")
+        more = sure.select(F.col("a").alias("g"), F.col("wb").alias("more")).union(sure.select("b", "wa")).groupBy("g").agg(F.sum("more").alias("more"))
+        own = gains.groupBy("sid").agg(F.sum("gain").alias("gain"))
+        edges = sure.select("a", "b").union(gains.select("g", "h").distinct())
+        comp = components(edges).toDF("g", "comp")
+        named = groups.join(comp, "g", "left").withColumn("comp", F.coalesce("comp", "g"))
+        low = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+        whole = named.join(low, "comp").join(more, "g", "left").select("g", "component_id", (F.col("weight") - 1 + F.coalesce("more", F.lit(0).cast("long"))).alias("links"))
+        answers = classes.select("sid", "g").join(whole, "g").join(own, "sid", "left")
+        answers = cut(answers.select("sid", "component_id", (F.col("links") + F.coalesce("gain", F.lit(0).cast("long"))).alias("n_links")))
+        found = rows.join(answers, "sid", "left")
+        return found.select("id", "n", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def pa_type(texts: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(texts.schema[0].dataType)
+
+
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
 def jaccard_components(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: its id, n_shingles, component_id (the least id reachable over links, its own included).
+    """One row per row of df: its id, n_shingles, component_id (the least id reachable over links, its own included), and
+    n_links (how many other rows it links with).
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct k-word shingles, or the whole sequence
     where there are fewer words. Sets link when den * intersection >= num * union. Null and empty texts link with nothing.
     Null ids don't count for the least id, unless a component has no other; rows with the same id are as many rows.
-    Shingles and sets are told apart by 64-bit fingerprints. Other columns are left out; an empty table gives no rows.
+    Shingles are told apart by 48 bits of a fingerprint (64 in n_shingles), sets by 64. Other columns are left out; an empty
+    table gives no rows. df is read once, and should come from a table or a checkpoint: blocks of its rows go by their order.
     """
     out = SetJoin(k, num, den).run(df, id_col, text_col)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def one_of_each(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -68,48 +68,55 @@ def brute_components(rows, k, num, den):
     for r in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(r[1]))
         sets.append({tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             if sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [b if x == a else x for x in root]
+                links[i] += 1
+                links[j] += 1
     least = {c: min((rows[i][0] for i in range(len(rows)) if root[i] == c and rows[i][0] is not None), default=None) for c in set(root)}
-    return sorted(((r[0], len(s), least[c]) for r, s, c in zip(rows, sets, root, strict=True)), key=str)
+    return sorted(((r[0], len(s), least[c], n) for r, s, c, n in zip(rows, sets, root, links, strict=True)), key=str)
+
+
+def joined(df, k, num, den):
+    return sorted((tuple(r) for r in set_join.jaccard_components(df, k, num, den).collect()), key=str)
 
 
 @pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 4, 5)])
 def test_set_join(spark, docs, empty, k, num, den):
-    got = sorted((tuple(r) for r in set_join.jaccard_components(docs, k, num, den).collect()), key=str)
+    got = joined(docs, k, num, den)
     assert got == brute_components(corpus(), k, num, den)
     assert set_join.jaccard_components(empty, k, num, den).count() == 0
     kept = set_join.one_of_each(docs, k, num, den)
     assert kept.columns == docs.columns
-    assert sorted(r[0] for r in kept.filter("doc_id is not null").collect()) == sorted(i for i, _, c in got if i is not None and i == c)
+    assert sorted(r[0] for r in kept.filter("doc_id is not null").collect()) == sorted(i for i, _, c, _ in got if i is not None and i == c)
 
 
-def test_set_join_last_round(spark, monkeypatch):
-    """Long lists: every pair of the last round's blocks."""
-    monkeypatch.setattr(set_join, "WIDTHS", (1,))
-    monkeypatch.setattr(set_join, "BLOCK", 8)
+@pytest.mark.parametrize("changes", [(0, 1, 2), (1, 2, 3, 4), (0, 3, 6, 9)])
+def test_set_join_of_near_groups(spark, monkeypatch, changes):
+    """Groups of near copies at all distances: sure, doubtful and no links between groups, in small blocks and chunks."""
+    monkeypatch.setattr(set_join, "CHUNK", 4)
+    monkeypatch.setattr(set_join, "BLOCK", 500)
     rng = random.Random(4)
-    base = [f"w{i}" for i in range(60)]
+    bases = [[f"w{g}x{i}" for i in range(90)] for g in range(2)]
+    bases.append([*bases[0][:80], *(f"v{i}" for i in range(10))])
     rows = []
-    for i in range(70):
-        words = list(base)
-        for _ in range(rng.choice((0, 1, 2))):
-            words[rng.randrange(60)] = f"x{rng.random()}"
-        rows.append((i, " ".join(words)))
-    got = sorted((tuple(r) for r in set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()), key=str)
-    assert got == brute_components(rows, 4, 85, 100)
+    for i in range(120):
+        words = list(bases[i % 3])
+        for _ in range(rng.choice(changes)):
+            words[rng.randrange(90)] = f"x{rng.random()}" if i % 2 else f"y{rng.randrange(3)}"
+        rows.append((i, " ".join(words[: rng.choice((90, 90, 88, 80))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert joined(df, 4, 85, 100) == brute_components(rows, 4, 85, 100)
 
 
 def test_set_join_of_exact_copies_alone(spark):
     """Equal sets belong together where no two different sets share a list."""
     rows = [(5, "one two three four five six"), (2, "One  two three\tfour five six"), (3, "seven eight nine ten eleven"), (9, "short"), (4, "SHORT"), (7, ""), (8, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((tuple(r) for r in set_join.jaccard_components(df, 4, 85, 100).collect()), key=str)
-    assert got == brute_components(rows, 4, 85, 100)
+    assert joined(df, 4, 85, 100) == brute_components(rows, 4, 85, 100)
     assert sorted(r[0] for r in set_join.one_of_each(df, 4, 85, 100).collect()) == [2, 3, 4, 7, 8]
 
 
@@ -354,6 +361,6 @@ def test_pipeline(spark, docs, tmp_path):
     for r in rows:
         if lower(r[1]) not in last or (r[0] is not None and r[0] >= (last[lower(r[1])][0] or -1)):
             last[lower(r[1])] = r
-    least = {i for i, _, c in brute_components(list(last.values()), 5, 4, 5) if i is None or i == c}
+    least = {i for i, _, c, _ in brute_components(list(last.values()), 5, 4, 5) if i is None or i == c}
     assert kept == sorted(map(str, least))
     assert {str(r["doc_id"]) for r in p.run(spark, str(tmp_path)).collect()} == set(kept)
