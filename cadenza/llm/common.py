@@ -24,18 +24,34 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that starts with `name` and begins none of df's own, whatever their case."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key's decimal text, modulo n; -1 for a null key."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, in the folder the cluster names or, where none is named, in one of our own."""
-    sc = df.sparkSession.sparkContext
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or that the session has set. Only a local session may do without one: a
+    cluster's executors can't see each other's own folders, so there it is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cadenza-checkpoints"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def merged_table(df: DataFrame, make, cells: int, dtype: str, how: str, chunk: int = 1 << 16) -> np.ndarray:

@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components as those given: stars, with the least node of each in the middle (first)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    rest = root != np.arange(len(nodes))
+    return nodes[root[rest]], nodes[rest]
+
+
 def _forest(batches):
-    """Replaces a batch's links by stars with the same components, the least node in the middle."""
+    """Replaces a batch's links by stars."""
     for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = at[: len(a)], at[len(a) :]
-        root = np.arange(len(nodes))
-        while True:
-            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-            if (low == high).all():
-                break
-            np.minimum.at(root, high, low)
-            while (root[root] != root).any():
-                root = root[root]
-        rest = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_pydict({"a": pa.array(nodes[root[rest]]), "b": pa.array(nodes[rest])})
+        a, b = stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ summed up, and gets back those that more than one text holds, with their counts.
 rarest first; sets that are similar enough share one of their first shingles, so only such shingles are listed, and only for
 sets that have a shared one among their first.
 
-Set relations then save most comparisons. Of each list (a shingle, by size bands) the set with the least hash is compared with
-the others; a set so near to one of these that any two sets that near must link is put into its group: the answers of the
-group's members to each other, and to all that is far from or near enough to the group, follow from those of its pivot by the
-triangle inequality of the Jaccard distance. Lists are kept as blocks, one for each group and size band, with bounds of sizes
-and of what follows the shared position; blocks that can't link by these bounds are skipped. Only members of two groups about
-which the pivots' distance leaves doubt are compared with each other, inside tasks; no pairs of a group are ever written.
+Set relations then save most comparisons. In each list (a shingle, by size bands) the set with the least share of shingles of
+its own is compared with the others, and a set joins the cluster of the nearest such hub. A cluster is kept in chunks by the
+distance from its hub. By the triangle inequality of the Jaccard distance, the hub's answers give those of whole chunks: two
+chunks that are near enough link in full, two that are too far apart are skipped, and only where the bounds leave doubt are
+the members of one compared with those of the other, inside a task. Across clusters, lists are skipped through by blocks (the
+sets of a cluster and size band in a list, with bounds of sizes and of what follows the shared position), and the distance of
+the two hubs decides about chunks in the same way. No pairs of members are ever written, only how many links each has, and
+chains of links that hold a component together.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from .components import components, stars
 from .shingles import U, shingle_sets
 
 #: Bits of a shingle's fingerprint that are kept; shingles a block collects before it is sent; classes it may hold.
 BITS, BLOCK, MOST = 48, 1 << 20, 65_535
-#: Members of a group that are compared with as many of another group in one go.
-CHUNK = 64
+#: Members of a chunk, and shingles they may hold; steps of distance from the hub that part chunks; columns compared at once.
+CHUNK, CHUNK_SHINGLES, STEPS, COLUMNS = 512, 1 << 20, 20, 4096
 EPS = 1e-9
 
 
@@ -86,9 +88,10 @@ class SetJoin:
             first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
             different, often = every[first], np.diff(np.r_[first, len(every)])
             cuts = np.r_[np.searchsorted(different, edges), len(different)]
+            often = often.astype(np.uint16)
             head = pickle.dumps((np.array(place, np.int32), np.array(size, np.int64), np.array(sids, np.int64), lens, own, often, cuts), 5)
             used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            payload = [head, *(pickle.dumps((planes(different[cuts[b] : cuts[b + 1]]), often[cuts[b] : cuts[b + 1]].astype(np.uint16).tobytes()), 5) for b in used)]
+            payload = [head, *(pickle.dumps((planes(different[cuts[b] : cuts[b + 1]]), often[cuts[b] : cuts[b + 1]].tobytes()), 5) for b in used)]
             return pa.RecordBatch.from_arrays([
                 pa.array([block % buckets, *used], pa.int32()), pa.array([block] * len(payload), pa.int64()), pa.array([-1, *used], pa.int32()), pa.array(payload, pa.large_binary()),
                 pa.array([pa.concat_arrays(ids).to_pylist()] + [None] * len(used), pa.list_(kind)),
@@ -151,21 +154,23 @@ class SetJoin:
             for k in range(i, i + len(part)):
                 t = total[at[k] : at[k + 1]]
                 shared = np.flatnonzero(t > 1)
-                payload.append(pickle.dumps((shared.astype(np.uint32), planes(values[k][shared]), t[shared]), 5))
+                payload.append(pickle.dumps((shared.astype(np.uint32), planes(values[k][shared]), np.minimum(t[shared], (1 << 32) - 1).astype(np.uint32)), 5))
             none = pa.nulls(len(part), schema.field(4).type)
             yield pa.RecordBatch.from_arrays([pa.array([b % (1 << 31) for b, _ in part], pa.int32()), pa.array([b for b, _ in part], pa.int64()), pa.array([k for _, k in part], pa.int32()), pa.array(payload, schema.field(3).type), none], schema=schema)
 
     def _facts(self, batches, kind):
         """From each block: (id, n, sid) of its rows (what 0); sid, size and shared shingles of the classes that may link
-        (what 1); and these classes listed under their first shingles, with size and position in `at` (what 2)."""
-        names = ["what", "id", "n", "sid", "token", "at", "members"]
-        types = [pa.int8(), kind, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.large_binary()]
+        (what 1); and these classes listed under their first shingles, with size, position, and number of shingles that no other
+        text has (what 2)."""
+        names = ["what", "id", "n", "sid", "token", "pos", "alone", "members"]
+        types = [pa.int8(), kind, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.large_binary()]
 
         def table(what, m, **given):
             return pa.RecordBatch.from_arrays([pa.array(np.full(m, what, np.int8)), *(given[c] if c in given else pa.nulls(m, t) for c, t in zip(names[1:], types[1:], strict=True))], names=names)
 
         def done(head, ids, parts):
             place, size, sids, lens, own, often, cuts = head
+            often = often.astype(np.int64)
             yield table(0, len(place), id=ids, n=pa.array(size), sid=pa.array(np.append(sids, 0)[place], mask=place < 0))
             if not parts:
                 return
@@ -184,13 +189,14 @@ class SetJoin:
                 if alone >= first:
                     continue
                 mine = value[start[c] : start[c] + held[c]]
-                out.append((mine[: first - alone].view(np.int64), (n << 32) + alone + np.arange(first - alone), np.full(first - alone, sids[c])))
+                m_ = first - alone
+                out.append((mine[:m_].view(np.int64), np.full(m_, n), alone + np.arange(m_), np.full(m_, alone), np.full(m_, sids[c])))
                 members.append((sids[c], n, planes(np.sort(mine))))
             for i in range(0, len(members), 2000):
                 some = members[i : i + 2000]
                 yield table(1, len(some), sid=pa.array([x[0] for x in some], pa.int64()), n=pa.array([x[1] for x in some], pa.int64()), members=pa.array([x[2] for x in some], pa.large_binary()))
-                token, where, sid = (np.concatenate(c) for c in zip(*out[i : i + 2000], strict=True))
-                yield table(2, len(token), sid=pa.array(sid), token=pa.array(token), at=pa.array(where))
+                token, n, pos, alone, sid = (np.concatenate(c) for c in zip(*out[i : i + 2000], strict=True))
+                yield table(2, len(token), n=pa.array(n), sid=pa.array(sid), token=pa.array(token), pos=pa.array(pos), alone=pa.array(alone))
 
         block, head, ids, parts = None, None, None, []
         for batch in batches:
@@ -212,7 +218,7 @@ class SetJoin:
         id_kind = texts.schema[0].dataType.simpleString()
         sent = self._blocks(texts, n).repartition(n, "goes")
         back = sent.mapInArrow(self._shared, sent.schema).repartition(n, "block").sortWithinPartitions("block", "bucket")
-        return cut(back.mapInArrow(lambda batches: self._facts(batches, kind), f"what byte, id {id_kind}, n long, sid long, token long, at long, members binary"))
+        return cut(back.mapInArrow(lambda batches: self._facts(batches, kind), f"what byte, id {id_kind}, n long, sid long, token long, pos long, alone long, members binary"))
 
     def fits(self, x: str, y: str) -> Column:
         """Whether two listed sets can link, by their sizes and what follows their positions."""
@@ -243,110 +249,136 @@ class SetJoin:
         met = left.unionByName(right).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return met.mapInArrow(run, "a long, b long, na long, nb long, common long")
 
-    def groups(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
-        """(sid, g, d): classes put into the group of a pivot g, and their distance from it, (1 - num / den) / 2 at most."""
-        hashed = F.xxhash64("sid")
-        first = lists.groupBy("token", "band").agg(F.min(F.struct(hashed.alias("h"), "sid", "n", "pos")).alias("p"), F.max(hashed).alias("last")).filter(F.col("p.h") < F.col("last"))
-        x, y = lists.alias("x"), first.select("token", "band", "p.sid", "p.n", "p.pos").alias("y")
-        pairs = x.join(y, ["token", "band"]).filter((F.col("x.sid") != F.col("y.sid")) & self.fits("x", "y")).select(F.col("y.sid").alias("a"), F.col("x.sid").alias("b")).distinct()
-        union = F.col("na") + F.col("nb") - F.col("common")
-        near = self.overlaps(pairs, sets).filter(F.col("common") * 2 * self.den >= union * (self.num + self.den))
-        near = cut(near.select("a", "b", (1 - F.col("common") / union).alias("d")))
+    def clusters(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """(sid, g, d): classes put into the cluster of a hub g, and their distance from it."""
+        order = F.struct((F.col("alone") / F.col("n")).alias("share"), F.xxhash64("sid").alias("h"), "sid", "n", "pos")
+        hubs = lists.groupBy("token", "band").agg(F.min(order).alias("p"), F.count("*").alias("listed")).filter("listed > 1")
+        x, y = lists.alias("x"), hubs.select("token", "band", "p.share", "p.sid", "p.n", "p.pos").alias("y")
+        pairs = x.join(y, ["token", "band"]).filter((F.col("x.sid") != F.col("y.sid")) & self.fits("x", "y")).groupBy(F.col("y.sid").alias("a"), F.col("x.sid").alias("b")).agg(F.min("y.share").alias("share"))
+        near = self.overlaps(pairs, sets).filter(F.col("common") * 2 >= F.col("na") + F.col("nb") - F.col("common"))
+        near = cut(near.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d")))
         roots = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        best = roots.groupBy(F.col("b").alias("sid")).agg(F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("g"), "d")).alias("m"))
+        best = roots.groupBy(F.col("b").alias("sid")).agg(F.min(F.struct("d", F.xxhash64("a").alias("h"), F.col("a").alias("g"))).alias("m"))
         return best.select("sid", "m.g", "m.d")
 
-    def doubtful(self, pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """(g, h, sid, gain): which members of two groups link, compared in blocks of CHUNK by CHUNK: how many documents each
-        gains. members: (sid, g, w), pairs: (g, h)."""
-        sizes = members.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-        chunked = members.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).join(sets, "sid")
-        wide = pairs.join(sizes.toDF("g", "cg"), "g").join(sizes.toDF("h", "ch"), "h")
-        blocks = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cg") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ch") - 1))).select("g", "h", "i", "j")
-        kept = ["sid", "w", "n", "members"]
-        left = blocks.join(chunked.select("g", F.col("chunk").alias("i"), *kept), ["g", "i"]).select("g", "h", "i", "j", F.lit(0).alias("side"), *kept)
-        right = blocks.join(chunked.select(F.col("g").alias("h"), F.col("chunk").alias("j"), *kept), ["h", "j"]).select("g", "h", "i", "j", F.lit(1).alias("side"), *kept)
+    def compared(self, pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, gain): members of two chunks, compared with each other. A row without b says how many documents a gains by
+        its links; the others are links that hold together what is linked. pairs: (i, j) of chunks, i <= j; members: (sid,
+        chunk, w)."""
+        sides = pairs.select("i", "j", F.col("i").alias("chunk"), F.lit(0).alias("side")).unionByName(pairs.filter("i < j").select("i", "j", F.col("j").alias("chunk"), F.lit(1).alias("side")))
+        rows = sides.join(members.join(sets, "sid"), "chunk").select("i", "j", "side", "sid", "w", "n", "members")
+
+        def links(x, y):
+            n, m = np.array([s[2] for s in x]), np.array([s[2] for s in y])
+            value = np.concatenate([s[3] for s in (*x, *y)])
+            who = np.repeat(np.arange(len(x) + len(y)), [len(s[3]) for s in (*x, *y)])
+            left = who < len(x)
+            both = np.intersect1d(value[left], value[~left])
+            common = np.zeros((len(x), len(y)), np.float32)
+            spot = np.minimum(np.searchsorted(both, value), max(0, len(both) - 1))
+            hit = both[spot] == value if len(both) else np.zeros(len(value), bool)
+            spot, who = spot[hit], who[hit]
+            for c in range(0, len(both), COLUMNS):
+                now = (spot >= c) & (spot < c + COLUMNS)
+                table = np.zeros((len(x) + len(y), min(COLUMNS, len(both) - c)), np.float32)
+                table[who[now], spot[now] - c] = 1
+                common += table[: len(x)] @ table[len(x) :].T
+            return self.den * common.astype(np.int64) >= self.num * (n[:, None] + m[None, :] - common.astype(np.int64))
 
         def compare(key, sides):
-            (la, lb) = sides
-            if not la or not lb:
+            x, y = sides
+            inner = key[0] == key[1]
+            y = x if inner else y
+            if not x or not y:
                 return []
-            own = np.repeat(np.arange(len(lb)), [len(x[3]) for x in lb])
-            every, m = np.concatenate([x[3] for x in lb]), np.array([x[2] for x in lb])
-            wa, wb, gain_a, gain_b = [x[1] for x in la], np.array([x[1] for x in lb]), [], np.zeros(len(lb), np.int64)
-            for (_, w, n, s), _ in zip(la, wa, strict=True):
-                spot = np.minimum(np.searchsorted(s, every), max(0, len(s) - 1))
-                common = np.bincount(own[s[spot] == every] if len(s) else own[:0], minlength=len(lb))
-                link = self.den * common >= self.num * (n + m - common)
-                gain_a.append(int(wb[link].sum()))
-                gain_b += link * w
-            return [(key[0], key[1], x[0], gain) for x, gain in [*zip(la, gain_a, strict=True), *zip(lb, gain_b.tolist(), strict=True)] if gain]
+            link = links(x, y)
+            if inner:
+                np.fill_diagonal(link, False)
+            wx, wy = np.array([s[1] for s in x]), np.array([s[1] for s in y])
+            out = [(s[0], None, int(g)) for s, g in zip(x, link @ wy, strict=True) if g]
+            out += [] if inner else [(s[0], None, int(g)) for s, g in zip(y, link.T @ wx, strict=True) if g]
+            i, j = np.nonzero(link)
+            ends = stars(np.array([s[0] for s in x])[i], np.array([s[0] for s in y])[j])
+            out += [(a, b, None) for a, b in zip(*(e.tolist() for e in ends), strict=True)]
+            return out
 
         def run(batches):
             key, sides = None, ([], [])
             for batch in batches:
                 out = []
-                for *now, side, sid, w, n, members_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if now != key:
+                for i, j, side, sid, w, n, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (i, j) != key:
                         if key is not None:
                             out += compare(key, sides)
-                        key, sides = now, ([], [])
-                    sides[side].append((sid, w, n, unplaned(members_)))
-                yield gains(out)
+                        key, sides = (i, j), ([], [])
+                    sides[side].append((sid, w, n, unplaned(held)))
+                yield table(out)
             if key is not None:
-                yield gains(compare(key, sides))
+                yield table(compare(key, sides))
 
-        def gains(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["g", "h", "sid", "gain"])
+        def table(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "gain"])
 
-        met = left.unionByName(right).repartition(n_tasks(pairs), "g", "h", "i", "j").sortWithinPartitions("g", "h", "i", "j", "side")
-        return met.mapInArrow(run, "g long, h long, sid long, gain long")
+        met = rows.repartition(n_tasks(pairs), "i", "j").sortWithinPartitions("i", "j", "side")
+        return met.mapInArrow(run, "a long, b long, gain long")
 
     def run(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         facts = self.facts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
         rows = facts.filter("what = 0").select("id", "n", "sid")
         sets = facts.filter("what = 1").select("sid", "n", "members").dropDuplicates(["sid"])
-        lists = facts.filter("what = 2").select("token", "sid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos")).dropDuplicates(["token", "sid"])
+        lists = facts.filter("what = 2").select("token", "sid", "n", "pos", "alone").dropDuplicates(["token", "sid"])
         lists = lists.withColumn("band", self.band(F.col("n")))
-        grouped = cut(self.groups(lists, sets))
-
-        weights = rows.filter("sid is not null").groupBy("sid").agg(F.count("*").alias("w"), F.min("id").alias("least"))
-        classes = weights.join(grouped, "sid", "left").select("sid", "w", "least", F.coalesce("g", "sid").alias("g"), F.coalesce("d", F.lit(0.0)).alias("d"))
-        classes = cut(classes)
-        groups = classes.groupBy("g").agg(F.sum("w").alias("weight"), F.max("d").alias("radius"), F.min("least").alias("least"))
-
-        # blocks of lists, one for a group and a band, of lists with several groups
-        placed = lists.join(grouped.select("sid", "g"), "sid", "left").withColumn("g", F.coalesce("g", "sid"))
-        blocks = placed.groupBy("token", "band", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+        zero, apart = F.lit(0).cast("long"), 1 - self.num / self.den
+
+        classes = rows.filter("sid is not null").groupBy("sid").agg(F.count("*").alias("w"), F.min("id").alias("least"))
+        listed = sets.select("sid", "n").join(classes, "sid").join(self.clusters(lists, sets), "sid", "left")
+        listed = cut(listed.select("sid", "n", "w", "least", F.coalesce("g", "sid").alias("g"), F.coalesce("d", F.lit(0.0)).alias("d")))
+        step = F.floor(F.col("d") * STEPS).cast("int")
+        parts = listed.groupBy("g", step.alias("step")).agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("parts"))
+        listed = listed.withColumn("step", step).join(parts, ["g", "step"]).withColumn("chunk", F.xxhash64("g", "step", F.pmod(F.xxhash64("sid"), F.col("parts"))))
+        listed = cut(listed.select("sid", "n", "w", "g", "d", "chunk"))
+        chunks = cut(listed.groupBy("g", "chunk").agg(F.count("*").alias("size"), F.sum("w").alias("weight"), F.min("d").alias("near"), F.max("d").alias("far"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("sid").alias("first")))
+
+        # clusters that meet in a list: blocks of lists by size band, skipped by sizes and positions
+        blocks = lists.join(listed.select("sid", "g"), "sid").groupBy("token", "band", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
         several = blocks.groupBy("token").agg(F.min("g").alias("ga"), F.max("g").alias("gb")).filter("ga <> gb").select("token")
         blocks = cut(blocks.join(several, "token", "left_semi"))
         probe = blocks.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
         x, y = probe.alias("x"), blocks.alias("y")
-        least = self.need(F.col("x.low"), F.col("y.low"))
-        can = (F.col("x.g") != F.col("y.g")) & (F.col("x.high") * self.den >= F.col("y.low") * self.num) & (F.col("y.high") * self.den >= F.col("x.low") * self.num) & (F.least("x.rest", "y.rest") >= least)
-        pairs = x.join(y, ["token", "band"]).filter(can).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b")).distinct()
-
-        union, apart = F.col("na") + F.col("nb") - F.col("common"), 1 - self.num / self.den
-        met = self.overlaps(pairs, sets).select("a", "b", (F.col("common") * self.den >= union * self.num).alias("link"), (1 - F.col("common") / union).alias("d"))
-        met = met.join(groups.select(F.col("g").alias("a"), F.col("weight").alias("wa"), F.col("radius").alias("ra")), "a").join(groups.select(F.col("g").alias("b"), F.col("weight").alias("wb"), F.col("radius").alias("rb")), "b")
-        both = F.col("ra") + F.col("rb")
-        verdict = F.when(both == 0, F.col("link").cast("int")).when(F.col("d") + both <= apart - EPS, 1).when(F.col("d") - both > apart + EPS, 0).otherwise(2)
-        met = cut(met.withColumn("verdict", verdict).filter("verdict > 0"))
-        doubts = met.filter("verdict = 2").select(F.col("a").alias("g"), F.col("b").alias("h"))
-        gains = cut(self.doubtful(doubts, classes.select("sid", "g", "w"), sets))
-
-        sure = met.filter("verdict = 1")
-        more = sure.select(F.col("a").alias("g"), F.col("wb").alias("more")).union(sure.select("b", "wa")).groupBy("g").agg(F.sum("more").alias("more"))
-        own = gains.groupBy("sid").agg(F.sum("gain").alias("gain"))
-        edges = sure.select("a", "b").union(gains.select("g", "h").distinct())
-        comp = components(edges).toDF("g", "comp")
-        named = groups.join(comp, "g", "left").withColumn("comp", F.coalesce("comp", "g"))
+        alike = lambda p, q: (F.col(f"{p}.high") * self.den >= F.col(f"{q}.low") * self.num) & (F.col(f"{q}.high") * self.den >= F.col(f"{p}.low") * self.num)
+        can = (F.col("x.g") != F.col("y.g")) & alike("x", "y") & (F.least("x.rest", "y.rest") >= self.need(F.col("x.low"), F.col("y.low")))
+        meet = x.join(y, ["token", "band"]).filter(can).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b")).distinct()
+        hubs = self.overlaps(meet, sets).select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"), (F.col("common") * self.den >= (F.col("na") + F.col("nb") - F.col("common")) * self.num).alias("link"))
+
+        # chunks of one cluster, and of two that meet: nearest and farthest that their members can be
+        x, y = chunks.alias("x"), chunks.alias("y")
+        ends = [F.col(f"{p}.{c}").alias(f"{c}_{p}") for p in "xy" for c in ("chunk", "size", "weight", "first")]
+        ordered = (F.col("x.chunk") < F.col("y.chunk")) | ((F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.size") > 1))
+        far = F.col("x.far") + F.col("y.far")
+        inner = x.join(y, F.col("x.g") == F.col("y.g")).filter(ordered & alike("x", "y")).select(
+            F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"), F.lit(0.0)).alias("lo"), far.alias("hi"), F.lit(None).cast("boolean").alias("link"), *ends)
+        z = hubs.alias("z")
+        outer = z.join(x, F.col("z.a") == F.col("x.g")).join(y, F.col("z.b") == F.col("y.g")).filter(alike("x", "y")).select((F.col("z.d") - far).alias("lo"), (F.col("z.d") + far).alias("hi"), F.when(far == 0, F.col("z.link")).alias("link"), *ends)
+        sure = F.coalesce("link", F.col("hi") <= apart - EPS)
+        met = cut(inner.unionByName(outer).filter("link or link is null").filter(F.col("lo") <= apart + EPS).withColumn("sure", sure))
+        doubtful = met.filter("not sure").select(F.least("chunk_x", "chunk_y").alias("i"), F.greatest("chunk_x", "chunk_y").alias("j"))
+        found = cut(self.compared(doubtful, listed.select("sid", "chunk", "w"), sets))
+
+        # whole chunks gain whole chunks; a chunk that links with itself gains itself less the member's own class
+        whole = met.filter("sure")
+        more = whole.select(F.col("chunk_x").alias("chunk"), F.col("weight_y").alias("more"), (F.col("chunk_x") == F.col("chunk_y")).alias("own"))
+        more = more.unionByName(whole.filter("chunk_x <> chunk_y").select(F.col("chunk_y").alias("chunk"), F.col("weight_x").alias("more"), F.lit(False).alias("own")))
+        more = more.groupBy("chunk").agg(F.sum("more").alias("more"), F.max(F.col("own").cast("int")).alias("own"))
+        gains = found.filter("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("gain").alias("gain"))
+        placed = cut(listed.join(more, "chunk", "left").join(chunks.select("chunk", "first"), "chunk").join(gains, "sid", "left"))
+        extra = F.coalesce("more", zero) + F.coalesce("gain", zero) - F.when(F.col("own") == 1, F.col("w")).otherwise(zero)
+        edges = found.filter("b is not null").select("a", "b").union(whole.select("first_x", "first_y")).union(placed.filter("more is not null").select("sid", "first"))
+        named = placed.select("sid", extra.alias("extra")).join(components(edges).toDF("sid", "comp"), "sid", "left")
+        named = classes.join(named, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         low = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-        whole = named.join(low, "comp").join(more, "g", "left").select("g", "component_id", (F.col("weight") - 1 + F.coalesce("more", F.lit(0).cast("long"))).alias("links"))
-        answers = classes.select("sid", "g").join(whole, "g").join(own, "sid", "left")
-        answers = cut(answers.select("sid", "component_id", (F.col("links") + F.coalesce("gain", F.lit(0).cast("long"))).alias("n_links")))
+        answers = cut(named.join(low, "comp").select("sid", "component_id", (F.col("w") - 1 + F.coalesce("extra", zero)).alias("n_links")))
         found = rows.join(answers, "sid", "left")
-        return found.select("id", "n", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        return found.select("id", "n", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", zero).alias("n_links"))
 
 
 def pa_type(texts: DataFrame) -> pa.DataType:

@@ -3,7 +3,8 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+import string
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -96,8 +97,9 @@ def test_set_join(spark, docs, empty, k, num, den):
 
 @pytest.mark.parametrize("changes", [(0, 1, 2), (1, 2, 3, 4), (0, 3, 6, 9)])
 def test_set_join_of_near_groups(spark, monkeypatch, changes):
-    """Groups of near copies at all distances: sure, doubtful and no links between groups, in small blocks and chunks."""
-    monkeypatch.setattr(set_join, "CHUNK", 4)
+    """Groups of near copies at all distances: sure, doubtful and no links between chunks, in small blocks and chunks."""
+    monkeypatch.setattr(set_join, "CHUNK", 6)
+    monkeypatch.setattr(set_join, "COLUMNS", 16)
     monkeypatch.setattr(set_join, "BLOCK", 500)
     rng = random.Random(4)
     bases = [[f"w{g}x{i}" for i in range(90)] for g in range(2)]
@@ -203,6 +205,55 @@ def test_entropy_is_exact(spark):
         assert abs(h - best) < 1e-9
 
 
+def plain_scan(text):
+    """All spans of a text by a plain loop."""
+    w, found = secrets.WINDOW, [(m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(BASE) for m in p.finditer(text) if len(m[g]) >= n]
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        s = re.sub(r"(?i)(?<![A-Za-z0-9])(?:example|sample|placeholder)s?(?![A-Za-z0-9])[+/_=-]*", "", m[0])
+        letters, capitals, vowels = (sum(c in kind for c in s) for kind in (string.ascii_letters, string.ascii_uppercase, "AEIOUaeiou"))
+        both, digits, hexes = min(capitals, letters - capitals) * 4 >= letters, re.search("[0-9]", s), re.fullmatch("[0-9a-fA-F]+", s)
+        limit = secrets.BITS_HEX if hexes else secrets.BITS_MIXED if digits else secrets.BITS_CASES if both else secrets.BITS_LETTERS
+        if re.fullmatch(r"[0-9+/_=-]+|(.)\1+|(?i:abcdefghijklmnopqrstuvwxyz)+", s):
+            continue
+        if digits and re.fullmatch(r"[a-z]+[0-9]{0,4}|[A-Z]?[a-z]*([/_=+-][A-Z]?[a-z]*[0-9]{0,4})+", s):
+            continue
+        if not digits and not (hexes or both or vowels * 4 <= letters or re.search("(?i)[b-df-hj-np-tv-xz]{8}", s)):
+            continue
+        counts = (Counter(s[i : i + w]) for i in range(len(s) - w + 1))
+        if max((-sum(c / w * np.log2(c / w) for c in k.values()) for k in counts), default=-1) >= limit - 1e-12:
+            found.append((m.start(), 3, m.end()))
+    return sorted(found)
+
+
+def test_secrets_by_a_plain_scan(spark, docs, empty):
+    """All spans of odd texts, long candidates too, equal a plain loop's; redacting them equals a plain replacement."""
+    rng = random.Random(12)
+    pick = lambda kind, n: "".join(rng.choice(kind) for _ in range(n))
+    base64 = string.ascii_letters + string.digits + "+/"
+    words = lambda n, kind: " ".join(rng.choice([rng.choice(WORDS), pick(kind, rng.randint(15, 60)), "é", "token=abcdefgh", "\n"]) for _ in range(n))
+    texts = [None, "", "é" * 5000 + pick(base64, 40), pick(base64, 100_000), "a" + "/a1" * 30_000, pick(string.ascii_lowercase, 100_000), pick("ab", 100_000), "abcdefghijklmnopqrstuvwxyz" * 2000, "-" * 100_000]
+    texts += [words(300, kind) for kind in (base64, string.ascii_letters, "0123456789abcdef", "ab1", base64 + "_-=")] + ["api_key=x1y2z3 " * 3000, "x" * 4090 + " " + pick(base64, 30) + " tail", "y" * 4070 + " AKIA" + "Z" * 20 + " " + pick(base64, 5000)]
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate([*texts, texts[9]])], "doc_id long, text string, __base string, __scan int")
+    rows = secrets.secret_report(df).collect()
+    assert len(rows) == len(texts) + 1
+    texts.append(texts[9])
+    kinds = [*(b[0] for b in BASE), "entropy"]
+    clean = {r["doc_id"]: r for r in secrets.redact(df).collect()}
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        spans = plain_scan(text)
+        assert r["spans"] == ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+        out, at = [], -1
+        for a, _, b in spans:
+            if a > at:
+                out += [text[max(0, at) : a], "[secret]"]
+            at = max(at, b)
+        redacted = clean[r["doc_id"]]
+        assert (redacted["text"] or "") == "".join(out) + text[max(0, at) :] and (redacted["__base"], redacted["__scan"]) == ("c", 1)
+    assert clean[0]["text"] is None and secrets.secret_report(empty).count() == secrets.redact(empty).count() == 0
+    assert secrets.redact(docs).count() == docs.count()
+
+
 def test_langid(spark, empty):
     rng = random.Random(3)
     own = {"aa": ["kalo", "kami", "kane", "ka"], "bb": ["zuto", "zuvi", "zupe", "zu"]}
