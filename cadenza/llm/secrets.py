@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Kinds in their order, their patterns, the group whose length counts, and the least length.
 KINDS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -18,12 +20,13 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW, BITS_HEX, BITS_MIXED, BITS_CASES, BITS_LETTERS = 20, 2.9, 3.8, 3.6, 3.4
 #: Allowed although they may look random: numbers with separators, lower-case words with a number, paths of words, one
 #: character again and again, the alphabet. The word patterns are for runs with a digit; those without have limits of their own.
-ALLOWED = r"^[0-9+/_=-]+$|^(.)\1+$|^(?i:abcdefghijklmnopqrstuvwxyz)+$"
-ALLOWED_WORDS = r"^[a-z]+[0-9]{0,4}$|^[A-Z]?[a-z]*([/_=+-][A-Z]?[a-z]*[0-9]{0,4})+$"
+ALLOWED = r"^[0-9+/_=-]++$|^(.)\1++$|^(?i:abcdefghijklmnopqrstuvwxyz)++$"
+ALLOWED_WORDS = r"^[a-z]+[0-9]{0,4}$|^[A-Z]?[a-z]*+(?:[/_=+-][A-Z]?[a-z]*+[0-9]{0,4}+)++$"
 #: Words that tell of a sample; they are left out of a candidate, and what is left of it is judged.
 SAMPLES = r"(?i)(?<![A-Za-z0-9])(?:example|sample|placeholder)s?(?![A-Za-z0-9])[+/_=-]*"
 CONSONANTS = r"(?i)[b-df-hj-np-tv-xz]{8}"
-BLOCK = 256
+#: Matches whose places are summed up together; characters of a candidate, and of a text, that are worked on together.
+BLOCK, PIECE, PART = 256, 512, 4096
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -50,26 +53,30 @@ def _match_spans(text: Column, pattern: str, kind: int) -> tuple[Column, Column]
 
 
 def window_entropy(s: Column) -> Column:
-    """The largest Shannon entropy, in bits, of any WINDOW characters in a row of an ASCII string. As the window moves on,
-    two counts change, and with them the sum of c log2 c; nothing is counted anew."""
-    weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)))
-    chars = F.transform(F.split(s, ""), lambda c: F.ascii(c) + 1)
-
-    def put(counts: Column, at: Column, n: Column) -> Column:
-        return F.concat(F.slice(counts, F.lit(1), at - 1), F.array(n), F.slice(counts, at + 1, F.lit(128)))
-
-    def step(state: Column, i: Column) -> Column:
-        old, new = F.get(chars, i - WINDOW - 1), F.get(chars, i - 1)
-        c_old = F.element_at(state["counts"], F.coalesce(old, F.lit(1)))
-        gone = F.when(old.isNull(), state["counts"]).otherwise(put(state["counts"], F.coalesce(old, F.lit(1)), c_old - 1))
-        less = F.when(old.isNull(), state["sum"]).otherwise(state["sum"] - F.element_at(weight, c_old + 1) + F.element_at(weight, F.greatest(c_old, F.lit(1))))
-        c_new = F.element_at(gone, new)
-        total = less - F.element_at(weight, c_new + 1) + F.element_at(weight, c_new + 2)
-        bits = F.when(i >= WINDOW, F.lit(math.log2(WINDOW)) - total / WINDOW).otherwise(F.lit(-1.0))
-        return F.struct(put(gone, new, c_new + 1).alias("counts"), total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
+    """The largest Shannon entropy, in bits, of any WINDOW characters in a row of an ASCII string; below 0 for fewer.
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(s)), start, step, lambda state: state["best"])
+    As the window moves on, the counts of the character that leaves and of the one that comes change, and with them the sum of
+    c log2 c; nothing else is counted anew. Long strings are scanned in pieces that overlap by a window, so the work is in
+    proportion to the length.
+    """
+    weight = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 2)]
+    rise = F.array(*(F.lit(weight[c + 1] - weight[c]) for c in range(WINDOW + 1)))  # of the sum, from c to c + 1
+    most = F.lit(1e9)
+    times = lambda c, held: F.char_length(held) - F.char_length(F.replace(held, c, F.lit("")))
+
+    def step(state: Column, c: Column) -> Column:
+        held = state["held"]
+        full = F.char_length(held) == WINDOW
+        rest = F.when(full, F.substring(held, 2, WINDOW)).otherwise(held)
+        less = F.when(full, F.get(rise, times(F.substring(held, 1, 1), held) - 1)).otherwise(F.lit(0.0))
+        least = F.when(full, F.least(state["least"], state["sum"])).otherwise(state["least"])
+        return F.struct(F.concat(rest, c).alias("held"), (state["sum"] - less + F.get(rise, times(c, rest))).alias("sum"), least.alias("least"))
+
+    start = F.struct(F.lit("").alias("held"), F.lit(0.0).alias("sum"), most.alias("least"))
+    last = lambda state: F.when(F.char_length(state["held"]) == WINDOW, F.least(state["least"], state["sum"])).otherwise(state["least"])
+    pieces = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{PIECE + WINDOW - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    least = F.array_min(F.transform(pieces, lambda p: F.aggregate(F.split(p, ""), start, step, last)))
+    return F.when(least < most, F.lit(math.log2(WINDOW)) - least / WINDOW).otherwise(F.lit(-1.0))
 
 
 def suspicious(s: Column) -> Column:
@@ -86,25 +93,28 @@ def suspicious(s: Column) -> Column:
     return ~rest.rlike(ALLOWED) & open_ & (window_entropy(rest) >= limit)
 
 
-def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df and __base, __spans: arrays of (start, kind, end) in code points, end exclusive, sorted by start, then kind.
+def find_secrets(df: DataFrame, text_col: str = "text", base_out: str = "__base", spans_out: str = "__spans") -> DataFrame:
+    """df and two columns: arrays of (start, kind, end) in code points, end exclusive, sorted by start, then kind.
 
-    __base holds the fixed patterns' spans, __spans these and the entropy scan's (kind 3). Null or empty texts have none.
-    Rows don't depend on each other: nothing shuffles; repeated rows and any other columns pass through.
+    base_out holds the fixed patterns' spans, spans_out these and the entropy scan's (kind 3). Null or empty texts have none.
+    Rows don't depend on each other: nothing shuffles; repeated rows and any other columns pass through, and columns of df
+    with the names of the two are replaced. Work is in proportion to a text's length, also where one candidate fills it.
     """
-    df = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    text, none, parts = F.col("__text"), F.array().cast(SPANS), []
+    own = fresh(df, "__scan")
+    df = df.withColumn(own, F.coalesce(F.col(text_col), F.lit("")))
+    text, none, parts = F.col(own), F.array().cast(SPANS), []
     for k, (kind, pattern, group, least) in enumerate(KINDS):
         spans, found = _match_spans(text, pattern, k)
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
         long_enough = F.filter(F.arrays_zip(spans.alias("s"), values.alias("v")), lambda x: F.char_length(x["v"]) >= least)
-        df = df.withColumn(f"__{kind}", F.when(text.rlike(pattern), F.transform(long_enough, lambda x: x["s"])).otherwise(none))
-        parts.append(F.col(f"__{kind}"))
+        df = df.withColumn(f"{own}_{kind}", F.when(text.rlike(pattern), F.transform(long_enough, lambda x: x["s"])).otherwise(none))
+        parts.append(F.col(f"{own}_{kind}"))
     spans, found = _match_spans(text, CANDIDATE, len(KINDS))
     marked = F.filter(F.arrays_zip(spans.alias("s"), found.alias("v")), lambda x: suspicious(x["v"]))
-    df = df.withColumn("__entropy", F.when(text.rlike(CANDIDATE), F.transform(marked, lambda x: x["s"])).otherwise(none))
-    df = df.withColumn("__base", F.sort_array(F.concat(*parts)))
-    return df.withColumn("__spans", F.sort_array(F.concat("__base", "__entropy")))
+    df = df.withColumn(f"{own}_entropy", F.when(text.rlike(CANDIDATE), F.transform(marked, lambda x: x["s"])).otherwise(none))
+    df = df.withColumn(base_out, F.sort_array(F.concat(*parts)))
+    df = df.withColumn(spans_out, F.sort_array(F.concat(F.col(base_out), F.col(f"{own}_entropy"))))
+    return df.drop(own, f"{own}_entropy", *(f"{own}_{k[0]}" for k in KINDS))
 
 
 def _joined(spans: Column) -> Column:
@@ -113,25 +123,34 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = find_secrets(df.select(id_col, text_col), text_col)
+    """id, n_assign, n_access, n_hex, base_sha256, spans of each row; other columns are left out, no rows give none."""
+    found = find_secrets(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
     return found.select(
-        id_col, *(F.size(f"__{k[0]}").cast("long").alias(f"n_{k[0]}") for k in KINDS),
+        F.col("id").alias(id_col), *(F.expr(f"cast(size(filter(__base, x -> x.kind = {k})) as long)").alias(f"n_{kind[0]}") for k, kind in enumerate(KINDS)),
         F.sha2(_joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"),
     )
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """df with the same columns, each found span (overlapping ones as one) replaced by `mark`; other texts stay as they are."""
-    found = find_secrets(df, text_col)
-    text = F.col("__text")
-
-    def step(s: Column, x: Column) -> Column:
-        apart = x["start"] > s["at"]
-        between = F.substring(text, (s["at"] + 1).cast("int"), (F.greatest(x["start"] - s["at"], F.lit(0))).cast("int"))
-        fresh = F.concat(s["out"], F.array(between, F.lit(mark)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart | (F.size(s["out"]) == 0), fresh).otherwise(s["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    rebuilt = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
-    new = F.when(F.size("__spans") > 0, rebuilt).otherwise(F.col(text_col))
+    """df with the same columns, each found span (overlapping or touching ones as one) replaced by `mark`; other texts stay as
+    they are, null ones null. A text is put together in parts of PART characters, so a long one with many spans is no worse."""
+    base, spans = fresh(df, "__base"), fresh(df, "__spans")
+    found = find_secrets(df, text_col, base, spans)
+    text = F.col(text_col)
+
+    def rebuilt(part: Column, i: Column) -> Column:
+        begin = (i * PART).cast("long")
+        near = F.filter(spans, lambda x: (x["start"] < begin + PART) & (x["end"] >= begin))
+        carried = F.aggregate(F.filter(near, lambda x: x["start"] < begin), F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x["end"]))
+        between = lambda a, b: F.substring(part, (a - begin + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
+
+        def step(s: Column, x: Column) -> Column:
+            new = F.concat(s["out"], between(F.greatest(s["at"], begin), x["start"]), F.lit(mark))
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] > s["at"], new).otherwise(s["out"]).alias("out"))
+
+        start = F.struct(carried.alias("at"), F.lit("").alias("out"))
+        return F.aggregate(F.filter(near, lambda x: x["start"] >= begin), start, step, lambda s: F.concat(s["out"], between(F.greatest(s["at"], begin), begin + PART)))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    new = F.when(F.size(spans) > 0, F.array_join(F.transform(parts, rebuilt), "")).otherwise(text)
     return found.withColumn(text_col, new).select(*df.columns)
