@@ -342,16 +342,37 @@ def test_ann(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_line_dedup_common_words_last(spark):
-    """A very common word (class 15, the highest) comes after all rarer ones in a line's order."""
-    line = spark.createDataFrame([("the rare odd words",)], "norm string")
-    cells = line_dedup.RARITY_CELLS
-    spot = line.select(F.pmod(F.xxhash64(F.lit("the")), F.lit(cells)).cast("int")).first()[0]
-    for letter in "ahip":
-        table = "a" * spot + letter + "a" * (cells - spot - 1)
-        keys = line_dedup.keyed(line, table).first()["keys"]
-        own = line_dedup.keyed(spark.createDataFrame([("the",)], "norm string"), table).first()["keys"][0]
-        assert min(keys) >= 0 and keys[-1] == own
+def test_line_dedup_rarity(spark):
+    """The table counts words exactly where cells don't clash; keys are never negative, and common words come last."""
+    lines = spark.createDataFrame([(f"the rare{i % 40} odd{i} words{i % 7}",) for i in range(300)], "norm string")
+    table = line_dedup.rarity(lines).first()[0]
+    assert len(table) == line_dedup.CELLS
+    spots = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in ("the", "rare3", "odd5", "words2")], "w string").select("w", line_dedup.cell(F.xxhash64("w"))).collect()}
+    for w, n in (("the", 300), ("rare3", 8), ("odd5", 1), ("words2", 43)):
+        assert table[spots[w]] - 48 == int(2 * np.log2(n) + 1e-9)
+    one, held = spark.createDataFrame([("the",)], "norm string"), F.lit(bytes(table))
+    keys = line_dedup.keyed(line_dedup.with_words(lines), held).collect()
+    last = line_dedup.keyed(line_dedup.with_words(one), held).first()["keys"][0]
+    assert all(min(r["keys"]) >= 0 and r["keys"][-1] == last for r in keys)
+
+
+def test_line_dedup_of_near_lines(spark):
+    """A big group of variants of a few lines, at all distances, on several lines of a document."""
+    rng = random.Random(9)
+    bases = [[rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(30)] for _ in range(3)]
+    rows = []
+    for i in range(120):
+        texts = []
+        for b in bases:
+            words = list(b)
+            for _ in range(rng.choice((0, 1, 2, 4))):
+                words[rng.randrange(30)] = f"x{rng.randrange(40)}"
+            texts.append(" ".join(words))
+        rows.append((i, "\n".join(texts)))
+    lines = [(i, k, frozenset(line.split())) for i, t in rows for k, line in enumerate(t.split("\n"))]
+    gone = {a[:2] for a in lines for b in lines if b[:2] < a[:2] and 5 * len(a[2] & b[2]) >= 4 * len(a[2] | b[2])}
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], k) for r in got for k in r["removed"]} == gone
 
 
 def test_line_dedup(docs, empty):
