@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, fresh
+
 #: Two positions a key. BITS_PER_KEY bits a key up to MAX_BITS, which bounds the broadcast to 1/64 as many words of 16 bytes;
 #: beyond that the filter gets denser, so that more rows are flagged: never a wrong answer, only less saved.
 BITS_PER_KEY, MAX_BITS = 16, 1 << 26
@@ -28,22 +30,22 @@ def words(keys: DataFrame, key: str, bits: int, least: int = 1) -> DataFrame:
 
 
 def flag(df: DataFrame, key: str, table: DataFrame, bits: int, out: str = "__maybe") -> DataFrame:
-    """df and `out`: whether the filter holds both of the key's positions. The table has bits / 64 rows at most."""
-    both = F.lit(True)
+    """df and `out`: whether the filter holds both of the key's positions. The table has bits / 64 rows at most. Columns of df
+    pass through, whatever their names, but one named `out`."""
+    both, own = F.lit(True), fresh(df, "__bloom")
     for i, pos in enumerate(_positions(F.col(key), bits)):
-        side = table.select(F.col("word").alias(f"__w{i}"), F.col("held").alias(f"__h{i}"))
-        df = df.withColumn(f"__p{i}", pos).join(F.broadcast(side), (F.col(f"__p{i}") / 64).cast("long") == F.col(f"__w{i}"), "left")
-        both = both & (F.getbit(F.coalesce(F.col(f"__h{i}"), F.lit(0).cast("long")), (F.col(f"__p{i}") % 64).cast("int")) == 1)
-    return df.withColumn(out, both).drop(*(f"__{c}{i}" for i in (0, 1) for c in "pwh"))
+        side = table.select(F.col("word").alias(f"{own}w{i}"), F.col("held").alias(f"{own}h{i}"))
+        df = df.withColumn(f"{own}p{i}", pos).join(F.broadcast(side), (F.col(f"{own}p{i}") / 64).cast("long") == F.col(f"{own}w{i}"), "left")
+        both = both & (F.getbit(F.coalesce(F.col(f"{own}h{i}"), F.lit(0).cast("long")), (F.col(f"{own}p{i}") % 64).cast("int")) == 1)
+    return df.withColumn(out, both).drop(*(f"{own}{c}{i}" for i in (0, 1) for c in "pwh"))
 
 
 def without(df: DataFrame, id_col: str, dropped: DataFrame, dropped_id: str) -> DataFrame:
     """df without the rows whose id is in `dropped`. Rows that the filter lets by don't shuffle; null ids stay."""
-    from .common import cut
-
-    dropped = cut(dropped.select(F.col(dropped_id).alias("__dropped")).distinct())
+    gone, maybe = fresh(df, "__gone"), fresh(df, "__maybe")
+    dropped = cut(dropped.select(F.col(dropped_id).alias(gone)).distinct())
     bits = size_for(dropped.count())
-    table = cut(words(dropped, "__dropped", bits))
-    flagged = flag(df, id_col, table, bits)
-    asked = flagged.filter("__maybe").join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
-    return flagged.filter(~F.col("__maybe")).select(*df.columns).unionByName(asked.select(*df.columns))
+    table = cut(words(dropped, gone, bits))
+    flagged = flag(df, id_col, table, bits, maybe)
+    asked = flagged.filter(maybe).join(dropped, F.col(id_col) == F.col(gone), "left_anti")
+    return flagged.filter(~F.col(maybe)).select(*df.columns).unionByName(asked.select(*df.columns))

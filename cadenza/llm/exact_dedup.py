@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, fresh
 
 
 def text_hash(text: Column) -> Column:
@@ -27,7 +27,8 @@ def duplicate_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     flagged = bloom.flag(hashes, "__hash", cut(bloom.words(hashes, "__hash", bits, 2)), bits)
     alone = flagged.filter(~F.col("__maybe")).select(id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "__hash")
     maybe = flagged.filter("__maybe").drop("__maybe")
-    groups = maybe.groupBy("__hash").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
+    # cut, so that both sides of the join shuffle, and the rows of a hot text can be split among tasks
+    groups = cut(maybe.groupBy("__hash").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")))
     both = alone.unionByName(maybe.join(groups, "__hash").select(id_col, "keep_id", "group_size", "__hash"))
     return both.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("__hash")).alias("text_sha256"))
 
@@ -38,12 +39,13 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that can't be repeated pass straight through. Of the others only (hash, id) is grouped, and the rows are matched on
     hash and id together, so that a text held by a third of all rows is no hot key. Rows that tie in id and text leave one.
     """
-    hashed = df.withColumn("__hash", text_hash(F.col(text_col)))
-    keys = cut(hashed.select(F.col(id_col).alias("__id"), "__hash"))
+    h, key, keep, maybe = (fresh(df, f"__{name}") for name in ("hash", "id", "keep", "maybe"))
+    hashed = df.withColumn(h, text_hash(F.col(text_col)))
+    keys = cut(hashed.select(F.col(id_col).alias(key), h))
     bits = bloom.size_for(keys.count())
-    table = cut(bloom.words(keys, "__hash", bits, 2))
-    stay = bloom.flag(keys, "__hash", table, bits).filter("__maybe").groupBy(F.col("__hash").alias("__group")).agg(F.max("__id").alias("__keep"))
-    flagged = bloom.flag(hashed, "__hash", table, bits)
-    chosen = flagged.filter("__maybe").join(stay, (F.col("__hash") == F.col("__group")) & F.col(id_col).eqNullSafe(F.col("__keep")))
-    chosen = chosen.dropDuplicates(["__hash"]).select(*df.columns)
-    return flagged.filter(~F.col("__maybe")).select(*df.columns).unionByName(chosen)
+    table = cut(bloom.words(keys, h, bits, 2))
+    stay = bloom.flag(keys, h, table, bits, maybe).filter(maybe).groupBy(F.col(h).alias(f"{h}g")).agg(F.max(key).alias(keep))
+    flagged = bloom.flag(hashed, h, table, bits, maybe)
+    chosen = flagged.filter(maybe).join(cut(stay), (F.col(h) == F.col(f"{h}g")) & F.col(id_col).eqNullSafe(F.col(keep)))
+    chosen = chosen.dropDuplicates([h]).select(*df.columns)
+    return flagged.filter(~F.col(maybe)).select(*df.columns).unionByName(chosen)

@@ -254,16 +254,64 @@ def test_secrets_by_a_plain_scan(spark, docs, empty):
     assert secrets.redact(docs).count() == docs.count()
 
 
+def plain_langid(rows, asked):
+    """Language and score by plain loops over words and n-grams."""
+    grams = lambda w, n: [p[i : i + n] for p in [f"^{w}$" if n > 1 else w] for i in range(len(p) - n + 1)]
+    counts = defaultdict(Counter)  # (n, lang): token counts
+    langs = sorted({g for _, _, g in rows})
+    for _, text, g in rows:
+        for w in langid.WORD.findall(text.lower()):
+            counts[0, g][w] += 1
+            for n in range(1, langid.GRAM + 1):
+                counts[n, g].update(grams(w, n))
+    kinds = [set().union(*(counts[n, g] for g in langs)) for n in range(langid.GRAM + 1)]
+    log = lambda n, t: np.array([np.log((counts[n, g][t] + 0.5) / (sum(counts[n, g].values()) + 1 + 0.5 * len(kinds[n]))) for g in langs])
+    out = []
+    for text in asked:
+        words, total = langid.WORD.findall((text or "").lower()), 0
+        for w in words:
+            if w in kinds[0]:
+                total = total + log(0, w)
+                continue
+            p, places = f"^{w}$", []
+            for i in range(len(p) - 1):
+                known = [n for n in range(min(langid.GRAM, len(p) - i), 0, -1) if p[i : i + n] in kinds[n] and (n > 1 or i)]
+                places += [log(known[0], p[i : i + known[0]])] if known else []
+            total = total + sum(places) / max(1, len(places))
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        p = np.exp(total / len(words) ** 0.5 - (total / len(words) ** 0.5).max()) if np.ndim(total) else np.ones(len(langs))
+        out.append((langs[int(p.argmax())], float(p.max() / p.sum())))
+    return out
+
+
 def test_langid(spark, empty):
     rng = random.Random(3)
-    own = {"aa": ["kalo", "kami", "kane", "ka"], "bb": ["zuto", "zuvi", "zupe", "zu"]}
-    rows = [(i, " ".join(rng.choice(own[g]) for _ in range(9)), g) for i in range(80) for g in [("aa", "bb")[i % 2]]]
+    own = {"aa": ["kalo", "kami", "kane", "ka"], "bb": ["zuto", "zuvi", "zupe", "zu"], "cc": ["kalo", "zuto", "ñandú", "x"]}
+    rows = [(i, " ".join(rng.choice(own[g]) for _ in range(9)), g) for i in range(90) for g in [("aa", "bb", "cc")[i % 3]]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df)
-    asked = spark.createDataFrame([(1, "kalo ka", "q"), (2, "ZUTO", "q"), (3, "kanekane", None), (4, None, "q"), (5, "12 34 !", "q"), (5, "zu " * 50_000, "q")], "doc_id long, text string, score string")
-    got = [tuple(r) for r in langid.predict(asked, model, score_out="p").select("lang_pred", "p").collect()]
-    assert [g[0] for g in got] == ["aa", "bb", "aa", "und", "und", "bb"] and all(0 <= g[1] <= 1 for g in got)
+    texts = ["kalo ka", "ZUTO zuvi", "kanekane", None, "12 34 !", "", "zu " * 50_000, "kalo zuto", "ñandúes kalozuto", "q", "ÜÜ wxyz kamika", "zu" * 20_000]
+    asked = spark.createDataFrame([(i, t, "q", 1) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, score string, Lang_Pred int")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(asked, model).collect()}
+    for i, (lang, p) in enumerate(plain_langid(rows, texts)):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(p, abs=1e-4), texts[i]
+    assert langid.predict(asked, model).columns == ["doc_id", "text", "lang_pred", "score"]
     assert langid.fit(empty).langs == [] and langid.predict(empty, langid.LangModel([]), score_out="p").count() == 0
+    # ties go to the first name; of many documents a language, about as many as asked for are learned
+    two = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    assert langid.predict(two, langid.fit(two)).first()["lang_pred"] == "a"
+    many = spark.range(4000).selectExpr("id as doc_id", "concat('w', translate(cast(id as string), '0123456789', 'abcdefghij')) as text", "if(id % 2 = 0, 'a', 'b') as lang")
+    assert 400 < len(langid.fit(many, sample_docs=250).keys[0]) < 600
+
+
+def test_clashing_columns(spark):
+    """Helper columns of the operators leave a caller's columns of such names alone."""
+    rows = [(1, "a b c d e f", 1, 2, 3, "g"), (2, "A b c d e f", 4, 5, 6, "h"), (3, None, 7, 8, 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __hash int, __maybe int, __bloomp0 int, __gone string")
+    assert sorted(tuple(r) for r in exact_dedup.drop_duplicates(df).collect()) == sorted(rows[1:])
+    assert sorted(tuple(r) for r in set_join.one_of_each(df).collect()) == [rows[0], rows[2]]
 
 
 def test_ppm(spark, docs, empty):
