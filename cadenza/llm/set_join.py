@@ -159,19 +159,19 @@ class SetJoin:
             yield pa.RecordBatch.from_arrays([pa.array([b % (1 << 31) for b, _ in part], pa.int32()), pa.array([b for b, _ in part], pa.int64()), pa.array([k for _, k in part], pa.int32()), pa.array(payload, schema.field(3).type), none], schema=schema)
 
     def _facts(self, batches, kind):
-        """From each block: (id, n, sid) of its rows (what 0); sid, size and shared shingles of the classes that may link
-        (what 1); and these classes listed under their first shingles, with size, position, and number of shingles that no other
-        text has (what 2)."""
-        names = ["what", "id", "n", "sid", "token", "pos", "alone", "members"]
-        types = [pa.int8(), kind, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.large_binary()]
+        """From each block: (id, n, sid) of its rows; and, without an id and with `members`, the classes that may link: sid,
+        size, shared shingles, and the shingles to be listed under, whose positions follow the `alone` ones that no other text
+        has."""
+        names = ["id", "n", "sid", "alone", "tokens", "members"]
+        types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.large_binary()]
 
-        def table(what, m, **given):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, what, np.int8)), *(given[c] if c in given else pa.nulls(m, t) for c, t in zip(names[1:], types[1:], strict=True))], names=names)
+        def table(m, **given):
+            return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(m, t) for c, t in zip(names, types, strict=True)], names=names)
 
         def done(head, ids, parts):
             place, size, sids, lens, own, often, cuts = head
             often = often.astype(np.int64)
-            yield table(0, len(place), id=ids, n=pa.array(size), sid=pa.array(np.append(sids, 0)[place], mask=place < 0))
+            yield table(len(place), id=ids, n=pa.array(size), sid=pa.array(np.append(sids, 0)[place], mask=place < 0))
             if not parts:
                 return
             at = np.concatenate([cuts[b] + shared for b, shared, _, _ in parts])
@@ -182,21 +182,15 @@ class SetJoin:
             order = np.lexsort((value, total, owner))
             owner, value = owner[order], value[order]
             held = np.bincount(owner, minlength=len(sids))
-            start, out, members = np.cumsum(held) - held, [], []
+            start, out = np.cumsum(held) - held, []
             for c in np.flatnonzero(held):
                 n, alone = int(lens[c]), int(lens[c] - held[c])
-                first = self.prefix(n)
-                if alone >= first:
-                    continue
-                mine = value[start[c] : start[c] + held[c]]
-                m_ = first - alone
-                out.append((mine[:m_].view(np.int64), np.full(m_, n), alone + np.arange(m_), np.full(m_, alone), np.full(m_, sids[c])))
-                members.append((sids[c], n, planes(np.sort(mine))))
-            for i in range(0, len(members), 2000):
-                some = members[i : i + 2000]
-                yield table(1, len(some), sid=pa.array([x[0] for x in some], pa.int64()), n=pa.array([x[1] for x in some], pa.int64()), members=pa.array([x[2] for x in some], pa.large_binary()))
-                token, n, pos, alone, sid = (np.concatenate(c) for c in zip(*out[i : i + 2000], strict=True))
-                yield table(2, len(token), n=pa.array(n), sid=pa.array(sid), token=pa.array(token), pos=pa.array(pos), alone=pa.array(alone))
+                if alone < self.prefix(n):
+                    mine = value[start[c] : start[c] + held[c]]
+                    out.append((n, sids[c], alone, mine[: self.prefix(n) - alone].view(np.int64), planes(np.sort(mine))))
+            for i in range(0, len(out), 2000):
+                some = list(zip(*out[i : i + 2000], strict=True))
+                yield table(len(some[0]), **{c: pa.array(x, t) for c, x, t in zip(names[1:], some, types[1:], strict=True)})
 
         block, head, ids, parts = None, None, None, []
         for batch in batches:
@@ -218,7 +212,7 @@ class SetJoin:
         id_kind = texts.schema[0].dataType.simpleString()
         sent = self._blocks(texts, n).repartition(n, "goes")
         back = sent.mapInArrow(self._shared, sent.schema).repartition(n, "block").sortWithinPartitions("block", "bucket")
-        return cut(back.mapInArrow(lambda batches: self._facts(batches, kind), f"what byte, id {id_kind}, n long, sid long, token long, pos long, alone long, members binary"))
+        return cut(back.mapInArrow(lambda batches: self._facts(batches, kind), f"id {id_kind}, n long, sid long, alone long, tokens array<long>, members binary"))
 
     def fits(self, x: str, y: str) -> Column:
         """Whether two listed sets can link, by their sizes and what follows their positions."""
@@ -266,7 +260,8 @@ class SetJoin:
         its links; the others are links that hold together what is linked. pairs: (i, j) of chunks, i <= j; members: (sid,
         chunk, w)."""
         sides = pairs.select("i", "j", F.col("i").alias("chunk"), F.lit(0).alias("side")).unionByName(pairs.filter("i < j").select("i", "j", F.col("j").alias("chunk"), F.lit(1).alias("side")))
-        rows = sides.join(members.join(sets, "sid"), "chunk").select("i", "j", "side", "sid", "w", "n", "members")
+        packed = members.join(sets, "sid").groupBy("chunk").agg(F.collect_list(F.struct("sid", "w", "n", "members")).alias("held"))  # a chunk's size is bounded
+        rows = sides.join(packed, "chunk").select("i", "j", "side", "held")
 
         def links(x, y):
             n, m = np.array([s[2] for s in x]), np.array([s[2] for s in y])
@@ -306,12 +301,12 @@ class SetJoin:
             key, sides = None, ([], [])
             for batch in batches:
                 out = []
-                for i, j, side, sid, w, n, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, j, side, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (i, j) != key:
                         if key is not None:
                             out += compare(key, sides)
                         key, sides = (i, j), ([], [])
-                    sides[side].append((sid, w, n, unplaned(held)))
+                    sides[side].extend((x["sid"], x["w"], x["n"], unplaned(x["members"])) for x in held)
                 yield table(out)
             if key is not None:
                 yield table(compare(key, sides))
@@ -324,9 +319,10 @@ class SetJoin:
 
     def run(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         facts = self.facts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-        rows = facts.filter("what = 0").select("id", "n", "sid")
-        sets = facts.filter("what = 1").select("sid", "n", "members").dropDuplicates(["sid"])
-        lists = facts.filter("what = 2").select("token", "sid", "n", "pos", "alone").dropDuplicates(["token", "sid"])
+        rows = facts.filter("members is null").select("id", "n", "sid")
+        sets = facts.filter("members is not null").select("sid", "n", "members").dropDuplicates(["sid"])
+        lists = facts.filter("members is not null").select("sid", "n", "alone", F.posexplode("tokens").alias("at", "token"))
+        lists = lists.select("token", "sid", "n", (F.col("alone") + F.col("at")).alias("pos"), "alone").dropDuplicates(["token", "sid"])
         lists = lists.withColumn("band", self.band(F.col("n")))
         zero, apart = F.lit(0).cast("long"), 1 - self.num / self.den
 
@@ -335,7 +331,7 @@ class SetJoin:
         listed = cut(listed.select("sid", "n", "w", "least", F.coalesce("g", "sid").alias("g"), F.coalesce("d", F.lit(0.0)).alias("d")))
         step = F.floor(F.col("d") * STEPS).cast("int")
         parts = listed.groupBy("g", step.alias("step")).agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("parts"))
-        listed = listed.withColumn("step", step).join(parts, ["g", "step"]).withColumn("chunk", F.xxhash64("g", "step", F.pmod(F.xxhash64("sid"), F.col("parts"))))
+        listed = listed.withColumn("step", step).join(cut(parts), ["g", "step"]).withColumn("chunk", F.xxhash64("g", "step", F.pmod(F.xxhash64("sid"), F.col("parts"))))
         listed = cut(listed.select("sid", "n", "w", "g", "d", "chunk"))
         chunks = cut(listed.groupBy("g", "chunk").agg(F.count("*").alias("size"), F.sum("w").alias("weight"), F.min("d").alias("near"), F.max("d").alias("far"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("sid").alias("first")))
 
