@@ -339,15 +339,82 @@ def test_ppm_rare_words(docs, monkeypatch):
     assert sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6)) for r in ppm.score(docs).collect()) == whole
 
 
-def test_ppm_is_a_distribution():
-    texts = [b"abracadabra", b"abrakadabra abra", b"cad", b""]
-    at = np.cumsum([0, *map(len, texts)])
-    trie = ppm.build_trie(b"".join(texts), at)
-    cells = trie.cells(trie.stream(np.frombuffer(b"".join(texts), np.uint8), at))
-    logs = ppm.log_probabilities(trie, np.bincount(cells, minlength=len(trie.shorter) * trie.symbols))
+def contexts(trie):
+    """The trie's contexts as tuples of codes, by following it."""
+    held, todo = {(): 0}, [()]
+    while todo:
+        k = todo.pop()
+        for c in range(trie.symbols):
+            n = int(trie.step[held[k]][c])
+            if trie.depth[n] == len(k) + 1 and (*k, c) not in held:
+                held[*k, c] = n
+                todo.append((*k, c))
+    return held
+
+
+def plain_ppm(known, symbols, code, training):
+    """A function text -> log10 of its probability, with plain dictionaries."""
+    end, counts = symbols - 1, {k: Counter() for k in known}
+
+    def steps(text):
+        past = ()
+        for c in [*(int(code[b]) for b in lower(text).encode()), end]:
+            k = next(past[i:] for i in range(len(past) + 1) if past[i:] in known)
+            yield k, c
+            past = (*past, c)[-20:]
+
+    for text in training:
+        for k, c in steps(text):
+            counts[k][c] += 1
+    for k in sorted(known, key=len, reverse=True):
+        if k:
+            counts[k[1:]].update(list(counts[k]))
+
+    def score(text):
+        total = 0.0
+        for k, c in steps(text):
+            escape, out, p = 1.0, set(), None
+            while p is None:
+                here = {x: n for x, n in counts[k].items() if x not in out}
+                if c in here:
+                    p = escape * (2 * here[c] - 1) / (2 * sum(here.values()))
+                elif here:
+                    escape *= len(here) / (2 * sum(here.values()))
+                out |= set(here)
+                if p is None and not k:
+                    p = escape / (symbols - len(out))
+                k = k[1:]
+            total += np.log10(p / max(1, 256 - (symbols - 2)) if c == symbols - 2 else p)
+        return total
+
+    return score
+
+
+def test_ppm_by_plain_dictionaries(spark, docs):
+    """Scores equal those of a plain model; the probabilities of what may follow a context add up to 1."""
+    rows = [r for r in corpus() if r[0] is not None]
+    import zlib
+
+    training = [r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2] + ["null id"]
+    trie, logs = ppm.train(spark.createDataFrame([(t,) for t in training], "text string").repartition(3))
     p = 10.0**logs
     p[:, -2] *= 256 - (trie.symbols - 2)
-    assert (p > 0).all() and np.allclose(p.sum(1)[0], 1, atol=1e-3) and (p.sum(1) < 1 + 1e-3).all()
+    assert np.allclose(p.sum(1), 1, atol=1e-3) and trie.depth.max() == ppm.MAX_ORDER
+    known = contexts(trie)
+    assert len(known) == len(trie.depth) and all(k[1:] in known and k[:-1] in known for k in known if k)
+    plain = plain_ppm(known, trie.symbols, trie.code, [t or "" for t in training])
+    texts = {(r[0], len(re.findall(r"[^\x20\x09-\x0D]+", lower(r[1]))) + 1): r[1] or "" for r in rows if len(r[1] or "") < 3000}
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in ppm.score(docs).collect()}
+    for k, text in texts.items():
+        assert got[k] == pytest.approx(plain(text), rel=1e-4)
+
+
+def test_ppm_small_table(spark, monkeypatch):
+    """The commonest contexts stay where the table is small."""
+    monkeypatch.setattr(ppm, "CELLS", 100)
+    df = spark.createDataFrame([("ababababab",), ("abc",), (None,), ("",)], "text string")
+    trie, _ = ppm.train(df)
+    assert len(trie.depth) <= 100 // trie.symbols and {(0,), (1,), (0, 1), (1, 0)} <= set(contexts(trie))
 
 
 def test_packing(docs, empty):
