@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,11 +42,11 @@ AGAINST = frozenset(
     "related share social notice cookie cookies consent gdpr alert popup modal newsletter subscribe signup login form search comment comments reply replies disqus respond "
     "tags pagination pager copyright legal complementary contentinfo toolbar".split()
 )
-PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 TOKEN = re.compile(r"[a-z]+")
-#: The model is fitted on this many pages at most, picked by hash.
-SAMPLE_PAGES, TREES, DEPTH, RATE = 240, 24, 4, 0.3
+#: The model is fitted on this many pages at most, picked by hash, and on this many nodes of a version of a page, evenly spread.
+SAMPLE_PAGES, SAMPLE_NODES, TREES, DEPTH, RATE = 240, 2000, 24, 4, 0.3
 
 
 @dataclass
@@ -63,6 +64,8 @@ def parse(page: str) -> Dom:
     """A forgiving reading: unclosed elements end with their parents, stray end tags are passed over."""
     dom, stack, at = Dom(["#"], [-1], [[]], [False]), [0], 0
     texts: set[int] = set()  # the nodes that hold text themselves
+    opened: Counter = Counter()  # how many of a tag are open
+    runs: list[int] = []  # open runs
 
     def open_node(tag: str, attributes: str) -> None:
         tokens = []
@@ -76,6 +79,18 @@ def parse(page: str) -> Dom:
         dom.tokens.append(tokens)
         dom.hidden.append(dom.hidden[stack[-1]] or tag in HIDDEN)
         stack.append(len(dom.tags) - 1)
+        opened[tag] += 1
+        if tag == RUN:
+            runs.append(stack[-1])
+
+    def close() -> str:
+        i = stack.pop()
+        if runs and runs[-1] == i:
+            runs.pop()
+            opened[RUN] -= 1
+        else:
+            opened[dom.tags[i]] -= 1
+        return dom.tags[i]
 
     def run_begins() -> None:
         if dom.tags[stack[-1]] in AROUND:
@@ -83,18 +98,19 @@ def parse(page: str) -> Dom:
 
     def run_ends() -> None:
         if dom.tags[stack[-1]] == RUN:
-            stack.pop()
+            close()
 
     def open_up() -> None:
-        for i in stack:
-            if dom.tags[i] == RUN and i not in texts:
+        for i in runs:
+            if i not in texts:
                 dom.tags[i] = OPEN
 
     def close_to(names: set[str], within: frozenset | set) -> None:
         for k in range(len(stack) - 1, 0, -1):
             tag = dom.tags[stack[k]]
             if tag in names:
-                del stack[k:]
+                while len(stack) > k:
+                    close()
                 return
             if tag in within:
                 return
@@ -114,8 +130,8 @@ def parse(page: str) -> Dom:
             tag = m[1].lower()
             if tag in BLOCK:
                 run_ends()
-            if any(dom.tags[i] == tag for i in stack[1:]):
-                while dom.tags[stack.pop()] != tag:
+            if opened[tag] > 0:
+                while close() != tag:
                     pass
             if tag in BLOCK:
                 dom.items.append((stack[-1], ""))
@@ -137,11 +153,11 @@ def parse(page: str) -> Dom:
                 run_begins()
             open_node(tag, m[3])
             if m[3].rstrip().endswith("/") and tag not in BLOCK:
-                stack.pop()
+                close()
             elif tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-                stack.pop()
+                close()
     return dom
 
 
@@ -198,7 +214,8 @@ def weak_labels(dom: Dom) -> np.ndarray:
     for i in range(1, n):
         inside[i] = inside[dom.parents[i]]
         tag, tokens = dom.tags[i], dom.tokens[i]
-        if inside[i] >= 0 and (tag in ("nav", "footer", "aside", "form", "header") or any(t in AGAINST for t in tokens)):
+        heads = tag == "header" and inside[i] == 1 and not (set(tokens) - {"header"}) & AGAINST  # an article's own
+        if inside[i] >= 0 and not heads and (tag in ("nav", "footer", "aside", "form", "header") or any(t in AGAINST for t in tokens)):
             inside[i] = -1
         elif inside[i] == 0 and (tag in ("article", "main") or any(t in ("article", "content", "main") for t in tokens)):
             inside[i] = 1
@@ -212,7 +229,7 @@ def weak_labels(dom: Dom) -> np.ndarray:
 #: Parts that the pages at hand may lack but other pages have; put into training pages, around texts of the page's own.
 INSERTS = (
     '<aside class="sidebar"><h3>{0}</h3><ul><li><a href="/">{1}</a></li></ul></aside>', '<form id="newsletter"><p>{0}</p><input></form>', '<div class="cookie notice"><p>{0}</p></div>',
-    '<section class="comments"><h3>{0}</h3><div class="comment"><p>{1}</p><p>{2}</p></div></section>', '<div id="related"><a href="/">{0}</a><a href="/">{1}</a></div>', '<header><div>{0}</div></header>',
+    '<section class="comments"><h3>{0}</h3><div class="comment"><p>{1}</p><p>{2}</p></div></section>', '<div id="related"><a href="/">{0}</a><a href="/">{1}</a></div>', '<header class="masthead"><div>{0}</div></header>',
 )
 
 
@@ -252,7 +269,8 @@ def training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if (versions[1][1] == 1).any():
             versions += [bare_version(*versions[1], apart) for apart in (False, True)]
         for dom, label in versions:
-            shown = (label >= 0) & ~np.array(dom.hidden)
+            shown = np.flatnonzero((label >= 0) & ~np.array(dom.hidden))
+            shown = shown[np.linspace(0, len(shown) - 1, SAMPLE_NODES).astype(int)] if len(shown) > SAMPLE_NODES else shown
             for plain in (False, True):
                 xs.append(features(dom, plain)[shown])
                 ys.append(label[shown])
@@ -315,7 +333,8 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> Trees:
-    """Fits on at most sample_pages pages, the ones whose ids hash lowest; features are made by Spark tasks."""
+    """Fits on at most sample_pages different pages, whole, the ones whose ids and texts hash lowest; Spark tasks make the
+    features, of SAMPLE_NODES nodes at most from each version of a page."""
 
     def rows(batches):
         for batch in batches:
@@ -323,9 +342,9 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sampl
                 x, y = training_rows([page])
                 yield pa.RecordBatch.from_pydict({"x": pa.array([x.astype("<f8").tobytes()], pa.binary()), "y": pa.array([y.astype("<i8").tobytes()], pa.binary())})
 
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
-    sample = pages.filter(F.col(html_col).isNotNull()).select(id_col, order.alias("order")).orderBy("order", id_col).limit(sample_pages)
-    chosen = pages.join(F.broadcast(sample.select(id_col).distinct()), id_col).select(F.substring(html_col, 1, 200_000).alias("page"))
+    keyed = pages.filter(F.col(html_col).isNotNull()).select(F.col(html_col).alias("page"), F.xxhash64(F.col(id_col).cast("string"), html_col, F.lit("sample")).alias("order"))
+    sample = keyed.select("order").distinct().orderBy("order").limit(sample_pages)
+    chosen = keyed.join(F.broadcast(sample), "order").dropDuplicates(["order"]).select("page")
     got = chosen.mapInArrow(rows, "x binary, y binary").collect()
     if not got:
         return boost(np.zeros((0, FEATURES)), np.zeros(0))

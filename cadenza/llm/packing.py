@@ -7,18 +7,18 @@ residual that suffices and moves on to the next larger one until a bin fits; els
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 CAPACITY = 2048
-#: Rows a shard is meant to hold. Shards are packed apart from each other, dealt by hash, so a hot source is spread evenly.
-SHARD_ROWS = 4000
+#: Pieces a shard is meant to hold. Shards are packed apart from each other, dealt by hash, so a hot source is spread evenly.
+SHARD_PIECES = 4800
 
 
 def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
@@ -26,7 +26,7 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
     conflicts with nothing. No length is over capacity."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     at: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual
-    holding: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(capacity + 1, np.int32))  # bins with a source, by residual
+    holding: dict[int, Counter] = defaultdict(Counter)  # by source, and by cluster (from -2 down): its bins, by residual
     filled = 0  # bit r: some bin has residual r
     by_source: list[int] = []
     by_cluster: list[int] = []
@@ -35,12 +35,12 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
     for i in order:
         n, source, cluster = lengths[i], sources[i], clusters[i]
         s_bit, c_bit = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
-        held = holding[source] if source >= 0 else None
+        names = ([source] if source >= 0 else []) + ([-2 - cluster] if cluster >= 0 else [])
         found, r, rest = -1, n, filled >> n
         while rest:
             step = (rest & -rest).bit_length() - 1
             r, rest = r + step, rest >> step
-            if held is None or len(at[r]) > held[r]:
+            if all(len(at[r]) > holding[k][r] for k in names):
                 found = next((k for k, b in enumerate(at[r]) if not by_source[b] & s_bit and not by_cluster[b] & c_bit), -1)
                 if found >= 0:
                     break
@@ -59,8 +59,7 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
             members.append(set())
         by_source[b] |= s_bit
         by_cluster[b] |= c_bit
-        if source >= 0:
-            members[b].add(source)
+        members[b].update(names)
         at[left].append(b)
         filled |= 1 << left
         for s in members[b]:
@@ -81,15 +80,16 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_c
     cluster). Empty or null texts are one piece of length 0. A null source conflicts with nothing. Clusters are, unless given,
     documents of equal text but for A-Z's case; copies never share a bin. Repeated rows are packed as often as they occur;
     ties go by id, then piece. Other columns are left out; no rows: no bins.
-    Shards hold SHARD_ROWS pieces or so, whatever the input, so no task holds more; only ids and numbers shuffle.
+    Shards hold SHARD_PIECES pieces or so, whatever the input, so no task holds more; only ids and numbers shuffle.
     """
     length = word_count(F.col(text_col)) if length is None else length
     cluster = F.xxhash64(ascii_lower(F.col(text_col))) if cluster is None else cluster
     sized = df.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), length.alias("n"))
     n_pieces = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / capacity))
+    sized = cut(sized)
+    shards = max(1, round((sized.agg(F.sum(n_pieces)).first()[0] or 0) / SHARD_PIECES))
     pieces = sized.withColumn("n_pieces", n_pieces).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1)))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long")).drop("n")
-    shards = max(1, round(df.count() * 1.2 / SHARD_ROWS))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

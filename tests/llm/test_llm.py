@@ -533,6 +533,49 @@ def test_html_bare_text(spark):
     assert {k: got[k] for k in asked} == {k: text for k, (_, text) in asked.items()}
 
 
+def test_html_odd_markup(spark):
+    """Stray quotes, headers within articles, deep nesting, long pages, repeated ids."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(" ".join(rng.choice(WORDS) for _ in range(9)) + ", and more of it." for _ in range(n))
+    menu = '<header><a href="/">Home</a></header><nav><ul><li><a href="/n">News</a></li></ul></nav>'
+    page = lambda a, b, c: f'<html><body>{menu}<article><header><h1>{a}</h1></header><p>{b}</p><p>{c}</p></article><aside class="sidebar"><a href="/x">{say(1)}</a></aside><footer>(c) <a href="/l">Legal</a></footer></body></html>'
+    rows = [(0, page(say(1), say(3), say(2))) for _ in range(60)]
+    a, b, c = say(1), say(4), say(3)
+    long = [say(2) for _ in range(3000)]
+    asked = {
+        1: (page(a, f"<a title=it's href=x>{b}</a> more of \"it\"", c), f"{a}\n\n{b} more of \"it\"\n\n{c}"),
+        2: (page(a, b.replace(",", " <b class='x\" y'>,</b>", 1), c), f"{a}\n\n{b.replace(',', ' ,', 1)}\n\n{c}"),
+        3: (page(a, "<span>" * 20_000 + b + "</span>" * 20_000, c), f"{a}\n\n{b}\n\n{c}"),
+        4: (page(a, "</p><p>".join(long), c), "\n\n".join([a, *long, c])),
+    }
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows] + [(k, "u", t) for k, (t, _) in asked.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages, html_text.fit(pages)).collect()}
+    for k, (_, text) in asked.items():
+        assert got[k] == text, k
+
+
+def test_packing_by_plain_search():
+    """Bins equal those of a plain best-fit search over all bins."""
+    rng = random.Random(11)
+    for _ in range(60):
+        n, capacity = rng.randint(1, 60), rng.choice((5, 10, 30))
+        lengths = [rng.randint(0, capacity) for _ in range(n)]
+        sources, clusters = [rng.randint(-1, 4) for _ in range(n)], [rng.randint(-1, 3) for _ in range(n)]
+        got, bins = packing.best_fit(lengths, sources, clusters, capacity), []
+        for i in sorted(range(n), key=lambda i: -lengths[i]):
+            fits = [b for b in bins if b["left"] >= lengths[i] and (sources[i] < 0 or sources[i] not in b["s"]) and (clusters[i] < 0 or clusters[i] not in b["c"])]
+            home = next((b for b in bins if b["n"] == got[i]), None)
+            if not fits:
+                assert home is None
+                home = {"left": capacity, "s": set(), "c": set(), "n": got[i]}
+                bins.append(home)
+            else:
+                assert home in fits and home["left"] == min(b["left"] for b in fits)
+            home["left"] -= lengths[i]
+            home["s"].add(sources[i])
+            home["c"].add(clusters[i])
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as p
 
