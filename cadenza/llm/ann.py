@@ -3,7 +3,8 @@
 Vectors get one more coordinate that makes their lengths equal, so that the largest inner product is the least distance. All
 are rotated at random; then any first dimensions are a fair sample of a distance. A list is scanned column block by column
 block: after each, a hypothesis test abandons the candidates whose partial distance is already too large to be among the
-nearest. What is left is scored exactly, in double precision, on the original vectors.
+nearest. What is left is scored exactly, in double precision, on the original vectors. A query's nearest list is scanned
+first; the distance of its k-th best there is the limit that goes along to its other lists.
 """
 
 from __future__ import annotations
@@ -58,31 +59,29 @@ def fit_lists(sample: np.ndarray, n_lists: int, longest: float, k: int) -> tuple
     return centroids, int(reached[min(len(reached) - 1, int(np.ceil(RECALL * len(reached))))]) + 1
 
 
-def scan(queries: np.ndarray, candidates: np.ndarray, ids: np.ndarray, own: np.ndarray, turn: np.ndarray, longest: float, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores) of the k best candidates found for each query; ties to the smaller id."""
+def scan(queries: np.ndarray, limits: np.ndarray, candidates: np.ndarray, ids: np.ndarray, own: np.ndarray, turn: np.ndarray, longest: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score), the k best candidates found for each query and nearer than its limit (a squared distance, or
+    infinity); ties to the smaller id. Queries and candidates are compared as pairs, of which each column block leaves fewer."""
     d = len(turn)
     rotated = lift(candidates, longest) @ turn
     asked = np.hstack([queries, np.zeros((len(queries), 1))]) @ turn
-    blocks = [np.ascontiguousarray(rotated[:, i : i + STEP]) for i in range(0, d, STEP)]
-    out = []
-    for q in range(len(queries)):
-        part = ((blocks[0] - asked[q, :STEP]) ** 2).sum(1)
-        # the limit: exact distances of the candidates that look nearest after one block
-        near = np.argpartition(part, 4 * k)[: 4 * k] if len(part) > 4 * k else np.arange(len(part))
-        near = near[ids[near] != own[q]]
-        exact = ((rotated[near] - asked[q]) ** 2).sum(1)
-        limit = np.partition(exact, k - 1)[k - 1] if len(exact) >= k else np.inf
-        alive, seen = np.arange(len(ids)), min(STEP, d)
-        for i, block in enumerate(blocks[1:], 1):
-            keep = part <= limit * (1 + EPSILON / np.sqrt(seen)) ** 2 * seen / d + 1e-12
-            alive, part = alive[keep], part[keep]
-            part = part + ((block[alive] - asked[q, i * STEP : i * STEP + block.shape[1]]) ** 2).sum(1)
-            seen += block.shape[1]
-        alive = alive[(part <= limit * (1 + 1e-9) + 1e-9) & (ids[alive] != own[q])]
-        score = candidates[alive] @ queries[q]
-        best = np.lexsort((ids[alive], -score))[:k]
-        out.append((q, ids[alive][best], score[best]))
-    return out
+    x, y = asked[:, :STEP], rotated[:, :STEP]
+    part = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+    near = lambda part, limit, seen: part <= limit * (1 + EPSILON / np.sqrt(seen)) ** 2 * seen / d + 1e-9
+    q, c = np.nonzero(near(part, limits[:, None], min(STEP, d)) & (own[:, None] != ids[None, :]))
+    part = part[q, c]
+    for i in range(STEP, d, STEP):
+        block = slice(i, min(i + STEP, d))
+        part = part + ((rotated[c, block] - asked[q, block]) ** 2).sum(1)
+        keep = near(part, limits[q], block.stop)
+        q, c, part = q[keep], c[keep], part[keep]
+    score = np.empty(len(q))
+    for i in range(0, len(q), 65_536):
+        score[i : i + 65_536] = (queries[q[i : i + 65_536]] * candidates[c[i : i + 65_536]]).sum(1)
+    order = np.lexsort((ids[c], -score, q))
+    q, c, score = q[order], c[order], score[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], ids[c][rank < k], score[rank < k]
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -105,36 +104,52 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     rows = rows.filter(F.size("v") == sizes["d"])
     longest, n = float(sizes["longest"]) * (1 + 1e-12), sizes["n"]
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE).select("v").collect()])
-    centroids, probes = fit_lists(sample, int(min(4096, max(1, np.sqrt(n) / 2))), longest, k)
+    centroids, probes = fit_lists(sample, int(min(SAMPLE / 4, max(1, np.sqrt(n) / 2))), longest, k)
     index = spark.sparkContext.broadcast((centroids, rotation(sizes["d"] + 1)))
 
     @F.pandas_udf("int")
     def home(vectors: pd.Series) -> pd.Series:
         return pd.Series(nearest_centroids(lift(np.stack(vectors.to_numpy()), longest), index.value[0])[:, 0].astype(np.int32))
 
+    listed = cut(rows.withColumn("list", home("v")))
+    held = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # as many as centroids
+    sizes = np.array([held.get(i, 0) for i in range(len(centroids))])
+
     @F.pandas_udf("array<int>")
     def probed(vectors: pd.Series) -> pd.Series:
         x = np.stack(vectors.to_numpy())
-        return pd.Series(list(nearest_centroids(np.hstack([x, np.zeros((len(x), 1))]), index.value[0])[:, :probes].astype(np.int32)))
+        order = nearest_centroids(np.hstack([x, np.zeros((len(x), 1))]), index.value[0])
+        enough = 1 + (np.cumsum(sizes[order], 1) <= k).sum(1)  # lists that hold k vectors besides the query
+        return pd.Series([o[: max(probes, m)].astype(np.int32) for o, m in zip(order, enough, strict=True)])
 
-    listed = cut(rows.withColumn("list", home("v")))
-    held = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # as many as centroids
-    asked = cut(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v", F.explode(probed("v")).alias("list")))
-    asking = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    parts = spark.createDataFrame([(i, -(-held[i] // BLOCK), -(-asking[i] // QUERIES)) for i in held if i in asking], "list int, blocks int, groups int")
-    a = listed.join(F.broadcast(parts), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    a = a.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("list", "block", "group", "vec_id", "v")
-    b = asked.join(F.broadcast(parts), "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
-    b = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "group", "query_id", F.col("v").alias("q"))
-
-    def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if candidates.empty or queries.empty:
+    queries = cut(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v", probed("v").alias("lists")))
+
+    def search(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if candidates.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, own = candidates["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        found = scan(np.stack(queries["q"].to_numpy()), np.stack(candidates["v"].to_numpy()), ids, own, index.value[1], longest, k)
-        return pd.DataFrame({"query_id": np.repeat(own, [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    keys = ["list", "block", "group"]
-    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ids, own, q = candidates["vec_id"].to_numpy(), asked["query_id"].to_numpy(), np.stack(asked["q"].to_numpy())
+        worst = asked["worst"].to_numpy(np.float64)  # a score, from which the squared distance follows
+        limits = np.where(np.isnan(worst), np.inf, (longest + (q * q).sum(1) - 2 * worst) * (1 + 1e-9) + 1e-9)
+        at, found, score = scan(q, limits, np.stack(candidates["v"].to_numpy()), ids, own, index.value[1], longest, k)
+        return pd.DataFrame({"query_id": own[at], "vec_id": found, "score": score})
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """asked: (query_id, q, list, worst). Each list's blocks of vectors meet its groups of queries."""
+        asking = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
+        parts = spark.createDataFrame([(i, -(-held[i] // BLOCK), -(-asking[i] // QUERIES)) for i in held if i in asking], "list int, blocks int, groups int")
+        a = listed.join(F.broadcast(parts), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        a = a.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("list", "block", "group", "vec_id", "v")
+        b = asked.join(F.broadcast(parts), "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
+        b = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "group", "query_id", "q", "worst")
+        keys = ["list", "block", "group"]
+        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    at_home = queries.select("query_id", F.col("v").alias("q"), F.col("lists")[0].alias("list"), F.lit(None).cast("double").alias("worst"))
+    first = cut(best(searched(at_home)))
+    limit = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("worst"))
+    rest = queries.select("query_id", F.col("v").alias("q"), F.explode(F.slice("lists", 2, len(centroids))).alias("list")).join(limit, "query_id", "left")
+    return best(first.drop("rank").union(searched(cut(rest)))).select("query_id", "rank", "vec_id", "score")

@@ -454,6 +454,10 @@ def test_ann(spark):
         hits += len(set(best) & {i for i, _ in by[q]})
         assert len(by[q]) == 10 and all(abs(v - x[i] @ x[q]) < 1e-9 for i, v in by[q])
     assert set(by) == set(range(0, 450, 20)) and hits >= 0.9 * 230
+    # lists are searched until k vectors are found, or all there are
+    some = spark.createDataFrame([r for r in rows if r[0] < 60], "vec_id long, embedding array<double>, score string")
+    for k in (20, 100):
+        assert {r[1] for r in ann.nearest(some, k=k).groupBy("query_id").count().collect()} == {min(k, 59)}
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
