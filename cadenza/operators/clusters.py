@@ -80,6 +80,46 @@ def variance_ratio(vectors: DataFrame, vector: str, label: str) -> DataFrame:
     return both.select(F.round("within", 4).alias("within"), F.round("between", 4).alias("between"), F.round(ratio, 4).alias("ratio"))
 
 
+def silhouettes(vectors: DataFrame, vector: str, key: str, label: str) -> DataFrame:
+    """(key, label, silhouette) by squared distances: the mean ones to the own and to the nearest other label follow from the labels' means
+    and mean squares, so work is in proportion to rows times labels. A label of one row gives 0."""
+    cells = vectors.select(label, F.posexplode(vector).alias("i", "x"))
+    moments = cells.groupBy(label, "i").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("q"))
+    groups = moments.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"), F.sum("q").alias("q"))
+    all_groups = groups.agg(F.collect_list(F.struct(F.col(label).alias("label"), "n", "m", "q")).alias("groups")).withColumn("__one", F.lit(1))  # a row a label
+    rows = vectors.withColumn("__one", F.lit(1)).join(F.broadcast(all_groups), "__one")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t)
+    rows = rows.withColumn("__d", F.transform("groups", lambda g: F.struct(g["label"].alias("label"), g["n"].alias("n"), (dot(F.col(vector), F.col(vector)) - 2 * dot(F.col(vector), g["m"]) + g["q"]).alias("d"))))
+    own = F.filter("__d", lambda g: (g["label"] == F.col(label)) & (g["n"] > 1))
+    a = F.get(F.transform(own, lambda g: g["d"] * g["n"] / (g["n"] - 1)), 0)
+    b = F.array_min(F.transform(F.filter("__d", lambda g: g["label"] != F.col(label)), lambda g: g["d"]))
+    return rows.select(key, label, F.coalesce((b - a) / F.greatest(a, b), F.lit(0.0)).alias("silhouette"))
+
+
+def dense_groups(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(id, cluster_id) of points (id, top, left): groups of core points (with `least` points within the radius, themselves included) that
+    reach each other, named by their least id; other points join the group of a core point in reach, the one with the least name, or are
+    noise, -1. Neighbours come from a grid join; labels spread by rounds, each of which ends in a checkpoint."""
+    from .retrieval import within_radius
+    from .storage import cut
+
+    spots = points.select(F.col("id").alias("track_id"), "top", "left")
+    centres = points.select(F.col("id").alias("name"), F.col("top").alias("top0"), F.col("left").alias("left0"))
+    near = cut(within_radius(spots, centres, radius).select(F.col("name").alias("a"), F.col("track_id").alias("b")))
+    core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("a")
+    links = cut(near.join(core, "a", "left_semi").join(core.toDF("b"), "b", "left_semi").select("a", "b"))
+    labels = cut(core.select("a", F.col("a").alias("c")))
+    while True:
+        spread = links.join(labels.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("c"))
+        spread = cut(spread.join(labels.toDF("c", "d"), "c", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("c")))
+        moved = spread.join(labels.toDF("a", "was"), "a").filter("c <> was").isEmpty()
+        labels = spread
+        if moved:
+            break
+    joined = near.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("cluster_id"))
+    return points.select("id").join(joined, "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
+
+
 def sweep(spark: SparkSession, rows: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
     """Cost and silhouette of k-means and of bisecting k-means for each k. One small row a fit goes through the driver."""
     judge, found, rows = ClusteringEvaluator(), [], rows.persist()

@@ -2,23 +2,97 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.scalars import distance, weighted_cosine
+from ..functions.scalars import distance
 
 
-def similar(corpus: DataFrame, requests: DataFrame, features: list[str], k: int, weights: list[float] | None = None) -> DataFrame:
-    """The k rows of the corpus most similar to each request's vector (missing values 0); ties by track_id.
+#: Requests that go to the tasks at once, as one matrix; rows of the corpus that meet them at a time.
+REQUESTS, ROWS = 4096, 256
+
 
-    requests: request_id and the features. The requests go to every task with the corpus; a batch is meant to be small, and
-    larger ones are split by the caller. Each task keeps k rows a request before anything shuffles.
+def best_products(corpus: DataFrame, requests: DataFrame, k: int, same: bool = False, apart: bool = False) -> DataFrame:
+    """(request_id, track_id, score, rank): the k rows of the corpus with the largest products of unit vectors, within 0..1, for each
+    request; ties by track_id. corpus: track_id, v, part; requests: request_id, v, part; v: array<double>. With `same` only rows of the
+    request's part count, with `apart` only rows of other parts (part: a long).
+
+    Requests go to the tasks in blocks of REQUESTS, each block a pass over the corpus; a task multiplies matrices and keeps k rows a
+    request, so only those shuffle.
     """
-    r = requests.select("request_id", *(F.coalesce(c, F.lit(0.0)).alias(f"r_{c}") for c in features))
-    score = weighted_cosine([F.coalesce(c, F.lit(0.0)) for c in features], [F.col(f"r_{c}") for c in features], weights)
-    scored = corpus.join(F.broadcast(r)).select("request_id", "track_id", F.round(score, 9).alias("score"))
-    best = Window.partitionBy("request_id").orderBy(F.desc("score"), "track_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    spark, found = corpus.sparkSession, None
+    schema = f"request_id {requests.schema['request_id'].dataType.simpleString()}, track_id long, score double"
+    requests_type = to_arrow_type(requests.schema["request_id"].dataType)
+    asked = requests.select("request_id", "v", "part")
+    n = asked.count()
+    blocks = max(1, -(-n // REQUESTS))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(blocks)))
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    for b in range(blocks):
+        held = dealt.filter(F.col("block") == b).orderBy("request_id").collect()
+        if not held:
+            continue
+        data = ([r["request_id"] for r in held], unit(np.array([r["v"] for r in held], float)), np.array([r["part"] if r["part"] is not None else -1 for r in held]))
+        shared = spark.sparkContext.broadcast(data)
+
+        def run(batches, shared=shared):
+            ids, q, part = shared.value
+            limit = np.full(len(ids), -1.0)
+            kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+            def best(kept):
+                order = np.lexsort((kept[1], -kept[2], kept[0]))
+                at, item, score = (c[order] for c in kept)
+                rank = np.arange(len(at)) - np.searchsorted(at, at)
+                last = rank == k - 1
+                limit[at[last]] = score[last]
+                return [c[rank < k] for c in (at, item, score)]
+
+            for batch in batches:
+                items, parts = batch.column(0).to_numpy(), batch.column(2).fill_null(-1).to_numpy()
+                x = unit(np.array(batch.column(1).to_pylist(), float).reshape(len(items), -1))
+                for i in range(0, len(items), ROWS):
+                    s = np.round(np.clip(q @ x[i : i + ROWS].T, 0, 1), 9)
+                    good = s >= limit[:, None]
+                    if same or apart:
+                        good &= (part[:, None] == parts[None, i : i + ROWS]) == same
+                    at, c = np.nonzero(good)
+                    kept = [np.concatenate([a, b]) for a, b in zip(kept, (at, items[i + c], s[at, c]), strict=True)]
+                    if len(kept[0]) > 2 * k * len(ids) + 100_000:
+                        kept = best(kept)
+            at, item, score = best(kept)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in at], requests_type), pa.array(item), pa.array(score)], names=["request_id", "track_id", "score"])
+
+        one = corpus.select("track_id", "v", "part").mapInArrow(run, schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "track_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def similar(corpus: DataFrame, requests: DataFrame, features: list[str], k: int, weights: list[float] | None = None) -> DataFrame:
+    """The k rows of the corpus most similar to each request's vector (missing values 0, weights below 0 as 0); ties by track_id.
+    requests: request_id and the features."""
+    scale = [max(0.0, w) ** 0.5 for w in weights or [1.0] * len(features)]
+    vector = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in zip(features, scale, strict=True))).alias("v")
+    rows = corpus.select(F.col("track_id").cast("long").alias("track_id"), vector, F.lit(0).cast("long").alias("part"))
+    return best_products(rows, requests.select("request_id", vector, F.lit(0).cast("long").alias("part")), k)
+
+
+def resolved(seeds: DataFrame, corpus: DataFrame, features: list[str]) -> DataFrame:
+    """seeds (seed_id and others) with the features of the track of that id, missing ones 0; known: whether there is one, and problem: what
+    is wrong with the seed."""
+    rows = seeds.join(corpus.select(F.col("track_id").alias("seed_id"), *features, F.lit(True).alias("__hit")), "seed_id", "left")
+    problem = F.when(F.col("__hit").isNull(), F.concat(F.lit("unknown id "), F.coalesce(F.col("seed_id").cast("string"), F.lit(""))))
+    return rows.select(*seeds.columns, F.isnotnull("__hit").alias("known"), problem.alias("problem"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in features))
 
 
 def within_radius(corpus: DataFrame, centres: DataFrame, radius: float) -> DataFrame:

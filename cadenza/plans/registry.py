@@ -253,13 +253,13 @@ def _(lib):
 # retrieval and recommendation
 
 _DOT = lambda a, b: " + ".join(f"coalesce({a}.{c if c != 'left' else chr(34) + 'left' + chr(34)}, 0) * coalesce({b}.{c if c != 'left' else chr(34) + 'left' + chr(34)}, 0)" for c in SIMILARITY)
-_SCORED = f"scored as (select r.track_id as request_id, c.track_id, round(greatest(0, least(1, ({_DOT('c', 'r')}) / (sqrt({_DOT('c', 'c')}) * sqrt({_DOT('r', 'r')})))), 9) as score from imputed c, imputed r where r.track_id % 97 = 0)"
+_SCORED = f"scored as (select r.track_id as request_id, c.track_id, round(greatest(0, least(1, ({_DOT('c', 'r')}) / (sqrt({_DOT('c', 'c')}) * sqrt({_DOT('r', 'r')})))), 9) as score from imputed c, imputed r where r.track_id % 100 = 0)"
 
 
 def _scored(lib: Library, k: int) -> DataFrame:
-    """Seeds are the tracks whose id is divisible by 97."""
+    """Seeds are the tracks whose id is divisible by 100."""
     corpus = features.impute(_profile(lib), lib.track_artists)
-    seeds = corpus.filter("track_id % 97 = 0").withColumn("request_id", F.col("track_id"))
+    seeds = corpus.filter("track_id % 100 = 0").withColumn("request_id", F.col("track_id"))
     return retrieval.similar(corpus, seeds, SIMILARITY, k)
 
 

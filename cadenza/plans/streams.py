@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..operators.storage import new_folder
 from ..streaming import plays
 from .registry import query
 
 
 def _scratch(lib) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where none is set, as in tests."""
-    sc = lib.spark.sparkContext
-    return f"{sc.getCheckpointDir() or sc.getConf().get('spark.checkpoint.dir', '') or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    return new_folder(lib.spark, "stream")
 
 
 def _events(lib):

@@ -11,9 +11,9 @@ NAMES = {"master_metadata_track_name": "track_name", "master_metadata_album_arti
 MISSING = ["", "NA", "NaN"]
 
 
-def play_history(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files, each with one object or an array of them; missing names '', times 0, skipped false."""
-    rows = spark.read.schema(HISTORY).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).withColumnsRenamed(NAMES)
+def play_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON files, each with one object or an array of them (with `lines`, an object a line); missing names '', times 0, skipped false."""
+    rows = spark.read.schema(HISTORY).option("multiLine", not lines).option("pathGlobFilter", "*.json").json(path).withColumnsRenamed(NAMES)
     return rows.fillna("", list(NAMES.values())).fillna({"ms_played": 0, "skipped": False})
 
 

@@ -32,3 +32,17 @@ def daily_counts(events: DataFrame, out: str, checkpoint: str, by: str, time: st
 
 def latest(spark: SparkSession, out: str, by: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("day", by).agg(F.max_by("n", "batch").alias("n"))
+
+
+def upsert_members(events: DataFrame, out: str, checkpoint: str, keys: list[str]) -> None:
+    """The latest event (by event_id) of each key. Each batch writes its own rows under its number, so that a batch that is run again
+    replaces them and nothing else; latest_members() reads the newest of each key."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_members(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    return spark.read.parquet(out).groupBy(*keys).agg(F.max_by("event_type", "event_id").alias("event_type"))
