@@ -18,11 +18,13 @@ def scaled_vectors(df: DataFrame, columns: list[str], out: str = "features") ->
     return rows.select(*df.columns, array_to_vector(F.array(*map(part, columns))).alias(out))
 
 
-def soft_clusters(rows: DataFrame, k: int = 8, seed: int = 42, starts: int = 4) -> DataFrame:
+def soft_clusters(rows: DataFrame, k: int = 8, seed: int = 42, starts: int = 2, rounds: int = 20) -> DataFrame:
     """Fits a Gaussian mixture on `features`, the likeliest of several starts (one can end in a poor optimum); adds probs (they sum to 1),
-    cluster_id and cluster_prob."""
-    rows = rows.persist()  # every round of the fit reads them
-    fits = [GaussianMixture(k=k, seed=seed + i, maxIter=30).fit(rows) for i in range(starts)]
+    cluster_id and cluster_prob. The rows are written once, in as few parts as tasks run at once, since every round reads them."""
+    from .storage import cut
+
+    rows = cut(rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism))
+    fits = [GaussianMixture(k=k, seed=seed + i, maxIter=rounds).fit(rows) for i in range(starts)]
     model = max(fits, key=lambda m: m.summary.logLikelihood)
     return most_likely(model.transform(rows).withColumn("probs", vector_to_array("probability")).drop("probability", "prediction"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clusters, genres, matrix, merge, profile, retrieval
+from ..operators import clusters, genres, learners, matrix, merge, profile, recommend, retrieval
 from ..operators.storage import new_folder
 from ..sources import files, payloads
 from ..sources.domain import AUDIO
@@ -287,6 +287,81 @@ def _(lib):
     return points.join(clusters.dense_groups(points, 700.0, 3), "id").select("first_genre", "cluster_id")
 
 
+# classifiers of playlists, reranking, requests
+
+_POSITIVES = "held as (select playlist_id, count(*) as positives from (select distinct playlist_id, track_id from members join tracks using (track_id)) group by 1)"
+
+
+@query("j05_trained", "select playlist_id, positives, positives >= 20 as trained from held", _POSITIVES)
+def _(lib):
+    """Which playlists get a classifier: those with enough members in the corpus."""
+    models = learners.group_labels(lib.members, lib.tracks).select("playlist_id", F.lit(True).alias("fitted")).distinct()
+    held = lib.members.join(lib.tracks.select("track_id"), "track_id").distinct().groupBy("playlist_id").agg(F.count("*").alias("positives"))
+    return held.join(models, "playlist_id", "left").select("playlist_id", "positives", F.coalesce("fitted", F.lit(False)).alias("trained"))
+
+
+def _vectors_of(lib):
+    return matrix.rerank_vectors(_corpus(lib), AUDIO, ["popularity", "top", "left", "fave_score"]).withColumnRenamed("vector", "features")
+
+
+def _group_rows(lib):
+    vectors = _vectors_of(lib)
+    return learners.group_labels(lib.members, vectors).join(vectors, "track_id")
+
+
+@query("j01_playlist_classifiers")
+def _(lib):
+    """Boosted trees for each playlist; how well each ranks its own rows."""
+    from ..operators import scoring
+
+    rows = _group_rows(lib)
+    scored = learners.score_groups(rows, learners.fit_groups(rows))
+    return scoring.metrics(scored.withColumnRenamed("track_id", "item"), ["playlist_id"])
+
+
+@query("i07_reranked")
+def _(lib):
+    """The 20 tracks most similar to each playlist, placed by the playlist's classifier."""
+    rows, vectors = _group_rows(lib), _vectors_of(lib)
+    corpus = _corpus(lib)
+    asked = lib.members.withColumnRenamed("playlist_id", "request_id")
+    near = retrieval.similar(corpus, recommend.centroids(corpus, asked, SIMILARITY), SIMILARITY, 20).select("request_id", "track_id", "score")
+    wanted = near.select(F.col("request_id").alias("playlist_id"), "track_id").join(vectors, "track_id")
+    scored = learners.score_groups(wanted, learners.fit_groups(rows, rounds=60)).withColumnRenamed("playlist_id", "request_id")
+    return recommend.reranked(near, scored, ["request_id", "track_id"]).select("request_id", "track_id", "place", F.round("probability", 6).alias("probability"))
+
+
+_REQUESTS = (
+    "asked as (select track_id as request_id, case track_id % 4 when 0 then 'track' when 1 then 'artist' when 2 then 'genre' else 'mood' end as request_type, cast(case when track_id % 500 = 0 then 0 else 3 end as integer) as k, "
+    "case track_id % 4 when 0 then track_id when 1 then track_id // 10 else track_id end as seed_id from tracks where track_id % 100 < 4 and track_id > 3)"
+)
+
+
+@query("i09_routed", "select a.request_id, request_type, r.rank, r.track_id, round(r.score, 6) as score, case when request_type = 'mood' then 'type' when k = 0 then 'k' when r.track_id is null then 'nothing found' end as problem from asked a left join ("
+       "select request_id, track_id, score, row_number() over (partition by request_id order by score desc, track_id) as rank from (select q.request_id, c.track_id, round(greatest(0, least(1, (" + " + ".join(f'coalesce(c."{c}", 0) * coalesce(q."{c}", 0)' for c in SIMILARITY)
+       + ") / (sqrt(" + " + ".join(f'coalesce(c."{c}", 0) ** 2' for c in SIMILARITY) + ") * sqrt(" + " + ".join(f'coalesce(q."{c}", 0) ** 2' for c in SIMILARITY) + ")))), 9) as score from vec q, imputed c)) r on r.request_id = a.request_id and r.rank <= a.k and a.request_type <> 'mood' and a.k > 0",
+       f"{_PROFILE_SQL}, {_IMPUTED}, {_REQUESTS}, vec as (select request_id, " + ", ".join(f'i."{c}"' for c in SIMILARITY) + " from asked join imputed i on i.track_id = seed_id where request_type = 'track' union all select request_id, "
+       + ", ".join(f'avg(coalesce(i."{c}", 0))' for c in SIMILARITY) + " from asked join track_artists ta on ta.artist_id = seed_id join imputed i on i.track_id = ta.track_id where request_type = 'artist' group by 1)")
+def _(lib):
+    """Requests of several kinds, wrong ones among them, through the pipelines of their kinds. Genre requests have no pipeline here, so they
+    find nothing."""
+    corpus, t = _corpus(lib), F.col("track_id")
+    kind = F.when(t % 4 == 0, "track").when(t % 4 == 1, "artist").when(t % 4 == 2, "genre").otherwise("mood")
+    seed = F.when(t % 4 == 1, F.floor(t / 10)).otherwise(t)
+    asked = lib.tracks.filter("track_id % 100 < 4 and track_id > 3").select(t.alias("request_id"), kind.alias("request_type"), F.when(t % 500 == 0, 0).otherwise(3).alias("k"), seed.alias("seed_id"))
+
+    def by_track(requests):
+        seeds = requests.select("request_id", "seed_id").join(corpus.select(F.col("track_id").alias("seed_id"), *SIMILARITY), "seed_id")
+        return retrieval.similar(corpus, seeds, SIMILARITY, 50)
+
+    def by_artist(requests):
+        tracks = requests.select("request_id", "seed_id").join(lib.track_artists.select(F.col("artist_id").alias("seed_id"), "track_id"), "seed_id")
+        return retrieval.similar(corpus, recommend.centroids(corpus, tracks.select("request_id", "track_id"), SIMILARITY), SIMILARITY, 50)
+
+    found = recommend.routed(asked, {"track": by_track, "artist": by_artist})
+    return found.select("request_id", "request_type", "rank", "track_id", F.round("score", 6).alias("score"), "problem")
+
+
 # orders of steps, sessions, streams, results
 
 @query("l08_profile_refresh", f"select 'artist' as kind, cast(artist_id as varchar) as id, track_count, gen_4 from ({_SQL['d06_artist_genre']}) union all select 'playlist', playlist_id, track_count, gen_4 from ({_SQL['d07_playlist_genre']})")
