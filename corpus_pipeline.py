@@ -5,13 +5,13 @@ Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but th
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import exact_dedup, langid, packing, secrets, set_join
+from cadenza.llm.common import fresh, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, model, lang_out="__lang", score_out="__score").filter(F.col("__lang") != langid.UNDECIDED)
-    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    lang, score = fresh(docs, "__lang"), fresh(docs, "__score")
+    found = langid.predict(docs, model, lang_out=lang, score_out=score).filter(F.col(lang) != langid.UNDECIDED)
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each stage's rows written as Parquet to the shared folder and read again."""
-    sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    folder, docs = f"{shared}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn, each stage's rows written as Parquet to the shared folder and read again. A stage's input goes when the
+    stage is written; what run() returns stays."""
+    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
     return docs
