@@ -58,9 +58,10 @@ def same_cluster(corpus: DataFrame, requests: DataFrame, least: float = 0.05) ->
     no row is left gets the full corpus. corpus: track_id, cluster_id; requests: request_id, probs."""
     wanted = requests.select("request_id", F.posexplode("probs").alias("cluster_id", "p")).filter(F.col("p") >= least).drop("p")
     filled = corpus.select("cluster_id").distinct()
-    found = corpus.join(F.broadcast(wanted), "cluster_id")
     lone = requests.select("request_id").join(wanted.join(filled, "cluster_id", "left_semi"), "request_id", "left_anti")
-    return found.unionByName(corpus.join(F.broadcast(lone)))
+    every = filled.agg(F.collect_set("cluster_id").alias("all")).withColumn("__one", F.lit(1))  # the clusters' numbers
+    all_of = lone.withColumn("__one", F.lit(1)).join(F.broadcast(every), "__one").select("request_id", F.explode("all").alias("cluster_id"))
+    return corpus.join(wanted.unionByName(all_of), "cluster_id")
 
 
 def cluster_profile(rows: DataFrame) -> DataFrame:

@@ -84,9 +84,9 @@ def _(lib):
     return merge.sync_plan(now, was)
 
 
-@query("l06_capped_additions", "select playlist_id, n from (select playlist_id, count(*) as n, sum(count(*)) over (order by count(*), playlist_id) as running from members where track_id % 3 = 0 group by 1) where running <= 2000")
+@query("l06_capped_additions", "select playlist_id, n from (select playlist_id, count(*) as n, sum(count(*)) over (order by count(*), playlist_id) as running from members where track_id not in (select track_id from audio_features) group by 1) where running <= 2000")
 def _(lib):
-    return merge.within_budget(lib.members.filter("track_id % 3 = 0").groupBy("playlist_id").agg(F.count("*").alias("n")), "n", "playlist_id", 2000)
+    return merge.within_budget(lib.members.join(lib.audio_features, "track_id", "left_anti").groupBy("playlist_id").agg(F.count("*").alias("n")), "n", "playlist_id", 2000)
 
 
 @query("l07_gap_fill", "select track_id from tracks where track_id not in (select track_id from audio_features) order by track_id limit 50")

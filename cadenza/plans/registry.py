@@ -324,11 +324,9 @@ def _(lib):
 
 
 @query("k23_jaccard", "select a.playlist_id as a, b.playlist_id as b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) as jaccard from s a join s b using (name) join n x on x.playlist_id = a.playlist_id join n y on y.playlist_id = b.playlist_id group by 1, 2",
-       "s as (select distinct c_nationkey || '-' || c_mktsegment as playlist_id, p_name as name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey where l_linenumber = 1 and l_quantity >= 45), n as (select playlist_id, count(*) as n from s group by 1)")
+       "s as (select distinct playlist_id, first_genre as name from members join tracks using (track_id) where first_genre is not null), n as (select playlist_id, count(*) as n from s group by 1)")
 def _(lib):
-    who = lib.table("customer").select("c_custkey", F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("playlist_id"))
-    rows = lib.table("lineitem").filter("l_linenumber = 1 and l_quantity >= 45").join(lib.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey")).join(lib.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return profile.jaccard_matrix(rows, "playlist_id", "p_name")
+    return profile.jaccard_matrix(lib.members.join(lib.tracks, "track_id"), "playlist_id", "first_genre")
 
 
 @query("k28_correlations", "select round(corr(danceability, valence), 6) as dance_valence, round(corr(energy, loudness), 6) as energy_loudness, round(corr(tempo, acousticness), 6) as tempo_acousticness from audio_features")
