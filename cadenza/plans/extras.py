@@ -593,3 +593,114 @@ def _(lib):
     now = lib.spark.read.schema("label string, n long").json(f"{folder}/now")
     both = now.join(base.toDF("label", "baseline"), "label", "left").fillna({"baseline": 0})
     return both.withColumn("change", F.col("n") - F.col("baseline"))
+
+
+_STATUS = {"0-BUILDING": "active", "1-BUILDING": "archived", "2-BUILDING": "odd"}
+_STATUS_SQL = "case playlist_id when '0-BUILDING' then 'active' when '1-BUILDING' then 'archived' else 'excluded' end"
+
+
+@query("a06_playlists", f"select playlist_id, {_STATUS_SQL} as status, case when length(playlist_id) % 2 = 0 then upper(playlist_id) else 'old' end as name from (select distinct playlist_id from members)")
+def _(lib):
+    """Playlists from a CSV put over stored ones: name and status are taken over, the rest stays."""
+    folder, ids = _folder(lib), lib.members.select("playlist_id").distinct()
+    ids.filter("length(playlist_id) % 2 = 0").select("playlist_id", F.upper("playlist_id").alias("name")).write.option("header", True).csv(folder)
+    new = lib.spark.read.option("header", True).schema("playlist_id string, name string").csv(folder)
+    both = merge.upsert(ids.withColumn("name", F.lit("old")), new, ["playlist_id"], ["name"])
+    return payloads.with_status(both, _STATUS, "playlist_id").select("playlist_id", "status", "name")
+
+
+@query("a07_taxonomy", "select first_genre, gen_4 from genre_map union all select first_genre, 'new' from genre_xy where n > 18")
+def _(lib):
+    return merge.insert_if_absent(lib.genre_map.select("first_genre", "gen_4"), lib.genre_xy.select("first_genre", F.lit("new").alias("gen_4")), ["first_genre"])
+
+
+@query("a14_corpus_cache", "select track_id, features_source, round(tempo, 4) as tempo from imputed", f"{_PROFILE_SQL}, {_IMPUTED}")
+def _(lib):
+    path = _folder(lib)
+    payloads.cached(lib.spark, path, lambda: _corpus(lib))
+    return payloads.cached(lib.spark, path, lambda: _corpus(lib)).select("track_id", "features_source", F.round("tempo", 4).alias("tempo"))
+
+
+@query("a17_metrics_source", "select playlist_id, round(avg(tempo), 4) as tempo, round(avg(energy), 4) as energy from members join audio_features using (track_id) group by 1")
+def _(lib):
+    """Lines of metrics, the summary line among them, flattened; the summary is left out."""
+    folder = _folder(lib)
+    one = lib.members.join(lib.audio_features, "track_id").groupBy("playlist_id").agg(F.struct(F.round(F.avg("tempo"), 4).alias("tempo"), F.round(F.avg("energy"), 4).alias("energy")).alias("metrics"))
+    whole = lib.audio_features.agg(F.struct(F.avg("tempo").alias("tempo"), F.avg("energy").alias("energy")).alias("metrics"))
+    one.withColumn("summary", F.lit(None).cast("boolean")).unionByName(whole.select(F.lit("").alias("playlist_id"), "metrics", F.lit(True).alias("summary"))).write.json(folder)
+    rows = lib.spark.read.schema("playlist_id string, metrics struct<tempo:double,energy:double>, summary boolean").json(folder)
+    return rows.filter("summary is null").select("playlist_id", "metrics.*")
+
+
+@query("a18_golden_samples", "select conv_id, turn, text from turns where turn % 3 = 1")
+def _(lib):
+    folder = _folder(lib)
+    lib.turns.select("conv_id", "turn", "text", F.concat(F.lit("tier"), (F.col("turn") % 3).cast("string")).alias("tier")).write.json(folder)
+    return lib.spark.read.schema("conv_id long, turn long, text string, tier string").json(folder).filter("tier = 'tier1'").drop("tier")
+
+
+@query("a19_status_config", f"select playlist_id, {_STATUS_SQL} as status from (select distinct playlist_id from members)")
+def _(lib):
+    return payloads.with_status(lib.members.select("playlist_id").distinct(), _STATUS, "playlist_id")
+
+
+@query("a26_saved_model", "select track_id, round((popularity - lo) / (hi - lo), 6) as scaled from tracks, (select min(popularity) as lo, max(popularity) as hi from tracks)")
+def _(lib):
+    """A fitted scaler is saved under its slug and loaded again; a slug without a model gives none."""
+    from pyspark.ml.feature import MinMaxScaler, MinMaxScalerModel
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from ..operators import learners
+
+    folder, rows = _folder(lib), lib.tracks.select("track_id", array_to_vector(F.array("popularity")).alias("v"))
+    learners.save_model(MinMaxScaler(inputCol="v", outputCol="s").fit(rows), folder, "scaler")
+    model = learners.load_model(lib.spark, MinMaxScalerModel, folder, "scaler")
+    if learners.load_model(lib.spark, MinMaxScalerModel, folder, "other") is not None:
+        raise AssertionError("a model that was never saved")
+    return model.transform(rows).select("track_id", F.round(vector_to_array("s")[0], 6).alias("scaled"))
+
+
+_METRICS = ["tempo", "energy", "valence"]
+_BY_PLAYLIST = "m as (select playlist_id, split_part(playlist_id, '-', 2) as model, " + ", ".join(f"avg({c}) as {c}" for c in _METRICS) + " from members join audio_features using (track_id) group by 1)"
+
+
+def _metric_rows(lib):
+    rows = lib.members.join(lib.audio_features, "track_id").groupBy("playlist_id").agg(*(F.avg(c).alias(c) for c in _METRICS))
+    return rows.withColumn("model", F.split_part("playlist_id", F.lit("-"), F.lit(2)))
+
+
+@query("j09_aligned_models", "select metric, count(*) filter (where a > b + 1e-9) as wins, count(*) filter (where b > a + 1e-9) as losses, count(*) filter (where abs(a - b) <= 1e-9) as ties from (" + " union all ".join(f"select '{c}' as metric, x.{c} as a, y.{c} as b from m x join m y on split_part(x.playlist_id, '-', 1) = split_part(y.playlist_id, '-', 1) where x.model = 'BUILDING' and y.model = 'MACHINERY'" for c in _METRICS) + ") group by 1", _BY_PLAYLIST)
+def _(lib):
+    """Two models on the keys that both have, metric by metric."""
+    long = _metric_rows(lib).withColumn("key", F.split_part("playlist_id", F.lit("-"), F.lit(1))).unpivot(["key", "model"], _METRICS, "metric", "value")
+    side = lambda model, name: long.filter(F.col("model") == model).select("key", "metric", F.col("value").alias(name))
+    both, gap = side("BUILDING", "a").join(side("MACHINERY", "b"), ["key", "metric"]), F.col("a") - F.col("b")
+    return both.groupBy("metric").agg(F.count_if(gap > 1e-9).alias("wins"), F.count_if(gap < -1e-9).alias("losses"), F.count_if(F.abs(gap) <= 1e-9).alias("ties"))
+
+
+@query("j10_metric_correlations", "select model, round(corr(tempo, energy), 5) as tempo_energy, round(corr(tempo, valence), 5) as tempo_valence, round(corr(energy, valence), 5) as energy_valence from m group by 1 having count(*) >= 3", _BY_PLAYLIST)
+def _(lib):
+    pairs = [("tempo", "energy"), ("tempo", "valence"), ("energy", "valence")]
+    out = _metric_rows(lib).groupBy("model").agg(F.count("*").alias("n"), *(F.round(F.corr(a, b), 5).alias(f"{a}_{b}") for a, b in pairs))
+    return out.filter("n >= 3").drop("n")
+
+
+@query("j15_cross_validation", "select round(avg(a), 6) as mean, round(stddev_samp(a), 6) as std, round(min(a), 6) as low, round(max(a), 6) as high from (select request_id % 5 as fold, avg(case when predicted = label then 1.0 else 0 end) as a from (" + _SQL["h14_neighbour_vote"] + ") join embeddings on vec_id = request_id group by 1)")
+def _(lib):
+    """Five folds: how often the vote of the nearest in the other folds is right."""
+    fold = F.pmod("vec_id", F.lit(5))
+    near = retrieval.best_products(_units(lib, "track_id", fold), _units(lib, "request_id", fold), 15, apart=True)
+    votes = near.join(_vectors(lib).select(F.col("vec_id").alias("track_id"), "label"), "track_id")
+    predicted = profile.mode_of(votes, "request_id", "label").select(F.col("request_id").alias("vec_id"), F.col("label").alias("predicted"))
+    right = predicted.join(_vectors(lib).select("vec_id", "label"), "vec_id").groupBy(F.pmod("vec_id", F.lit(5)).alias("fold")).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("a"))
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return right.agg(r(F.avg("a"), "mean"), r(F.stddev_samp("a"), "std"), r(F.min("a"), "low"), r(F.max("a"), "high"))
+
+
+@query("j16_oversampled", "select label, count(*) as before, (select max(n) from (select count(*) as n from embeddings group by label)) as after from embeddings group by 1")
+def _(lib):
+    """Labels filled up to the size of the largest by points between a row and one of its five nearest of the same label."""
+    v = _vectors(lib)
+    made = learners.oversampled(v.select("vec_id", F.col("embedding").alias("v"), "label"))
+    after = made.groupBy("label").agg(F.count("*").alias("after"))
+    return v.groupBy("label").agg(F.count("*").alias("before")).join(after, "label")

@@ -87,3 +87,14 @@ def first_source(makes: list) -> DataFrame:
         except AnalysisException:
             continue
     raise ValueError("no source has rows")
+
+
+# What a playlist's status may be; any other one counts as the last.
+STATUSES = ["active", "archived", "excluded"]
+
+
+def with_status(playlists: DataFrame, config: dict[str, str], key: str) -> DataFrame:
+    """playlists and their status by a configuration of a few names; names that it lacks, and statuses that are none, are excluded."""
+    spark = playlists.sparkSession
+    known = spark.createDataFrame([(k, v) for k, v in config.items() if v in STATUSES] or [("", STATUSES[-1])], f"{key} string, status string")
+    return playlists.join(F.broadcast(known), key, "left").withColumn("status", F.coalesce("status", F.lit(STATUSES[-1])))
