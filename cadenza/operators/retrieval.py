@@ -24,8 +24,8 @@ def best_products(corpus: DataFrame, requests: DataFrame, k: int, same: bool = F
     request, so only those shuffle.
     """
     spark, found = corpus.sparkSession, None
-    schema = f"request_id {requests.schema['request_id'].dataType.simpleString()}, track_id long, score double"
-    requests_type = to_arrow_type(requests.schema["request_id"].dataType)
+    schema = f"request_id {requests.schema['request_id'].dataType.simpleString()}, track_id {corpus.schema['track_id'].dataType.simpleString()}, score double"
+    requests_type, tracks_type = to_arrow_type(requests.schema["request_id"].dataType), to_arrow_type(corpus.schema["track_id"].dataType)
     asked = requests.select("request_id", "v", "part")
     n = asked.count()
     blocks = max(1, -(-n // REQUESTS))
@@ -45,7 +45,7 @@ def best_products(corpus: DataFrame, requests: DataFrame, k: int, same: bool = F
         def run(batches, shared=shared):
             ids, q, part = shared.value
             limit = np.full(len(ids), -1.0)
-            kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            kept = None
 
             def best(kept):
                 order = np.lexsort((kept[1], -kept[2], kept[0]))
@@ -56,7 +56,7 @@ def best_products(corpus: DataFrame, requests: DataFrame, k: int, same: bool = F
                 return [c[rank < k] for c in (at, item, score)]
 
             for batch in batches:
-                items, parts = batch.column(0).to_numpy(), batch.column(2).fill_null(-1).to_numpy()
+                items, parts = np.array(batch.column(0).to_pylist()), batch.column(2).fill_null(-1).to_numpy()
                 x = unit(np.array(batch.column(1).to_pylist(), float).reshape(len(items), -1))
                 for i in range(0, len(items), ROWS):
                     s = np.round(np.clip(q @ x[i : i + ROWS].T, 0, 1), 9)
@@ -64,11 +64,13 @@ def best_products(corpus: DataFrame, requests: DataFrame, k: int, same: bool = F
                     if same or apart:
                         good &= (part[:, None] == parts[None, i : i + ROWS]) == same
                     at, c = np.nonzero(good)
-                    kept = [np.concatenate([a, b]) for a, b in zip(kept, (at, items[i + c], s[at, c]), strict=True)]
+                    new = [at, items[i + c], s[at, c]]
+                    kept = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
                     if len(kept[0]) > 2 * k * len(ids) + 100_000:
                         kept = best(kept)
-            at, item, score = best(kept)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in at], requests_type), pa.array(item), pa.array(score)], names=["request_id", "track_id", "score"])
+            if kept is not None:
+                at, item, score = best(kept)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in at], requests_type), pa.array(item.tolist(), tracks_type), pa.array(score)], names=["request_id", "track_id", "score"])
 
         one = corpus.select("track_id", "v", "part").mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
@@ -83,7 +85,7 @@ def similar(corpus: DataFrame, requests: DataFrame, features: list[str], k: int,
     requests: request_id and the features."""
     scale = [max(0.0, w) ** 0.5 for w in weights or [1.0] * len(features)]
     vector = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in zip(features, scale, strict=True))).alias("v")
-    rows = corpus.select(F.col("track_id").cast("long").alias("track_id"), vector, F.lit(0).cast("long").alias("part"))
+    rows = corpus.select("track_id", vector, F.lit(0).cast("long").alias("part"))
     return best_products(rows, requests.select("request_id", vector, F.lit(0).cast("long").alias("part")), k)
 
 
