@@ -19,6 +19,8 @@ from .common import cut
 #: Centroids and the number of lists to probe are fitted on SAMPLE vectors at most, picked by hash. Column blocks have STEP
 #: dimensions; EPSILON is the significance of the test. BLOCK bounds the candidates, QUERIES the queries of one task's group.
 SAMPLE, TRIALS, RECALL, STEP, EPSILON, BLOCK, QUERIES = 16_384, 256, 0.97, 16, 2.1, 4096, 1024
+#: Share of the pairs still alive above which a column block is worked out for all of them.
+DENSE = 0.05
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -65,16 +67,27 @@ def scan(queries: np.ndarray, limits: np.ndarray, candidates: np.ndarray, ids: n
     d = len(turn)
     rotated = lift(candidates, longest) @ turn
     asked = np.hstack([queries, np.zeros((len(queries), 1))]) @ turn
-    x, y = asked[:, :STEP], rotated[:, :STEP]
-    part = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
     near = lambda part, limit, seen: part <= limit * (1 + EPSILON / np.sqrt(seen)) ** 2 * seen / d + 1e-9
-    q, c = np.nonzero(near(part, limits[:, None], min(STEP, d)) & (own[:, None] != ids[None, :]))
+    part, alive, i = np.zeros((len(asked), len(rotated))), own[:, None] != ids[None, :], 0
+    while i < d and alive.mean() > DENSE:  # many are left: the next columns of all pairs at once
+        x, y = asked[:, i : i + STEP], rotated[:, i : i + STEP]
+        part += (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+        i = min(i + STEP, d)
+        alive &= near(part, limits[:, None], i)
+    q, c = np.nonzero(alive)
     part = part[q, c]
-    for i in range(STEP, d, STEP):
+    while i < d:
         block = slice(i, min(i + STEP, d))
         part = part + ((rotated[c, block] - asked[q, block]) ** 2).sum(1)
-        keep = near(part, limits[q], block.stop)
+        i = block.stop
+        keep = near(part, limits[q], i)
         q, c, part = q[keep], c[keep], part[keep]
+    if len(q) > 4 * k * len(asked):  # no limit to go by: only the nearest of each query are scored
+        order = np.lexsort((part, q))
+        q, c = q[order], c[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < 4 * k
+        edge = part[order] <= part[order][np.minimum(np.searchsorted(q, q) + k - 1, len(q) - 1)] * (1 + 1e-9) + 1e-9
+        q, c = q[first | edge], c[first | edge]
     score = np.empty(len(q))
     for i in range(0, len(q), 65_536):
         score[i : i + 65_536] = (queries[q[i : i + 65_536]] * candidates[c[i : i + 65_536]]).sum(1)
