@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, langid, line_dedup, packing, ppm, secrets, set_join
+from . import ann, bpe, exact_dedup, html_text, langid, line_dedup, odd_sketch, packing, ppm, runs, secrets, set_join
 from .common import crc_mod, table
 
 
@@ -55,12 +55,51 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), k=5, num=85, den=100)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_html_extraction, op3_line_dedup, op4_byte_bpe, op5_ngram_jaccard_join, op6_nearest_neighbours, op7_lm_scoring, op8_exact_dedup, op9_secret_scan, op10_language_id,
+    op11_periodic_runs, op12_minhash_near_dedup,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _components_sql(k: int) -> str:
+    """Sets of k-word shingles that link at 85 of 100, and their components."""
+    return rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as words from documents
+), shingles as (
+  select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < {k} then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i+{k - 1}], ' ')) end) as s from w
+), sized as (
+  select doc_id, len(s) as n, s from shingles
+), tokens as (
+  select doc_id, n, t, row_number() over (partition by doc_id order by f, t) as p
+  from (select doc_id, n, t, count(*) over (partition by t) as f from (select doc_id, n, unnest(s) as t from sized))
+), pairs as (
+  select distinct a.doc_id as a, b.doc_id as b from tokens a join tokens b on a.t = b.t and a.doc_id < b.doc_id
+    and a.p <= a.n - ceil(0.85 * a.n) + 1 and b.p <= b.n - ceil(0.85 * b.n) + 1 and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), links as (
+  select p.a, p.b from (select a, b, len(list_intersect(x.s, y.s)) as i, x.n + y.n as m from pairs join sized x on x.doc_id = a join sized y on y.doc_id = b) p where 100 * i >= 85 * (m - i)
+), both_ways as (
+  select a, b from links union select b, a from links
+), reach as (
+  select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join both_ways l on l.a = r.other
+)
+select s.doc_id, s.n as n_shingles, r.component_id, coalesce(l.n_links, 0) as n_links
+from sized s join (select doc_id, min(other) as component_id from reach group by doc_id) r using (doc_id)
+left join (select a as doc_id, count(*) as n_links from both_ways group by a) l using (doc_id)
+"""
+
+
 ORACLE_SQL = {
     "op3_line_dedup": rf"""
 with lines as (
@@ -85,31 +124,8 @@ with lines as (
 select d.doc_id, count(j.line) as n_lines, count(*) filter (where j.gone) as n_removed, coalesce(string_agg(j.line, ',' order by j.line) filter (where j.gone), '') as removed
 from documents d left join judged j using (doc_id) group by d.doc_id
 """,
-    "op5_ngram_jaccard_join": rf"""
-with recursive w as (
-  select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as words from documents
-), shingles as (
-  select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
-    else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i+3], ' ')) end) as s from w
-), sized as (
-  select doc_id, len(s) as n, s from shingles
-), tokens as (
-  select doc_id, n, t, row_number() over (partition by doc_id order by f, t) as p
-  from (select doc_id, n, t, count(*) over (partition by t) as f from (select doc_id, n, unnest(s) as t from sized))
-), pairs as (
-  select distinct a.doc_id as a, b.doc_id as b from tokens a join tokens b on a.t = b.t and a.doc_id < b.doc_id
-    and a.p <= a.n - ceil(0.85 * a.n) + 1 and b.p <= b.n - ceil(0.85 * b.n) + 1 and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
-), links as (
-  select p.a, p.b from (select a, b, len(list_intersect(x.s, y.s)) as i, x.n + y.n as m from pairs join sized x on x.doc_id = a join sized y on y.doc_id = b) p where 100 * i >= 85 * (m - i)
-), both_ways as (
-  select a, b from links union select b, a from links
-), reach as (
-  select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join both_ways l on l.a = r.other
-)
-select s.doc_id, s.n as n_shingles, r.component_id, coalesce(l.n_links, 0) as n_links
-from sized s join (select doc_id, min(other) as component_id from reach group by doc_id) r using (doc_id)
-left join (select a as doc_id, count(*) as n_links from both_ways group by a) l using (doc_id)
-""",
+    "op5_ngram_jaccard_join": _components_sql(4),
+    "op12_minhash_near_dedup": f"select doc_id, n_shingles, component_id, doc_id = component_id as kept from ({_components_sql(5)})",
     "op8_exact_dedup": f"""
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256
 from (select doc_id, sha256({_LOWER}) as text_sha256 from documents) window g as (partition by text_sha256)
