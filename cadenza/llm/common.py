@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zlib
@@ -42,6 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def used_up(*frames: DataFrame) -> None:
+    """Deletes the checkpoints of frames that nothing needs any more, and lets the driver collect its garbage, so that Spark drops the
+    shuffle files of finished steps now instead of when the driver's memory happens to fill."""
+    gc.collect()
+    for df in frames:
+        jvm, plan = df.sparkSession.sparkContext._jvm, df._jdf.queryExecution().logical()
+        path = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if path is not None and path.isDefined():
+            at = jvm.org.apache.hadoop.fs.Path(path.get())
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    SparkSession.getActiveSession().sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, or that the session has set. Only a local session may do without one: a
     cluster's executors can't see each other's own folders, so there it is an error."""

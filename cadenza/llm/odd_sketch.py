@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut
+from .common import cut, used_up
 from .components import components
 from .set_join import BITS, SetJoin, class_id, n_tasks, planes
 from .shingles import U, mix, shingle_sets
@@ -248,17 +248,24 @@ class NearCopies:
         bands = classes.select("sid", F.explode("keys").alias("key"))
         hubs = bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("sid", "key").alias("h"), "sid")).alias("hub")).filter("c > 1")
         buckets = cut(bands.join(hubs.select("key", F.col("hub.sid").alias("hub")), "key"))
+        used_up()
         sets = cut(full_sets(texts, self.k, buckets.select("sid").distinct().join(least, "sid")))
+        used_up()
 
         links = self.confirmed(self.nearest_hubs(buckets, classes), sets)
+        used_up()
         links = links.union(self.confirmed(self.nearest_apart(self.meetings(buckets, links, classes)), sets))
+        used_up()
         rest = self.doubtful(self.meetings(buckets, links, classes))
+        used_up(buckets, classes)
         more = self.exact.compared(rest.select("i", "j").distinct(), rest.select("sid", "chunk", F.lit(1).alias("w")).distinct(), sets)
-        links = links.union(more.filter("b is not null").select("a", "b"))
+        links = cut(links.union(more.filter("b is not null").select("a", "b")))
+        used_up(sets, rest)
 
         named = least.join(components(links).toDF("sid", "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         low = named.groupBy("comp").agg(F.min("least").alias("component_id"))
         answers = cut(named.join(low, "comp").select("sid", "component_id"))
+        used_up(links)
         return rows.join(answers, "sid", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, langid, line_dedup, odd_sketch, packing, ppm, runs, secrets, set_join
+from . import align, ann, bpe, exact_dedup, html_text, langid, line_dedup, odd_sketch, packing, ppm, runs, secrets, set_join
 from .common import crc_mod, table
 
 
@@ -63,9 +63,13 @@ def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), k=5, num=85, den=100)
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_html_extraction, op3_line_dedup, op4_byte_bpe, op5_ngram_jaccard_join, op6_nearest_neighbours, op7_lm_scoring, op8_exact_dedup, op9_secret_scan, op10_language_id,
-    op11_periodic_runs, op12_minhash_near_dedup,
+    op11_periodic_runs, op12_minhash_near_dedup, op13_cross_tokenizer_alignment,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -95,7 +95,7 @@ def test_set_join(spark, docs, empty, k, num, den):
     assert sorted(r[0] for r in kept.filter("doc_id is not null").collect()) == sorted(i for i, _, c, _ in got if i is not None and i == c)
 
 
-@pytest.mark.parametrize("changes", [(0, 1, 2), (0, 2, 4, 7)])
+@pytest.mark.parametrize("changes", [(0, 1, 2), (1, 2, 3, 4), (0, 3, 6, 9), (0, 2, 4, 7)])
 def test_set_join_of_near_groups(spark, monkeypatch, changes):
     """Groups of near copies at all distances: sure, doubtful and no links between chunks, in small blocks and chunks."""
     monkeypatch.setattr(set_join, "CHUNK", 6)
