@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import key_distance, min_max
 from .profile import mode_of
-from .recommend import centroids, without_members
+from .recommend import centroids
 from .retrieval import similar
 from .scoring import LOWER_IS_BETTER
 
@@ -80,11 +80,9 @@ def scaled_centroids(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
 
 
 def for_playlists(corpus: DataFrame, members: DataFrame, features: list[str], k: int) -> DataFrame:
-    """The k tracks most similar to each playlist's mean track that aren't in it. A top list longer by the largest playlist holds
-    them all, whatever members it loses. members: (request_id, track_id)."""
-    largest = members.groupBy("request_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    found = without_members(similar(corpus, centroids(corpus, members, features), features, k + largest), members)
-    return first_of(found.select("request_id", "track_id", "score"), "request_id", [F.desc("score"), F.col("track_id")], k)
+    """The k tracks most similar to each playlist's mean track that aren't in it. members: (request_id, track_id); they are left out
+    where they meet the playlist, before the list of k."""
+    return similar(corpus, centroids(corpus, members, features), features, k, without=members).select("request_id", "track_id", "score", F.col("rank").alias("place"))
 
 
 def best_model(table: DataFrame, model: str, columns: list[str]) -> DataFrame:

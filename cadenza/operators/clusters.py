@@ -83,6 +83,18 @@ def variance_ratio(vectors: DataFrame, vector: str, label: str) -> DataFrame:
     return both.select(F.round("within", 4).alias("within"), F.round("between", 4).alias("between"), F.round(ratio, 4).alias("ratio"))
 
 
+def davies_bouldin(vectors: DataFrame, vector: str, label: str) -> DataFrame:
+    """Davies and Bouldin's index on given labels: the mean over labels of the largest (spread + other's spread) / distance of the centres;
+    a spread is the mean distance of a label's rows from its centre. Labels with the same centre are left out of each other's largest."""
+    centres = label_centroids(vectors, vector, label)
+    rows = vectors.join(F.broadcast(centres), label)  # a row a label
+    spread = rows.groupBy(label).agg(F.avg(F.sqrt(squared_distance(F.col(vector), F.col("centre")))).alias("s"), F.first("centre").alias("c"))
+    a, b = spread.toDF("a", "sa", "ca"), spread.toDF("b", "sb", "cb")
+    apart = F.sqrt(squared_distance(F.col("ca"), F.col("cb")))
+    pairs = a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", ((F.col("sa") + F.col("sb")) / F.nullif(apart, F.lit(0.0))).alias("r"))
+    return pairs.groupBy("a").agg(F.max("r").alias("r")).agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
+
+
 def silhouettes(vectors: DataFrame, vector: str, key: str, label: str) -> DataFrame:
     """(key, label, silhouette) by squared distances: the mean ones to the own and to the nearest other label follow from the labels' means
     and mean squares, so work is in proportion to rows times labels. A label of one row gives 0."""
@@ -123,17 +135,29 @@ def dense_groups(points: DataFrame, radius: float, least: int) -> DataFrame:
     return points.select("id").join(joined, "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
 
 
-def sweep(spark: SparkSession, rows: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
+def sweep(spark: SparkSession, rows: DataFrame, ks: list[int], seed: int = 42, kinds: tuple[str, ...] = ("kmeans", "bisecting")) -> DataFrame:
     """Cost and silhouette of k-means and of bisecting k-means for each k. One small row a fit goes through the driver."""
     judge, found, rows = ClusteringEvaluator(), [], rows.persist()
     for k in ks:
-        for name, kind in (("kmeans", KMeans), ("bisecting", BisectingKMeans)):
+        for name, kind in ((n, c) for n, c in (("kmeans", KMeans), ("bisecting", BisectingKMeans)) if n in kinds):
             model = kind(k=k, seed=seed).fit(rows)
             found.append((name, k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(rows)))))
     rows.unpersist()
     return spark.createDataFrame(found, "algorithm string, k int, cost double, silhouette double")
 
 
+def best_k(swept: DataFrame) -> DataFrame:
+    """(algorithm, k, silhouette): the k of the largest silhouette of each algorithm, the least of equals."""
+    best = swept.groupBy("algorithm").agg(F.min(F.struct((-F.col("silhouette")).alias("m"), "k")).alias("best"))
+    return best.select("algorithm", "best.k", (-F.col("best.m")).alias("silhouette"))
+
+
+def hierarchical(rows: DataFrame, k: int = 6, seed: int = 42) -> DataFrame:
+    """rows (features: vector and others) with cluster_id, by divisive clustering: the largest cluster is halved until there are k."""
+    model = BisectingKMeans(k=k, seed=seed, predictionCol="cluster_id").fit(rows)
+    return model.transform(rows)
+
+
 def explained_variance(spark: SparkSession, rows: DataFrame, k: int) -> DataFrame:
     shares = PCA(k=k, inputCol="features", outputCol="p").fit(rows).explainedVariance.toArray().tolist()
     return spark.createDataFrame([(i, s, sum(shares[: i + 1])) for i, s in enumerate(shares)], "component int, share double, cumulative double")

@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.domain import AUDIO
+from .quantiles import medians
 
 
 def impute(profile: DataFrame, track_artists: DataFrame) -> DataFrame:
     """Fills missing audio features by the medians of the track's artists (least artist id first), then of its genre, then of all,
     and says in features_source which level came last into play. Medians come from rows with source 'spotify'."""
     real = profile.filter("features_source = 'spotify'")
-    artist = real.select("track_id", *AUDIO).join(track_artists, "track_id").groupBy("artist_id").agg(*(F.median(c).alias(c) for c in AUDIO))
+    most = track_artists.count(), profile.count()
+    artist = medians(real.select("track_id", *AUDIO).join(track_artists, "track_id"), AUDIO, ["artist_id"], most=most[0])
     by_artist = track_artists.join(artist, "artist_id").groupBy("track_id").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("artist_id"))).alias(f"a_{c}") for c in AUDIO))
-    genre = real.filter("first_genre is not null").groupBy("first_genre").agg(*(F.median(c).alias(f"g_{c}") for c in AUDIO), F.lit(True).alias("g_any"))
-    overall = real.agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(f"o_{c}") for c in AUDIO)).withColumn("one", F.lit(1))
+    genre = medians(real.filter("first_genre is not null"), AUDIO, ["first_genre"], most=most[1]).select("first_genre", *(F.col(c).alias(f"g_{c}") for c in AUDIO), F.lit(True).alias("g_any"))
+    overall = overall_medians(real, AUDIO, most[1]).select(*(F.col(c).alias(f"o_{c}") for c in AUDIO), F.lit(1).alias("one"))
     rows = profile.withColumn("one", F.lit(1)).join(by_artist, "track_id", "left").join(F.broadcast(genre), "first_genre", "left").join(F.broadcast(overall), "one")
     anything = lambda test: reduce(lambda a, b: a | b, (test(c) for c in AUDIO))
     gap = anything(lambda c: F.col(c).isNull())
@@ -29,6 +31,12 @@ def impute(profile: DataFrame, track_artists: DataFrame) -> DataFrame:
     return rows.select(*(c for c in profile.columns if c not in [*AUDIO, "features_source"]), *filled, source.alias("features_source"))
 
 
+def overall_medians(rows: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """One row: the columns' medians, 0 where a column has no values or there are no rows."""
+    found = medians(rows, columns, most=most)
+    return found.agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in columns))
+
+
 def collaborative(profile: DataFrame, playlist_tracks: DataFrame, labels: DataFrame) -> DataFrame:
     """n_playlists and playlist_diversity (different labels of the playlists a track is on). labels: (playlist_id, label)."""
     n = playlist_tracks.groupBy("track_id").agg(F.count("*").cast("double").alias("n_playlists"))
@@ -39,10 +47,11 @@ def collaborative(profile: DataFrame, playlist_tracks: DataFrame, labels: DataFr
 
 def temporal(df: DataFrame, as_of_year: int) -> DataFrame:
     """year_normalized and duration_ms_normalized (0..1, missing 0.5; a constant column has range 1), years_since_release (missing: median)."""
-    bounds = df.agg(F.min("year").alias("y0"), F.max("year").alias("y1"), F.min("duration_ms").alias("d0"), F.max("duration_ms").alias("d1"), F.median(as_of_year - F.col("year")).alias("mid")).withColumn("one", F.lit(1))
-    rows = df.withColumn("one", F.lit(1)).join(F.broadcast(bounds), "one")
+    bounds = df.agg(F.min("year").alias("y0"), F.max("year").alias("y1"), F.min("duration_ms").alias("d0"), F.max("duration_ms").alias("d1")).withColumn("one", F.lit(1))
+    middle = overall_medians(df.select((as_of_year - F.col("year")).alias("mid")).filter("mid is not null"), ["mid"]).withColumn("one", F.lit(1))
+    rows = df.withColumn("one", F.lit(1)).join(F.broadcast(bounds), "one").join(F.broadcast(middle), "one")
     scaled = lambda c, a, b: F.coalesce((F.col(c) - F.col(a)) / F.when(F.col(b) > F.col(a), F.col(b) - F.col(a)).otherwise(1), F.lit(0.5))
-    new = {"year_normalized": scaled("year", "y0", "y1"), "duration_ms_normalized": scaled("duration_ms", "d0", "d1"), "years_since_release": F.coalesce((as_of_year - F.col("year")).cast("double"), "mid", F.lit(0.0))}
+    new = {"year_normalized": scaled("year", "y0", "y1"), "duration_ms_normalized": scaled("duration_ms", "d0", "d1"), "years_since_release": F.coalesce((as_of_year - F.col("year")).cast("double"), "mid")}
     return rows.withColumns(new).select(*df.columns, *new)
 
 

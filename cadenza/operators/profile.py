@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.domain import AUDIO
+from . import quantiles
 
 
 def track_genre(tracks: DataFrame, genre_map: DataFrame, genre_xy: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def top_values(df: DataFrame, by: str, value: str, n: int, out: str) -> DataFram
 
 
 def medians(df: DataFrame, by: list[str], columns: list[str] = AUDIO) -> DataFrame:
-    return df.groupBy(*by).agg(*(F.median(c).alias(c) for c in columns))
+    return quantiles.medians(df, columns, by)
 
 
 def group_profile(members: DataFrame, genre: DataFrame, by: str) -> DataFrame:
@@ -60,14 +61,14 @@ def null_report(df: DataFrame) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, by: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    return df.groupBy(by).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high")).select(by, F.round("low", 6).alias("low"), *(F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)), F.round("high", 6).alias("high"))
+    q = quantiles.quantiles(df, [value], [0.0, 0.25, 0.5, 0.75, 1.0], [by])
+    return q.select(by, F.col("q")[0].alias("low"), F.slice("q", 2, 3).alias("q"), F.col("q")[4].alias("high")).select(by, F.round("low", 6).alias("low"), *(F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)), F.round("high", 6).alias("high"))
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """Quartiles, fences and the rows beyond them, by column."""
     long = df.unpivot([], columns, "feature", "value").filter("value is not null")
-    q = long.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = quantiles.quantiles(df, columns, [0.25, 0.75]).select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     out = (F.col("value") < F.col("q1") - k * (F.col("q3") - F.col("q1"))) | (F.col("value") > F.col("q3") + k * (F.col("q3") - F.col("q1")))
     return long.join(F.broadcast(q), "feature").groupBy("feature").agg(F.round(F.first("q1"), 6).alias("q1"), F.round(F.first("q3"), 6).alias("q3"), F.count_if(out).alias("outliers"), F.round(F.count_if(out) * 100 / F.count("*"), 4).alias("pct"))
 

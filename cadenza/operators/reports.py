@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
     """Rows in each of `bins` equal intervals between a column's least and greatest value (the last one closed); nulls are left out,
@@ -20,11 +22,10 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, nulls, mean, std (n - 1), min, quartiles and max of each column."""
-    q = F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     out = df.unpivot([], columns, "feature", "value").groupBy("feature").agg(
         F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("low"), q.alias("q"), F.max("value").alias("high"),
-    )
+        F.min("value").alias("low"), F.max("value").alias("high"),
+    ).join(quantiles(df, columns, [0.25, 0.5, 0.75]), "feature", "left")
     r = lambda c, name: F.round(c, 6).alias(name)
     return out.select("feature", "n", "nulls", r("mean", "mean"), r("std", "std"), r("low", "low"), *(r(F.col("q")[i], f"q{i + 1}") for i in range(3)), r("high", "high"))
 
@@ -35,7 +36,7 @@ def centroid_outliers(rows: DataFrame, by: str, columns: list[str], share: float
     stats = rows.groupBy(by).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns))
     z = [F.coalesce(F.pow((F.col(c) - F.col(f"m_{c}")) / F.greatest(F.coalesce(f"s_{c}", F.lit(0.0)), F.lit(1e-9)), 2), F.lit(0.0)) for c in columns]
     scored = rows.join(stats, by).withColumn("distance", F.round(F.sqrt(reduce(lambda a, b: a + b, z)), 6))
-    limit = scored.groupBy(by).agg(F.percentile("distance", share).alias("limit"))
+    limit = quantiles(scored, ["distance"], [share], [by]).select(by, F.col("q")[0].alias("limit"))
     return scored.join(limit, by).withColumn("is_outlier", F.col("distance") > F.col("limit")).select(*rows.columns, "distance", "is_outlier")
 
 

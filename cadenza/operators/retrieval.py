@@ -11,82 +11,118 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.scalars import distance
 
 
-#: Requests that go to the tasks at once, as one matrix; rows of the corpus that meet them at a time.
+#: Requests of a block; rows of the corpus that meet a block at a time.
 REQUESTS, ROWS = 4096, 256
 
 
-def best_products(corpus: DataFrame, requests: DataFrame, k: int, same: bool = False, apart: bool = False) -> DataFrame:
+def best_products(corpus: DataFrame, requests: DataFrame, k: int, same: bool = False, apart: bool = False, without: DataFrame | None = None, within: bool = False) -> DataFrame:
     """(request_id, track_id, score, rank): the k rows of the corpus with the largest products of unit vectors, within 0..1, for each
-    request; ties by track_id. corpus: track_id, v, part; requests: request_id, v, part; v: array<double>. With `same` only rows of the
-    request's part count, with `apart` only rows of other parts (part: a long).
+    request; ties by track_id. corpus: track_id, v, part; requests: request_id, v, part; v: array<double>, all of one length. With `same`
+    only rows of the request's part count, with `apart` only rows of other parts (part: a long); with `within` a request's part is a bitmap
+    of the parts, 0 to 62, that count, and -1 stands for all. without: pairs (request_id, track_id) that don't count.
 
-    Requests go to the tasks in blocks of REQUESTS, each block a pass over the corpus; a task multiplies matrices and keeps k rows a
-    request, so only those shuffle.
+    Blocks of requests and shares of the corpus meet as rows in tasks: a request goes to each share once, a row of the corpus to each
+    block of REQUESTS requests, a pair of `without` to the one place where both are. There are as many shares as make the tasks busy. A task
+    holds a block, multiplies matrices with the rows that stream by, and passes on k rows a request. The driver gets the number of requests.
     """
-    spark, found = corpus.sparkSession, None
-    schema = f"request_id {requests.schema['request_id'].dataType.simpleString()}, track_id {corpus.schema['track_id'].dataType.simpleString()}, score double"
-    requests_type, tracks_type = to_arrow_type(requests.schema["request_id"].dataType), to_arrow_type(corpus.schema["track_id"].dataType)
-    asked = requests.select("request_id", "v", "part")
-    n = asked.count()
-    blocks = max(1, -(-n // REQUESTS))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(blocks)))
-
-    def unit(x: np.ndarray) -> np.ndarray:
+    request_type, track_type = requests.schema["request_id"].dataType, corpus.schema["track_id"].dataType
+    schema = f"request_id {request_type.simpleString()}, track_id {track_type.simpleString()}, score double"
+    requests_type, tracks_type = to_arrow_type(request_type), to_arrow_type(track_type)
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-requests.count() // REQUESTS))
+    shares = max(1, -(-2 * tasks // blocks))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = lambda df, block, share, side: df.select(block.alias("block"), share.alias("share"), F.lit(side).alias("side"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("request_id", request_type), ("track_id", track_type), ("v", "array<double>"), ("part", "long"))))
+    asked = row(requests.select("request_id", "v", "part", each(shares).alias("s")), number("request_id", blocks), F.col("s"), 0)
+    rows = row(corpus.select("track_id", "v", "part", each(blocks).alias("b")), F.col("b"), number("track_id", shares), 2)
+    met = asked.unionByName(rows)
+    if without is not None:
+        met = met.unionByName(row(without.select(F.col("request_id").cast(request_type), F.col("track_id").cast(track_type)), number("request_id", blocks), number("track_id", shares), 1))
+    met = met.repartition(tasks, "block", "share").sortWithinPartitions("block", "share", "side")
+
+    def unit(column: pa.ListArray) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
         size = np.sqrt((x * x).sum(1, keepdims=True))
         return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-    for b in range(blocks):
-        held = dealt.filter(F.col("block") == b).orderBy("request_id").collect()
-        if not held:
-            continue
-        data = ([r["request_id"] for r in held], unit(np.array([r["v"] for r in held], float)), np.array([r["part"] if r["part"] is not None else -1 for r in held]))
-        shared = spark.sparkContext.broadcast(data)
-
-        def run(batches, shared=shared):
-            ids, q, part = shared.value
-            limit = np.full(len(ids), -1.0)
-            kept = None
-
-            def best(kept):
-                order = np.lexsort((kept[1], -kept[2], kept[0]))
-                at, item, score = (c[order] for c in kept)
-                rank = np.arange(len(at)) - np.searchsorted(at, at)
-                last = rank == k - 1
-                limit[at[last]] = score[last]
-                return [c[rank < k] for c in (at, item, score)]
-
-            for batch in batches:
-                items, parts = np.array(batch.column(0).to_pylist()), batch.column(2).fill_null(-1).to_numpy()
-                x = unit(np.array(batch.column(1).to_pylist(), float).reshape(len(items), -1))
-                for i in range(0, len(items), ROWS):
-                    s = np.round(np.clip(q @ x[i : i + ROWS].T, 0, 1), 9)
-                    good = s >= limit[:, None]
-                    if same or apart:
-                        good &= (part[:, None] == parts[None, i : i + ROWS]) == same
-                    at, c = np.nonzero(good)
-                    new = [at, items[i + c], s[at, c]]
-                    kept = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
-                    if len(kept[0]) > 2 * k * len(ids) + 100_000:
-                        kept = best(kept)
-            if kept is not None:
-                at, item, score = best(kept)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in at], requests_type), pa.array(item.tolist(), tracks_type), pa.array(score)], names=["request_id", "track_id", "score"])
-
-        one = corpus.select("track_id", "v", "part").mapInArrow(run, schema)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    class Block:
+        def __init__(self):
+            self.ids, self.q, self.part, self.skip, self.kept = [], [], [], {}, None
+
+        def start(self):
+            if isinstance(self.q, list):
+                self.q, self.part = np.concatenate(self.q), np.concatenate(self.part)
+                self.limit, self.place = np.full(len(self.ids), -1.0), {}
+
+        def best(self):
+            order = np.lexsort((self.kept[1], -self.kept[2], self.kept[0]))
+            at, item, score = (c[order] for c in self.kept)
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            last = rank == k - 1
+            self.limit[at[last]] = score[last]
+            self.kept = [c[rank < k] for c in (at, item, score)]
+
+        def meet(self, items: np.ndarray, x: np.ndarray, parts: np.ndarray):
+            for i in range(0, len(items), ROWS):
+                s = np.round(np.clip(self.q @ x[i : i + ROWS].T, 0, 1), 9)
+                for c, item in enumerate(items[i : i + ROWS].tolist() if self.skip else ()):
+                    if item in self.skip:
+                        s[self.skip[item], c] = -2
+                good = s >= self.limit[:, None]
+                if same or apart:
+                    good &= (self.part[:, None] == parts[None, i : i + ROWS]) == same
+                if within:
+                    here = parts[i : i + ROWS]
+                    good &= (self.part[:, None] >> np.where(here < 0, 63, here)[None] & 1) == 1
+                at, c = np.nonzero(good)
+                new = [at, items[i + c], s[at, c]]
+                self.kept = new if self.kept is None else [np.concatenate(pair) for pair in zip(self.kept, new, strict=True)]
+                if len(self.kept[0]) > 2 * k * len(self.ids) + 100_000:
+                    self.best()
+
+        def found(self):
+            if self.kept is not None and len(self.kept[0]):
+                self.best()
+                at, item, score = self.kept
+                yield pa.RecordBatch.from_arrays([pa.array([self.ids[a] for a in at], requests_type), pa.array(item.tolist(), tracks_type), pa.array(score)], names=["request_id", "track_id", "score"])
+
+    def run(batches):
+        key, block = None, Block()
+        for batch in batches:
+            places = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = np.flatnonzero(np.r_[True, (places[:, 1:] != places[:, :-1]).any(0)]) if batch.num_rows else []
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                if (places[0, a], places[1, a]) != key:
+                    yield from block.found()
+                    key, block = (places[0, a], places[1, a]), Block()
+                some = batch.slice(a, b - a)
+                if places[2, a] == 0:
+                    block.ids += some.column(3).to_pylist()
+                    block.q.append(unit(some.column(5)))
+                    block.part.append(some.column(6).fill_null(-1).to_numpy())
+                elif block.ids:
+                    block.start()
+                    if places[2, a] == 1:
+                        block.place = block.place or {r: i for i, r in enumerate(block.ids)}
+                        for r, t in zip(some.column(3).to_pylist(), some.column(4).to_pylist(), strict=True):
+                            if r in block.place:
+                                block.skip.setdefault(t, []).append(block.place[r])
+                    else:
+                        block.meet(np.array(some.column(4).to_pylist()), unit(some.column(5)), some.column(6).fill_null(-1).to_numpy())
+        yield from block.found()
+
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "track_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return met.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similar(corpus: DataFrame, requests: DataFrame, features: list[str], k: int, weights: list[float] | None = None) -> DataFrame:
+def similar(corpus: DataFrame, requests: DataFrame, features: list[str], k: int, weights: list[float] | None = None, without: DataFrame | None = None) -> DataFrame:
     """The k rows of the corpus most similar to each request's vector (missing values 0, weights below 0 as 0); ties by track_id.
-    requests: request_id and the features."""
+    requests: request_id and the features; without: pairs (request_id, track_id) that don't count."""
     scale = [max(0.0, w) ** 0.5 for w in weights or [1.0] * len(features)]
     vector = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in zip(features, scale, strict=True))).alias("v")
     rows = corpus.select("track_id", vector, F.lit(0).cast("long").alias("part"))
-    return best_products(rows, requests.select("request_id", vector, F.lit(0).cast("long").alias("part")), k)
+    return best_products(rows, requests.select("request_id", vector, F.lit(0).cast("long").alias("part")), k, without=without)
 
 
 def resolved(seeds: DataFrame, corpus: DataFrame, features: list[str]) -> DataFrame:

@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, features, learners, recommend, scoring
+from ..operators import clusters, learners, recommend, scoring
 from ..sources.domain import AUDIO
-from .registry import _IMPUTED, _PROFILE_SQL, SIMILARITY, _profile, _genre, query
-
-
-def _corpus(lib):
-    return features.impute(_profile(lib), lib.track_artists)
+from .registry import _IMPUTED, _PROFILE_SQL, SIMILARITY, _corpus, _genre, query
 
 
 _CENTRES = "cells as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), centres as (select label, i, avg(x) as x from cells group by 1, 2)"

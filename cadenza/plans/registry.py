@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import convlog, features, merge, profile, retrieval
+from ..operators.storage import cut
 from ..sources.domain import AUDIO, KEYS, SQL, Library
 
 _QUERIES: dict[str, Callable[[Library], DataFrame]] = {}
@@ -43,6 +44,13 @@ def _profile(lib: Library) -> DataFrame:
     return profile.track_profile(lib.tracks, lib.audio_features, _genre(lib), lib.faves)
 
 
+def _corpus(lib: Library) -> DataFrame:
+    """The imputed tracks, made once for all uses in a query."""
+    if "_corpus" not in lib.__dict__:
+        lib.__dict__["_corpus"] = cut(features.impute(_profile(lib), lib.track_artists))
+    return lib.__dict__["_corpus"]
+
+
 _KEY_SQL = f"coalesce(list_extract([{', '.join(repr(k) for k in KEYS)}], case when key >= 0 then key + 1 end) || ' ' || list_extract(['Minor', 'Major'], mode + 1), '')"
 _RING_SQL = "case %s " + " ".join(f"when '{k}' then {v}" for k, v in S.RING.items()) + " end"
 _PROFILE_SQL = """
@@ -157,7 +165,7 @@ def _(lib):
 
 @query("d03_global_medians", "select " + ", ".join(f"round(coalesce(median({c}), 0), 4) as {c}" for c in AUDIO) + " from audio_features")
 def _(lib):
-    return lib.audio_features.agg(*(F.round(F.coalesce(F.median(c), F.lit(0.0)), 4).alias(c) for c in AUDIO))
+    return features.overall_medians(lib.audio_features, AUDIO).select(*(F.round(c, 4).alias(c) for c in AUDIO))
 
 
 @query("d04_track_genre", "select * from track_genre")
@@ -258,7 +266,7 @@ _SCORED = f"scored as (select r.track_id as request_id, c.track_id, round(greate
 
 def _scored(lib: Library, k: int) -> DataFrame:
     """Seeds are the tracks whose id is divisible by 100."""
-    corpus = features.impute(_profile(lib), lib.track_artists)
+    corpus = _corpus(lib)
     seeds = corpus.filter("track_id % 100 = 0").withColumn("request_id", F.col("track_id"))
     return retrieval.similar(corpus, seeds, SIMILARITY, k)
 
