@@ -17,9 +17,11 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import re
 import zlib
 from array import array
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from .set_join import n_tasks, pa_type
 from .shingles import U, mix
 
 #: Bytes of a range of a long text; fragments composed at once; tokens and texts of a block; words a task remembers, and their characters.
-RANGE, FAN, BLOCK, MOST, KEEP, HELD = 1 << 15, 8, 1 << 20, 1 << 15, 300_000, 1 << 24
+RANGE, FAN, BLOCK, MOST, KEEP, HELD = 1 << 15, 8, 1 << 20, 1 << 15, 400_000, 1 << 24
 SPACE = "▁"
 #: A pair of token ids is one number: the first id above, the second in the lower bits.
 LOW = 16
@@ -72,12 +74,14 @@ class Aligner:
             raise ValueError("a piece of the second vocabulary goes on over a word's start")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
+        self.sizes_a, self.sizes_b = np.array(self.len_a), np.array(self.len_b)
+        self.printed = [f"{i}{c}" for n, signs in ((len(self.len_a), ",|"), (len(self.len_b), ",;\n")) for c in signs for i in range(n)]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.texts, self.links, self.ids = [], [], []
-        self.sizes, self.held = array("q"), 0  # tokens of both, groups; 0 groups where the bytes differ
+        self.texts: list[str] = []
+        self.links, self.sizes, self.held = array("I"), array("q"), 0  # of all words; tokens of both, groups (0 where the bytes differ), links
 
     def joined(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
         """(groups as text, how many, linked pairs in order) of tokens that begin and end together."""
@@ -101,27 +105,60 @@ class Aligner:
                 end_b += len_b[b[j]]
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words and remembers their closed fragments, numbered on."""
-        firsts = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
-        for w, a, b in zip(words, firsts, self.b.encode(words, num_threads=1), strict=True):
-            a, raw = a.ids, (" " + w).encode()
-            same = b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
-            text, n, links = self.joined(a, b) if same else ("", 0, [])
-            self.known[w] = len(self.texts)
-            self.held += len(w)
-            self.texts.append(text)
-            self.links.append(array("I", links).tobytes())
-            self.ids.append((array("H", a).tobytes(), array("H", b).tobytes()))
-            self.sizes.extend((len(a), len(b), n))
+        """Encodes words and remembers their closed fragments, numbered on; all words' tokens are aligned at once."""
+        if not words:
+            return
+        raw = [(" " + w).encode() for w in words]
+        firsts, seconds = [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)], self.b.encode(words, num_threads=1)
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        good = [b"".join(map(bytes_a, a)) == r == b"".join(map(bytes_b, b)) for a, b, r in zip(firsts, seconds, raw, strict=True)]
+        sizes = np.zeros((len(words), 4), np.int64)
+        for i, ids in enumerate((firsts, seconds)):
+            sizes[:, i] = [*map(len, ids)]
+        kept = np.flatnonzero(good)
+        texts, links = [""] * len(words), np.zeros(0, np.int64)
+        if len(kept):
+            a, b = (np.fromiter(chain.from_iterable(ids[k] for k in kept.tolist()), np.int64, int(sizes[kept, i].sum())) for i, ids in enumerate((firsts, seconds)))
+            ends = np.cumsum([len(raw[k]) for k in kept.tolist()])
+            found, sizes[kept, 2], sizes[kept, 3], links = self.aligned(a, b, ends)
+            for k, t in zip(kept.tolist(), found, strict=True):
+                texts[k] = t
+        self.known.update(zip(words, range(len(self.texts), len(self.texts) + len(words)), strict=True))
+        self.texts += texts
+        self.sizes.frombytes(sizes.tobytes())
+        self.links.frombytes(links.astype(np.uint32).tobytes())
+        self.held += sum(map(len, words))
+
+    def aligned(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of words one after another, which end at `ends`: (text of the groups, their number, number of links) of each, and the links."""
+        end_a, end_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        every, common = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+        links = a[np.searchsorted(end_a, every)] << LOW | b[np.searchsorted(end_b, every)]
+        of_a, of_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        many_a, many_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+        last = lambda of: np.r_[of[1:] != of[:-1], True].astype(np.int64)
+        closes = (ends[np.searchsorted(ends, end_b)] == end_b).astype(np.int64)
+        n_a, n_b = len(self.sizes_a), len(self.sizes_b)
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[of_a]] = a + n_a * last(of_a)
+        codes[np.arange(len(b)) + np.cumsum(many_a)[of_b]] = 2 * n_a + b + n_b * (last(of_b) + closes)
+        texts = "".join(map(self.printed.__getitem__, codes.tolist())).split("\n")[:-1]
+        count = lambda x: np.bincount(np.searchsorted(ends, x), minlength=len(ends))
+        return texts, count(common), count(every), links
 
     def numbers(self, texts: list[str]) -> list[list[int]]:
         """The numbers of each text's words; none for an empty text or one that has the second vocabulary's sign for a space."""
         if len(self.known) > KEEP or self.held > HELD:
             self.forget()
-        known, split = self.known, [None if not t or SPACE in t else words_of(t) for t in texts]
-        new = {w for words in split for w in words or () if w not in known}
-        self.learn(sorted(new))
-        return [[known[w] for w in words or ()] for words in split]
+        split = [[] if not t or SPACE in t else words_of(t) for t in texts]
+        self.learn([*(set().union(*split) - self.known.keys())])
+        number = self.known.__getitem__
+        return [[*map(number, words)] for words in split]
+
+    def ids(self, numbers: list[int]) -> list[np.ndarray]:
+        """The ids of both tokenizers of a text of words."""
+        groups = [g.split("|") for g in ";".join([self.texts[w] for w in numbers]).split(";")]
+        return [np.array(",".join([g[side] for g in groups]).split(","), np.int64) for side in (0, 1)]
 
     def fragment(self, a: list[int], b: list[int], lead: int) -> Fragment:
         """Of the tokens that end in a range; the second's begin `lead` bytes after the first's."""
@@ -169,10 +206,14 @@ def _both(x: tuple, y: tuple) -> tuple[list[int], list[int]]:
     return [*x[0], *y[0]], [*x[1], *y[1]]
 
 
+#: A space that is followed by white space or the end.
+ODD = re.compile(r" (?:\s|\Z)")
+
+
 def words_of(text: str) -> list[str]:
     """The text, cut before each single space that a character other than white space follows; those spaces left out."""
     out = text.split(" ")
-    if all(w and not w[0].isspace() for w in out):
+    if text[:1] != " " and not ODD.search(text):
         return out
     done = [out[0]]
     for w in out[1:]:
@@ -214,14 +255,12 @@ class Counts:
         self.kind, self.buckets = kind, buckets
         self.schema = f"goes int, block long, bucket int, payload binary, ids array<{id_kind}>"
 
-    def rows(self, block: int, ids: list, facts: list[tuple], doc: np.ndarray, part: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        """facts: (n_a, n_b, n_groups, digest) of each text; doc and part: each text's parts, in order of texts, repeated; links:
-        (pairs, how often) of each part."""
-        size = np.array([len(k) for k, _ in links], np.int64)
-        keys, often = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in links)]).astype(np.int64) for i in (0, 1))
+    def rows(self, block: int, ids: list, facts: list[tuple], doc: np.ndarray, part: np.ndarray, size: np.ndarray, keys: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+        """facts: (n_a, n_b, n_groups, digest) of each text; doc and part: each text's parts, in order of texts, repeated; size: how many
+        different pairs each part has, keys and often: these pairs, and how often they are there, part after part."""
         both, times = np.unique(doc.astype(np.int64) << 32 | part, return_counts=True)
         doc, part = both >> 32, both & 0xFFFFFFFF
-        uses = np.zeros(len(links), np.int64)
+        uses = np.zeros(len(size), np.int64)
         np.add.at(uses, part, times)
         pairs, at = np.unique(keys, return_inverse=True)
         total = np.zeros(len(pairs), np.int64)
@@ -320,7 +359,8 @@ def _blocks(texts: DataFrame, files, counts: Counts, size: int) -> DataFrame:
                     total += len(texts[-1])
                     j += 1
                 numbers = [np.array(x, np.int64) for x in tool.numbers(texts)]
-                sizes = np.array(tool.sizes, np.int64).reshape(-1, 3)
+                sizes, links = np.array(tool.sizes, np.int64).reshape(-1, 4), np.array(tool.links, np.int64)
+                starts = np.cumsum(sizes[:, 3]) - sizes[:, 3]
                 fits = [len(x) > 0 and bool(sizes[x, 2].all()) for x in numbers]
                 long = [f and len(t) * 4 > size and len(t.encode()) > size for f, t in zip(fits, texts, strict=True)]
                 short = [r for r in range(len(texts)) if not long[r]]
@@ -333,22 +373,23 @@ def _blocks(texts: DataFrame, files, counts: Counts, size: int) -> DataFrame:
                     made += 1
                 k = 0
                 while k < len(short):
-                    at, links = k, 0
-                    while k < len(short) and (k == at or links < most):
-                        links += int(sizes[numbers[short[k]], :2].sum())
+                    at, tokens = k, 0
+                    while k < len(short) and (k == at or tokens < most):
+                        tokens += int(sizes[numbers[short[k]], :2].sum())
                         k += 1
                     facts = []
                     for r in short[at:k]:
                         if fits[r]:
                             text = ";".join([tool.texts[w] for w in numbers[r].tolist()])
-                            facts.append((*sizes[numbers[r]].sum(0).tolist(), hashlib.sha256(text.encode()).hexdigest()))
+                            facts.append((*sizes[numbers[r], :3].sum(0).tolist(), hashlib.sha256(text.encode()).hexdigest()))
                         else:
                             facts.append((0, 0, 0, ""))
                     words = [numbers[r] if fits[r] else numbers[r][:0] for r in short[at:k]]
                     used, part = np.unique(np.concatenate(words), return_inverse=True)
-                    held = [np.frombuffer(tool.links[w], np.uint32) for w in used.tolist()]
+                    size_of = sizes[used, 3]
+                    held = links[np.repeat(starts[used] - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())]
                     doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-                    yield counts.rows(base + made, [ids[r].as_py() for r in short[at:k]], facts, doc, part, [(x, np.ones(len(x), np.int64)) for x in held])
+                    yield counts.rows(base + made, [ids[r].as_py() for r in short[at:k]], facts, doc, part, size_of, held, np.ones(len(held), np.int64))
                     made += 1
                 i = j
 
@@ -357,14 +398,14 @@ def _blocks(texts: DataFrame, files, counts: Counts, size: int) -> DataFrame:
 
 def _ranges(tool: Aligner, numbers: np.ndarray, size: int) -> list[tuple]:
     """(ids of both that end there, how much later the second's begin) of each byte range of a text."""
-    ids = [np.frombuffer(b"".join([tool.ids[w][side] for w in numbers.tolist()]), np.uint16) for side in (0, 1)]
-    ends = [np.cumsum(np.array(n)[x]) for n, x in zip((tool.len_a, tool.len_b), ids, strict=True)]
+    ids = tool.ids(numbers.tolist())
+    ends = [np.cumsum(n[x]) for n, x in zip((tool.sizes_a, tool.sizes_b), ids, strict=True)]
     n = -(-int(ends[0][-1]) // size)
     cuts = [np.searchsorted(e, np.arange(n + 1) * size, "right") for e in ends]
     out = []
     for r in range(n):
         begin = [int(e[c[r] - 1]) if c[r] else 0 for e, c in zip(ends, cuts, strict=True)]
-        out.append((*(x[c[r] : c[r + 1]].tobytes() for x, c in zip(ids, cuts, strict=True)), begin[1] - begin[0]))
+        out.append((*(x[c[r] : c[r + 1]].astype(np.uint16).tobytes() for x, c in zip(ids, cuts, strict=True)), begin[1] - begin[0]))
     return out
 
 
@@ -411,8 +452,8 @@ def _tree(ranges: DataFrame, files, counts: Counts) -> DataFrame:
                 x = tool.whole(pickle.loads(payload.as_py()))  # noqa: S301
                 text = ";".join(x.text)
                 facts = [(*x.sizes, hashlib.sha256(text.encode()).hexdigest())]
-                links = (np.array([*x.links.keys()], np.int64), np.array([*x.links.values()], np.int64))
-                yield counts.rows(block, ids, facts, np.zeros(1, np.int64), np.zeros(1, np.int64), [links])
+                keys, often = np.array([*x.links.keys()], np.int64), np.array([*x.links.values()], np.int64)
+                yield counts.rows(block, ids, facts, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(keys)]), keys, often)
 
     return rows.mapInArrow(finish, counts.schema)
 

@@ -96,12 +96,13 @@ def test_words_of_any_text(tool, text):
     """Words encoded one by one give the tokens of the whole text."""
     a, b, groups = plain(tool, text)
     (numbers,) = tool.numbers([text])
-    sizes = [tool.sizes[3 * w : 3 * w + 3] for w in numbers]
+    sizes = [tool.sizes[4 * w : 4 * w + 4] for w in numbers]
     if not groups:
         assert not numbers or not all(s[2] for s in sizes)
     else:
         assert ";".join(tool.texts[w] for w in numbers) == ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
         assert [sum(s[i] for s in sizes) for i in range(3)] == [len(a), len(b), len(groups)]
+        assert [x.tolist() for x in tool.ids(numbers)] == [[i for i, *_ in a], [i for i, *_ in b]]
 
 
 @settings(max_examples=200, deadline=None)
