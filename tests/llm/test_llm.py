@@ -507,6 +507,17 @@ def test_line_dedup(docs, empty):
     assert clean.columns == docs.columns and clean.count() == unique.count()
 
 
+def test_remove_lines_of_rows_with_one_id(spark):
+    """Rows with the same id lose their own lines only; repeated rows, null ids and clashing names change nothing else."""
+    one = "a b c d e f g h"
+    rows = [(1, f"{one}\nsome other words here", 1), (1, f"quite another line\n{one}\nlast", 2), (1, f"{one}\nsome other words here", 1), (2, f"x y z\nsome other words here\n{one.upper()} i", 3), (2, None, 4), (None, f"{one} j\n", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __lines int").repartition(3)
+    got = sorted(((r["doc_id"], r["text"], r["__lines"]) for r in line_dedup.remove_lines(df).collect()), key=str)
+    # the null id comes first, and its line is similar to all others of that kind
+    want = [(1, "some other words here", 1), (1, "quite another line\nlast", 2), (1, "some other words here", 1), (2, "x y z", 3), (2, None, 4), (None, f"{one} j\n", 5)]
+    assert got == sorted(want, key=str)
+
+
 def test_html(spark):
     page = '<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Menu</a></li></ul></nav><div class="ad">Buy now, cheap.</div><article><h1>Head &amp; more {0}</h1><p>First <b>bold</b> words,\n  of the text.<br>And more {0}.</p><p>Second paragraph, with enough words to count {0}.</p></article><footer>&copy; all of it</footer></body></html>'
     rows = [(i, "u", page.format(i), 1) for i in range(60)] + [(100, "u", None, 1), (101, "u", "", 1), (0, "u", page.format(0), 1)]
