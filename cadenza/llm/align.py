@@ -15,7 +15,7 @@ token, which sum them up, and gets back their counts.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import pickle
 import re
 import zlib
@@ -33,8 +33,9 @@ from .common import cut
 from .set_join import n_tasks, pa_type
 from .shingles import U, mix
 
-#: Bytes of a range of a long text; fragments composed at once; tokens and texts of a block; words a task remembers, and their characters.
-RANGE, FAN, BLOCK, MOST, KEEP, HELD = 1 << 15, 8, 1 << 20, 1 << 15, 400_000, 1 << 24
+#: Bytes of a range of a long text; fragments composed at once; tokens and texts of a block; words a task remembers, and their characters;
+#: words encoded together.
+RANGE, FAN, BLOCK, MOST, KEEP, HELD, TOGETHER = 1 << 15, 8, 1 << 20, 1 << 15, 300_000, 1 << 24, 1 << 12
 SPACE = "▁"
 #: A pair of token ids is one number: the first id above, the second in the lower bits.
 LOW = 16
@@ -59,16 +60,26 @@ class Fragment:
 
 
 class Aligner:
+    """first: the text of a tokenizers file, of a byte-level BPE whose merges stand in the order of ids, as its ids are then ranks and tiktoken
+    gives the same tokens many times as fast; second: a sentencepiece model."""
+
     def __init__(self, first: str, second: bytes):
+        import public_tokenizers
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.a, self.b = Tokenizer.from_str(first), SentencePieceProcessor(model_proto=second)
-        self.a.encode_special_tokens = True
-        to = byte_of()
-        names = ((self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size()))
-        self.bytes_a = [bytes(to[c] for c in t) if all(c in to for c in t) else t.encode() for t in names]
+
+        vocabulary, to = json.loads(first)["model"], byte_of()
+        special = {t["id"] for t in json.loads(first).get("added_tokens", [])}
+        read = {t: bytes(to[c] for c in t) for t, i in vocabulary["vocab"].items() if i not in special}
+        merged = [vocabulary["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in vocabulary["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("the first vocabulary's ids are not in the order of its merges")
+        ranks = {b: vocabulary["vocab"][t] for t, b in read.items()}
+        self.a = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_proto=second)
+        self.bytes_a = [b""] * (max(vocabulary["vocab"].values()) + 1)
+        for b, i in ranks.items():
+            self.bytes_a[i] = b
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece of the second vocabulary goes on over a word's start")
@@ -105,33 +116,43 @@ class Aligner:
                 end_b += len_b[b[j]]
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words and remembers their closed fragments, numbered on; all words' tokens are aligned at once."""
-        if not words:
+        """Encodes words and remembers their closed fragments, numbered on. Those that can follow each other are encoded as one text."""
+        alone = [w for w in words if not w or w[0].isspace() or w[-1] == " "]
+        plain = [w for w in words if w and not w[0].isspace() and w[-1] != " "] if alone else words
+        for part in [*(plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)), *([w] for w in alone)]:
+            self.encode(part)
+
+    def encode(self, words: list[str]) -> None:
+        """Words that follow each other as a text. Where bytes get lost, or a word's end isn't one of both tokenizers, halves are tried, so that
+        in the end such a word is by itself; it then has no groups."""
+        text = " ".join(words)
+        a, raw = self.a.encode_ordinary(" " + text), (" " + text).encode()
+        b = [*chain.from_iterable(self.b.encode([" ".join(words[i : i + 64]) for i in range(0, len(words), 64)], num_threads=1))]  # short texts go faster
+        lengths = [len(w) for w in words] if len(raw) == len(text) + 1 else [len(w.encode()) for w in words]
+        ends = np.cumsum(np.array(lengths) + 1)
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+        sizes, texts, links = np.zeros((len(words), 4), np.int64), [""] * len(words), np.zeros(0, np.int64)
+        if same:
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            end_a, end_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+            same = np.isin(ends, end_a).all() and np.isin(ends, end_b).all()
+        if same:
+            for i, x in enumerate((end_a, end_b)):
+                sizes[:, i] = np.bincount(np.searchsorted(ends, x), minlength=len(ends))
+            texts, sizes[:, 2], sizes[:, 3], links = self.aligned(a, b, end_a, end_b, ends)
+        elif len(words) > 1:
+            half = len(words) // 2
+            self.encode(words[:half])
+            self.encode(words[half:])
             return
-        raw = [(" " + w).encode() for w in words]
-        firsts, seconds = [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)], self.b.encode(words, num_threads=1)
-        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        good = [b"".join(map(bytes_a, a)) == r == b"".join(map(bytes_b, b)) for a, b, r in zip(firsts, seconds, raw, strict=True)]
-        sizes = np.zeros((len(words), 4), np.int64)
-        for i, ids in enumerate((firsts, seconds)):
-            sizes[:, i] = [*map(len, ids)]
-        kept = np.flatnonzero(good)
-        texts, links = [""] * len(words), np.zeros(0, np.int64)
-        if len(kept):
-            a, b = (np.fromiter(chain.from_iterable(ids[k] for k in kept.tolist()), np.int64, int(sizes[kept, i].sum())) for i, ids in enumerate((firsts, seconds)))
-            ends = np.cumsum([len(raw[k]) for k in kept.tolist()])
-            found, sizes[kept, 2], sizes[kept, 3], links = self.aligned(a, b, ends)
-            for k, t in zip(kept.tolist(), found, strict=True):
-                texts[k] = t
         self.known.update(zip(words, range(len(self.texts), len(self.texts) + len(words)), strict=True))
         self.texts += texts
         self.sizes.frombytes(sizes.tobytes())
         self.links.frombytes(links.astype(np.uint32).tobytes())
-        self.held += sum(map(len, words))
+        self.held += len(text)
 
-    def aligned(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def aligned(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of words one after another, which end at `ends`: (text of the groups, their number, number of links) of each, and the links."""
-        end_a, end_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
         every, common = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
         links = a[np.searchsorted(end_a, every)] << LOW | b[np.searchsorted(end_b, every)]
         of_a, of_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
@@ -462,7 +483,7 @@ def align(df: DataFrame, first: str, second: str, id_col: str = "doc_id", text_c
     """Per row: its id, n_a and n_b (tokens), n_groups, n_links (pairs of tokens whose bytes overlap), n_best (links whose pair
     meets as often as any of its second token, in all texts together), count_sum (of the links' counts) and groups_sha256.
 
-    first: path of a byte-level vocabulary for the tokenizers library; second: of a sentencepiece model. Both are read by the
+    first: path of a byte-level BPE for the tokenizers library, see Aligner; second: of a sentencepiece model. Both are read by the
     driver and broadcast (a few MB, whatever the table). The digest is of `a1,a2|b1;a3|b2,b3`, the ids of each group. Null and
     empty texts, and texts that the second vocabulary can't give back byte by byte, have no tokens: zeros, and an empty digest.
     Texts longer than range_bytes are cut into ranges of that many. Repeated rows count as often as they are there; other columns are left out; an empty table gives no rows. The driver gets
