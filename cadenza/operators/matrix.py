@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import min_max, one_hot
-from ..sources.domain import AUDIO
+from ..sources.domain import AUDIO, KEYS
 from . import features
 
 UNKNOWN = "_unknown_"
@@ -33,6 +33,23 @@ def cluster_vectors(rows: DataFrame, columns: list[str], category: str, vocabula
     return both.select("track_id", F.concat(scaled, one_hot(F.col(category), vocabulary)).alias("vector"))
 
 
+# The features that mixtures are fitted on, and the keys that are told apart.
+CLUSTER_FEATURES = [*AUDIO, "top", "left", "fave_score", "n_playlists", "year_normalized", "duration_ms_normalized"]
+KEY_MODES = [f"{k} {m}" for m in ("Minor", "Major") for k in KEYS]
+
+
+def mixture_vectors(rows: DataFrame, decades: list[str]) -> DataFrame:
+    """track_id and vector of 47: CLUSTER_FEATURES (missing ones as 0), key_mode and decade one-hot, each column scaled to 0..1 over all
+    rows (a constant one gives 0)."""
+    number = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in CLUSTER_FEATURES))
+    raw = rows.select("track_id", F.concat(number, one_hot(F.col("key_mode"), KEY_MODES), one_hot(F.col("decade"), decades)).alias("x"))
+    n = len(CLUSTER_FEATURES) + len(KEY_MODES) + len(decades)
+    ends = raw.agg(F.array(*(F.min(F.col("x")[i]) for i in range(n))).alias("lo"), F.array(*(F.max(F.col("x")[i]) for i in range(n))).alias("hi")).withColumn("one", F.lit(1))
+    both = raw.withColumn("one", F.lit(1)).join(F.broadcast(ends), "one")
+    scaled = F.transform("x", lambda v, i: min_max(v, F.get("lo", i), F.get("hi", i)))
+    return both.select("track_id", scaled.alias("vector"))
+
+
 def rerank_vectors(rows: DataFrame, needed: list[str], optional: list[str]) -> DataFrame:
     """track_id and vector of needed and optional columns. A needed column that is absent is an error, an optional one counts as 0."""
     absent = [c for c in needed if c not in rows.columns]

@@ -41,6 +41,15 @@ def medians(df: DataFrame, by: list[str], columns: list[str] = AUDIO) -> DataFra
     return quantiles.medians(df, columns, by)
 
 
+def genre_lists(rows: DataFrame, by: str, value: str, n: int = 5) -> DataFrame:
+    """(by, top_genres, other_genres): the n commonest values of each group and the others, as JSON arrays, commonest first, ties by
+    value. A group's different values are listed, not its rows."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__n"))
+    ranked = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("__n")).alias("m"), F.col(value).alias("v")))), lambda x: x["v"])
+    listed = counts.groupBy(by).agg(ranked.alias("__all"))
+    return listed.select(by, F.to_json(F.slice("__all", 1, n)).alias("top_genres"), F.to_json(F.slice("__all", n + 1, 1_000_000)).alias("other_genres"))
+
+
 def group_profile(members: DataFrame, genre: DataFrame, by: str) -> DataFrame:
     """Mean coordinates, size, modal labels and top-5 genres of each artist or playlist."""
     rows = members.join(genre, "track_id")
@@ -73,11 +82,27 @@ def outlier_bounds(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFra
     return long.join(F.broadcast(q), "feature").groupBy("feature").agg(F.round(F.first("q1"), 6).alias("q1"), F.round(F.first("q3"), 6).alias("q3"), F.count_if(out).alias("outliers"), F.round(F.count_if(out) * 100 / F.count("*"), 4).alias("pct"))
 
 
-def jaccard_matrix(sets: DataFrame, by: str, item: str) -> DataFrame:
+#: Holders of an item that meet each other in one place.
+HOLDERS = 1000
+
+
+def shared_items(sets: DataFrame, by: str, item: str, holders: int = HOLDERS) -> DataFrame:
+    """(a, b, shared): how many items every two groups have in common, a before b. sets: different (by, item). The holders of an item
+    are dealt to blocks of about `holders`, and every two blocks meet in a place of their own, so that an item that all groups have is
+    no task of its own. Only pairs of groups that share something come out."""
+    pairs = sets.select(F.col(by).alias("a"), F.col(item).alias("item"))
+    blocks = pairs.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").select("item", F.ceil(F.col("n") / holders).cast("int").alias("n"))
+    dealt = pairs.join(blocks, "item").select("item", "a", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("i"), F.sequence(F.lit(0), F.col("n") - 1).alias("all"))
+    x = dealt.select("item", "a", "i", F.explode("all").alias("j"))
+    y = dealt.select("item", F.col("a").alias("b"), F.col("i").alias("j"), F.explode("all").alias("i"))
+    return x.join(y, ["item", "i", "j"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def jaccard_matrix(sets: DataFrame, by: str, item: str, holders: int = HOLDERS) -> DataFrame:
     """Jaccard similarity of every two groups that share an item, themselves included. Sets are made distinct first."""
     pairs = sets.select(by, item).filter(F.col(item).isNotNull()).distinct()
     sizes = pairs.groupBy(by).agg(F.count("*").alias("n"))
-    a, b = pairs.toDF("a", "item"), pairs.toDF("b", "item")
-    both = a.join(b, "item").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    one = shared_items(pairs, by, item, holders)
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")).unionByName(sizes.select(F.col(by).alias("a"), F.col(by).alias("b"), F.col("n").alias("shared")))
     out = both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
     return out.select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))

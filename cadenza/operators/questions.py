@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .convlog import intent
+
 # Entity words by kind, synonyms by term, words that make a question complex, signs that a message refers to an earlier one.
 ENTITIES = {
     "mood": ["happy", "sad", "energetic", "chill", "melancholic", "upbeat", "dark", "romantic", "mellow", "intense", "dreamy"],
@@ -64,8 +66,23 @@ def complexity(text: Column) -> Column:
     return F.when(points >= 4, "complex").when(points >= 2, "moderate").otherwise("simple")
 
 
-def retrieval_mode(intent: Column, level: Column) -> Column:
-    return F.when(intent.isin(DIRECT_INTENTS), "dense").when(intent.isin(SNIPPET_INTENTS) & (level == "simple"), "snippet").when((intent == "recommendation") | (level == "moderate"), "hybrid").otherwise("dense")
+def retrieval_mode(name: Column, level: Column) -> Column:
+    return F.when(name.isin(DIRECT_INTENTS), "dense").when(name.isin(SNIPPET_INTENTS) & (level == "simple"), "snippet").when((name == "recommendation") | (level == "moderate"), "hybrid").otherwise("dense")
+
+
+def analysis(rows: DataFrame, text: str = "text", expand: bool = True, find: bool = True, split: bool = True) -> DataFrame:
+    """rows with all that a message tells: intent, confidence, expanded, entities (a map of lists), variants (its parts, 3 at most), level
+    and mode. Without `expand` the text stays as it is, without `find` there are no entities, without `split` it is its own only part; the
+    level follows what was found."""
+    said = F.col(text)
+    name, sure = intent(said)
+    none = F.array().cast("array<string>")
+    held = F.create_map(*(x for k, e in entities(said).items() for x in (F.lit(k), e if find else none)))
+    rows = rows.withColumns({"intent": name, "confidence": sure, "expanded": expanded(said) if expand else said, "entities": held, "variants": parts(said) if split else F.array(said)})
+    size, kinds = F.char_length(said), sum((F.when(F.size(F.col("entities")[k]) > 0, 1).otherwise(0) for k in ENTITIES), F.lit(0))
+    points = F.when(size > 200, 2).when(size > 100, 1).otherwise(0) + F.when(F.size("variants") > 1, 2).otherwise(0) + F.when(kinds > 2, 1).otherwise(0) + F.when(has_any(said, COMPLEX), 2).otherwise(0)
+    rows = rows.withColumn("level", F.when(points >= 4, "complex").when(points >= 2, "moderate").otherwise("simple"))
+    return rows.withColumn("mode", retrieval_mode(F.col("intent"), F.col("level")))
 
 
 def numbered_lines(text: Column, most: int = 20) -> Column:

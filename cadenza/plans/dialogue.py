@@ -52,10 +52,12 @@ def _(lib):
     return lib.turns.select("conv_id", "turn", Q.retrieval_mode(convlog.intent(F.col("text"))[0], Q.complexity(F.col("text"))).alias("mode"))
 
 
-@query("m15_last_reply", "select conv_id, arg_max(substr(text, 1, 500), turn) filter (where role = 'assistant') as reply, arg_min(text, turn) filter (where role = 'user') as request from turns group by 1")
+@query("m15_last_reply", "select conv_id, arg_max(substr(text, 1, 500), turn) filter (where role = 'assistant' and regexp_matches(text, '[1-5]\\.')) as reply, arg_min(text, turn) filter (where role = 'user') as request from turns group by 1")
 def _(lib):
-    by = lambda f, role, c: f(c, F.when(F.col("role") == role, F.col("turn")))
-    return lib.turns.groupBy("conv_id").agg(by(F.max_by, "assistant", F.substring("text", 1, 500)).alias("reply"), by(F.min_by, "user", F.col("text")).alias("request"))
+    """The last reply that lists something, and what was asked first."""
+    by = lambda f, mine, c: f(c, F.when(mine, F.col("turn")))
+    listed = (F.col("role") == "assistant") & F.col("text").rlike(r"[1-5]\.")
+    return lib.turns.groupBy("conv_id").agg(by(F.max_by, listed, F.substring("text", 1, 500)).alias("reply"), by(F.min_by, F.col("role") == "user", F.col("text")).alias("request"))
 
 
 @query("m16_memory_stats", "select role as namespace, least(count(*), 100) as n, count(distinct conv_id) as conversations from turns group by 1")
@@ -63,10 +65,14 @@ def _(lib):
     return lib.turns.groupBy(F.col("role").alias("namespace")).agg(F.least(F.count("*"), F.lit(100)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
 
 
-@query("m17_analysis", f"select conv_id, turn, intent, level, {_MODE} as mode, len(parts) as n_parts from graded join labelled using (conv_id, turn)", f"{_ASKED}, {_INTENT}")
+_ENTITIES = ", ".join(f"array_to_string({_IN(w)}, ',') as {k}" for k, w in Q.ENTITIES.items())
+
+
+@query("m17_analysis", f"select conv_id, turn, intent, round(cast(confidence as double), 6) as confidence, level, {_MODE} as mode, len(parts) as n_parts, array_to_string(parts, '|') as variants, {_ENTITIES}, case when len(more) > 0 then text || ' ' || array_to_string(list_sort(list_distinct(more)), ' ') else text end as expanded from (select *, {_MORE} as more from graded) join labelled using (conv_id, turn)", f"{_ASKED}, {_INTENT}")
 def _(lib):
-    intent, level = convlog.intent(F.col("text"))[0], Q.complexity(F.col("text"))
-    return lib.turns.select("conv_id", "turn", intent.alias("intent"), level.alias("level"), Q.retrieval_mode(intent, level).alias("mode"), F.size(Q.parts(F.col("text"))).cast("long").alias("n_parts"))
+    analysed = Q.analysis(lib.turns)
+    lists = [F.array_join(F.col("entities")[k], ",").alias(k) for k in Q.ENTITIES]
+    return analysed.select("conv_id", "turn", "intent", F.round("confidence", 6).alias("confidence"), "level", "mode", F.size("variants").cast("long").alias("n_parts"), F.array_join("variants", "|").alias("variants"), *lists, "expanded")
 
 
 # membership plans: the stored counts leave out tracks with ids divisible by 10 of playlists that start with 1

@@ -110,8 +110,7 @@ def _(lib):
 
 @query("c11_shared_tracks", "select a.playlist_id as a, b.playlist_id as b, count(*) as shared from members a join members b using (track_id) where a.playlist_id < b.playlist_id group by 1, 2")
 def _(lib):
-    a, b = lib.members.select(F.col("playlist_id").alias("a"), "track_id"), lib.members.select(F.col("playlist_id").alias("b"), "track_id")
-    return a.join(b, "track_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return profile.shared_items(lib.members, "playlist_id", "track_id")
 
 
 # aggregates and orders
@@ -204,37 +203,6 @@ _SQL["f08_feature_matrix"] = (
     f"left join ({_SQL['f05_playlist_profile']}) f05 using (track_id) join ({_SQL['f07_with_vectors']}) f07 using (track_id) join part p on p.p_partkey = f01.track_id"
 )
 
-_SCALED = ", ".join(f"case when max(coalesce(\"{c}\", 0)) over () > min(coalesce(\"{c}\", 0)) over () then (coalesce(\"{c}\", 0) - min(coalesce(\"{c}\", 0)) over ()) / (max(coalesce(\"{c}\", 0)) over () - min(coalesce(\"{c}\", 0)) over ()) else 0 end" for c in SIMILARITY)
-_HOT = ", ".join(f"case when gen_4 = 'g4_{i}' then 1.0 else 0.0 end" for i in range(4))
-
-
-@query("f09_cluster_vectors", f"select track_id, array_to_string(list_transform([{_SCALED}, {_HOT}], lambda x: printf('%.4f', round(x, 4))), ' ') as vector from imputed join track_genre g4 using (track_id)".replace("gen_4", "g4.gen_4").replace('"top"', 'imputed."top"').replace('"left"', 'imputed."left"'), f"{_PROFILE_SQL}, {_IMPUTED}")
-def _(lib):
-    rows = _corpus(lib).select("track_id", "gen_4", *SIMILARITY)
-    made = matrix.cluster_vectors(rows, SIMILARITY, "gen_4", [f"g4_{i}" for i in range(4)])
-    return made.select("track_id", F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", F.round(x, 4))), " ").alias("vector"))
-
-
-_SIGNAL_COLUMNS = ["danceability", "energy", "acousticness", "valence"]
-_SIGNALS = (
-    "held as (select m.playlist_id, m.track_id, " + ", ".join(f"coalesce({c}, 0.0) as {c}" for c in _SIGNAL_COLUMNS) + " from members m join audio_features using (track_id)), "
-    "mid as (select playlist_id, " + ", ".join(f"avg({c}) as {c}" for c in _SIGNAL_COLUMNS) + " from held group by 1), "
-    "sig as (select playlist_id, h.track_id, greatest(0.0, least(1.0, (" + " + ".join(f"h.{c} * m.{c}" for c in _SIGNAL_COLUMNS) + ") / nullif(sqrt(" + " + ".join(f"h.{c} ** 2" for c in _SIGNAL_COLUMNS) + ") * sqrt(" + " + ".join(f"m.{c} ** 2" for c in _SIGNAL_COLUMNS) + "), 0))) as s from held h join mid m using (playlist_id))"
-)
-
-
-@query("f12_retrieval_signals", "select playlist_id, track_id, round(coalesce(s, 0), 6) as similarity from sig", _SIGNALS)
-def _(lib):
-    return matrix.retrieval_signals(lib.audio_features, lib.members, _SIGNAL_COLUMNS).select("playlist_id", "track_id", F.round("similarity", 6).alias("similarity"))
-
-
-@query("f10_rerank_vectors", "select playlist_id, track_id, array_to_string([printf('%.4f', round(coalesce(s, 0), 4)), printf('%.4f', round(coalesce(popularity, 0), 4)), '0.0000'], ' ') as vector from sig join tracks using (track_id)", _SIGNALS)
-def _(lib):
-    rows = matrix.retrieval_signals(lib.audio_features, lib.members, _SIGNAL_COLUMNS).join(lib.tracks.select("track_id", "popularity"), "track_id")
-    made = matrix.rerank_vectors(rows, ["similarity"], ["popularity", "cluster_prob"])
-    return made.select("playlist_id", "track_id", F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", F.round(x, 4))), " ").alias("vector"))
-
-
 @query("f11_categories", "select track_id, coalesce(gen_4, '_unknown_') as gen_4, coalesce(nullif(first_genre, ''), '_unknown_') as first_genre from track_genre")
 def _(lib):
     return matrix.categories(_genre(lib), ["gen_4", "first_genre"]).select("track_id", "gen_4", "first_genre")
@@ -309,16 +277,6 @@ def _group_rows(lib):
     return learners.group_labels(lib.members, vectors).join(vectors, "track_id")
 
 
-@query("j01_playlist_classifiers")
-def _(lib):
-    """Boosted trees for each playlist; how well each ranks its own rows."""
-    from ..operators import scoring
-
-    rows = _group_rows(lib)
-    scored = learners.score_groups(rows, learners.fit_groups(rows))
-    return scoring.metrics(scored.withColumnRenamed("track_id", "item"), ["playlist_id"])
-
-
 @query("i07_reranked")
 def _(lib):
     """The 20 tracks most similar to each playlist, placed by the playlist's classifier."""

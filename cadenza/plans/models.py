@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, learners, recommend, scoring
+from ..operators import clusters, learners, recommend
 from ..sources.domain import AUDIO
 from .registry import _IMPUTED, _PROFILE_SQL, SIMILARITY, _corpus, _genre, query
 
@@ -40,9 +40,11 @@ def _(lib):
     return clusters.same_cluster(corpus, asked, 0.1).groupBy("request_id").agg(F.count("*").alias("n"))
 
 
-@query("h12_variance_ratio", "select round(w, 4) as within, round(b, 4) as between, round((b / (k - 1)) / (w / (n - k)), 4) as ratio from (select sum((c.x - m.x) ** 2) as w, count(distinct vec_id) as n from cells c join centres m using (label, i)), (select sum(s.n * (m.x - t.x) ** 2) as b, count(distinct label) as k from centres m join (select label, count(*) as n from embeddings group by 1) s using (label) join (select i, avg(x) as x from cells group by 1) t using (i))", _CENTRES)
+@query("h12_variance_ratio", "select round(w, 4) as within, round(b, 4) as between, round((b / (k - 1)) / (w / (n - k)), 4) as ratio, (select round(avg(r), 6) from (select a.label, max((a.s + b.s) / d) as r from spread a join spread b on a.label <> b.label join (select p.label as x, q.label as y, sqrt(sum((p.x - q.x) ** 2)) as d from centres p join centres q using (i) group by 1, 2) on x = a.label and y = b.label group by 1)) as davies_bouldin from (select sum((c.x - m.x) ** 2) as w, count(distinct vec_id) as n from cells c join centres m using (label, i)), (select sum(s.n * (m.x - t.x) ** 2) as b, count(distinct label) as k from centres m join (select label, count(*) as n from embeddings group by 1) s using (label) join (select i, avg(x) as x from cells group by 1) t using (i))", _CENTRES + ", spread as (select label, avg(d) as s from (select vec_id, label, sqrt(sum((c.x - m.x) ** 2)) as d from cells c join centres m using (label, i) group by 1, 2) group by 1)")
 def _(lib):
-    return clusters.variance_ratio(_vectors(lib), "embedding", "label")
+    v = _vectors(lib)
+    one = clusters.variance_ratio(v, "embedding", "label").withColumn("one", F.lit(1))
+    return one.join(F.broadcast(clusters.davies_bouldin(v, "embedding", "label").withColumn("one", F.lit(1))), "one").drop("one")
 
 
 @query("h16_contingency", "select label, cluster_id, count(*) as n from best join embeddings using (vec_id) group by 1, 2", _PROBS)
@@ -79,7 +81,8 @@ def _(lib):
 
 @query("h07_cluster_sweep")
 def _(lib):
-    return clusters.sweep(lib.spark, _features(lib).select("features"), [4, 6, 8])
+    rows = _features(lib).select("features")
+    return clusters.sweep(lib.spark, rows, [*range(2, 13)], kinds=("kmeans",)).unionByName(clusters.sweep(lib.spark, rows, [4, 6, 8], kinds=("bisecting",)))
 
 
 @query("h13_explained_variance")
@@ -135,21 +138,3 @@ def _(lib):
     kind = F.create_map(*(F.lit(x) for pair in (("click", "track"), ("view", "artist"), ("purchase", "genre")) for x in pair))
     rows = lib.plays.select("event_id", F.try_element_at(kind, F.col("event_type")).alias("request_type"), F.col("item").alias("k"), F.col("user_id").alias("seed_id"))
     return recommend.validated(rows).select("event_id", "problem")
-
-
-# classifiers: does a track belong to the first large genre group?
-
-def _labelled(lib):
-    rows = _features(lib).join(_genre(lib).select("track_id", "gen_4"), "track_id")
-    rows = rows.select(F.col("track_id").alias("item"), F.coalesce((F.col("gen_4") == "g4_1").cast("int"), F.lit(0)).alias("label"), "features")
-    return scoring.stratified_split(rows, "label", "item")
-
-
-@query("j07_learners")
-def _(lib):
-    return scoring.metrics(learners.fit_and_score(_labelled(lib)), ["model"])
-
-
-@query("j13_importances")
-def _(lib):
-    return learners.importances(_labelled(lib).filter("is_train"), ["tree", "forest", "boosted"], SIMILARITY)

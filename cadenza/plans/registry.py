@@ -394,9 +394,9 @@ def _(lib):
     return lib.turns.select("conv_id", "turn", convlog.route(*convlog.intent(F.col("text"))).alias("route"))
 
 
-@query("m08_trim_history", "select conv_id, turn, role from (select *, min(case when role = 'user' then turn end) over (partition by conv_id) as first from (select *, row_number() over (partition by conv_id order by turn desc) as k from turns) where k <= 4) where turn >= first")
+@query("m08_trim_history", "select conv_id, turn, role from (select *, min(case when role = 'user' then turn end) over (partition by conv_id) as first from (select *, row_number() over (partition by conv_id order by turn desc) as k from turns) where k <= 20) where turn >= first")
 def _(lib):
-    return convlog.trim_history(lib.turns, 4).select("conv_id", "turn", "role")
+    return convlog.trim_history(lib.turns).select("conv_id", "turn", "role")
 
 
 @query("m11_stalls", "select conv_id, any_value(role) as role, min(turn) as start, count(*) as length from (select *, sum(fresh) over (partition by conv_id order by turn) as run from (select *, case when role is distinct from lag(role) over (partition by conv_id order by turn) then 1 else 0 end as fresh from turns)) group by conv_id, run having count(*) >= 2")

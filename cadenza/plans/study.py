@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import calibration, clusters, concordance, graph, isolation, learners, matrix, rerank, retrieval, scoring, selection
+from ..operators import calibration, clusters, concordance, engine, graph, isolation, learners, matrix, recommend, rerank, retrieval, scoring, selection
 from ..operators.storage import cut
 from ..sources.domain import AUDIO
 from .extras import _units
-from .models import _features
-from .registry import AS_OF_YEAR, _corpus, _genre, _profile, query
+from .models import _PROBS, _features, _probs
+from .registry import _IMPUTED, _KEY_SQL, _PROFILE_SQL, _RING_SQL, _SQL, AS_OF_YEAR, SIMILARITY, _corpus, _genre, _profile, _scored, query
 from .reports import _RANKS, _artist_xy, _rated
 
 GENRES = [f"g4_{i}" for i in range(4)]
 
 
-def _matrix(lib):
-    """The feature matrix with keys, decades and the mixture's cluster probability, made once for all uses in a query."""
-    if "_matrix" not in lib.__dict__:
+def _rows(lib):
+    """The feature matrix with keys and decades, made once for all uses in a query."""
+    if "_rows" not in lib.__dict__:
         labels = lib.table("orders").select(F.col("o_orderkey").alias("playlist_id"), F.col("o_orderstatus").alias("label"))
         first = lib.track_artists.groupBy("track_id").agg(F.min("artist_id").alias("artist_id"))
         places = _genre(lib).join(first, "track_id", "left").join(_artist_xy(lib).toDF("artist_id", "at", "al"), "artist_id", "left")
@@ -28,9 +29,16 @@ def _matrix(lib):
         rows = _profile(lib).withColumn("year", S.year_of(F.col("release_date")))
         made = matrix.feature_matrix(rows, lib.track_artists, lib.playlist_tracks, labels, lib.members, lib.audio_features, places, vectors, AS_OF_YEAR, 64)
         made = made.withColumn("key_mode", S.key_mode(F.col("key"), F.col("mode"))).withColumn("decade", S.decade_of(F.col("year")))
-        made = cut(made.select("track_id", "track_name", "key_mode", "decade", "gen_4", "playlist_diversity", "duration_ms_normalized", *rerank.SIMILARITY))
-        soft = clusters.soft_clusters(clusters.scaled_vectors(made.select("track_id", *rerank.SIMILARITY), rerank.SIMILARITY), starts=1)
-        lib.__dict__["_matrix"] = cut(made.join(soft.select("track_id", "cluster_id", "cluster_prob", "probs"), "track_id"))
+        lib.__dict__["_rows"] = cut(made.select("track_id", "track_name", "key_mode", "decade", "gen_4", "playlist_diversity", "duration_ms_normalized", *rerank.SIMILARITY))
+    return lib.__dict__["_rows"]
+
+
+def _matrix(lib):
+    """The same with cluster_id, cluster_prob and probs by a mixture that is fitted on it."""
+    if "_matrix" not in lib.__dict__:
+        vectors = matrix.mixture_vectors(_rows(lib), rerank.DECADES).select("track_id", array_to_vector("vector").alias("features"))
+        soft = clusters.soft_clusters(vectors, starts=1).select("track_id", "cluster_id", "cluster_prob", "probs")
+        lib.__dict__["_matrix"] = cut(_rows(lib).join(soft, "track_id"))
     return lib.__dict__["_matrix"]
 
 
@@ -56,6 +64,151 @@ def _held_out(lib):
     return _classified(lib).filter("not is_train").drop("is_train")
 
 
+# the feature matrix whole: vectors of the mixture and of the classifiers
+
+_MATRIX = (
+    f"{_PROFILE_SQL}, {_IMPUTED}, mx as (select i.track_id, " + ", ".join(f"i.{c}" for c in AUDIO) + ", i.popularity, coalesce(f4.top, 0.0) as top, coalesce(f4.\"left\", 0.0) as \"left\", i.fave_score, f2.n_playlists, f2.playlist_diversity, f3.year_normalized, f3.duration_ms_normalized, "
+    f"{_KEY_SQL} as key_mode, (try_cast(substr(p.release_date, 1, 4) as integer) // 10 * 10) || 's' as decade, p.gen_4 "
+    f"from imputed i join profile p using (track_id) join ({_SQL['f02_collaborative']}) f2 using (track_id) join ({_SQL['f03_temporal']}) f3 using (track_id) left join ({_SQL['f04_artist_coordinates']}) f4 using (track_id))"
+)
+_MIXED = [*(f'coalesce("{c}", 0.0)' for c in matrix.CLUSTER_FEATURES), *(f"case when key_mode = '{k}' then 1.0 else 0.0 end" for k in matrix.KEY_MODES), *(f"case when decade = '{d}' then 1.0 else 0.0 end" for d in rerank.DECADES)]
+_PRINTED = lambda items: "array_to_string(list_transform([" + ", ".join(items) + "], lambda x: printf('%.3f', round(x, 3))), ' ')"
+
+
+def _printed(column):
+    return F.array_join(F.transform(column, lambda x: F.format_string("%.3f", F.round(x, 3))), " ").alias("vector")
+
+
+@query("f09_cluster_vectors", "select track_id, " + _PRINTED([f"case when max(e{i}) over () > min(e{i}) over () then (e{i} - min(e{i}) over ()) / (max(e{i}) over () - min(e{i}) over ()) else 0 end" for i in range(len(_MIXED))]) + " as vector from ex",
+       _MATRIX + ", ex as (select track_id, " + ", ".join(f"{e} as e{i}" for i, e in enumerate(_MIXED)) + " from mx)")
+def _(lib):
+    return matrix.mixture_vectors(_rows(lib), rerank.DECADES).select("track_id", _printed("vector"))
+
+
+_SIGNALS = (
+    f"{_MATRIX}, {_PROBS}, rw as (select mx.*, coalesce(best.cluster_prob, 0.0) as cluster_prob from mx left join best on vec_id = track_id), "
+    "held as (select m.playlist_id, rw.* from members m join rw using (track_id)), "
+    "mid as (select playlist_id, " + ", ".join(f'avg(coalesce("{c}", 0.0)) as "m_{c}"' for c in rerank.SIMILARITY) + " from held group by 1), "
+    "modal as (select playlist_id, key_mode as modal_key from (select playlist_id, key_mode, row_number() over (partition by playlist_id order by count(*) desc, key_mode) as k from held where key_mode <> '' group by 1, 2) where k = 1), "
+    f"ring as (select h.*, mid.* exclude (playlist_id), {_RING_SQL % 'key_mode'} as ra, {_RING_SQL % 'modal_key'} as rb from held h join mid using (playlist_id) left join modal using (playlist_id)), "
+    "sig as (select *, greatest(0.0, least(1.0, coalesce((" + " + ".join(f'coalesce("{c}", 0.0) * "m_{c}"' for c in rerank.SIMILARITY) + ") / nullif(sqrt(" + " + ".join(f'coalesce("{c}", 0.0) ** 2' for c in rerank.SIMILARITY) + ") * sqrt(" + " + ".join(f'"m_{c}" ** 2' for c in rerank.SIMILARITY)
+    + "), 0), 0))) as similarity_score, coalesce(least(abs(ra - rb), 24 - abs(ra - rb), 6), 6) as key_distance, abs(coalesce(tempo, 0.0) - m_tempo) as tempo_deviation from ring)"
+)
+
+
+def _signals(lib):
+    """Members as their playlists' classifiers see them; cluster probabilities as they are given for the vectors."""
+    given = _probs(lib).select(F.col("vec_id").alias("track_id"), "cluster_prob")
+    rows = cut(_rows(lib).join(given, "track_id", "left"))
+    return rerank.with_signals(lib.members, rows, rerank.playlist_profiles(lib.members, rows))
+
+
+@query("f12_retrieval_signals", "select playlist_id, track_id, round(similarity_score, 5) as similarity_score, round(cluster_prob, 6) as cluster_prob, cast(key_distance as double) as key_distance, round(tempo_deviation, 4) as tempo_deviation from sig", _SIGNALS)
+def _(lib):
+    return _signals(lib).select("playlist_id", "track_id", F.round("similarity_score", 5).alias("similarity_score"), F.round("cluster_prob", 6).alias("cluster_prob"), "key_distance", F.round("tempo_deviation", 4).alias("tempo_deviation"))
+
+
+_SEEN = [*(f'coalesce("{c}", 0.0)' for c in rerank.SIMILARITY), "similarity_score", "cluster_prob", "key_distance", "tempo_deviation", "0.0", "playlist_diversity", *(f"case when decade = '{d}' then 1.0 else 0.0 end" for d in rerank.DECADES), *(f"case when gen_4 = '{g}' then 1.0 else 0.0 end" for g in GENRES)]
+
+
+@query("f10_rerank_vectors", "select playlist_id, track_id, array_to_string(list_transform([" + ", ".join(_SEEN[:9]) + "], lambda x: printf('%.7f', x)), ' ') as audio, " + _PRINTED(_SEEN[9:]) + " as vector from sig", _SIGNALS)
+def _(lib):
+    made = rerank.vectors(_signals(lib), GENRES)
+    audio = F.array_join(F.transform(F.slice("features", 1, 9), lambda x: F.format_string("%.7f", x)), " ").alias("audio")
+    return made.select("playlist_id", "track_id", audio, _printed(F.slice("features", 10, 24)))
+
+
+# classifiers of playlists
+
+@query("j01_playlist_classifiers")
+def _(lib):
+    """Boosted trees for each playlist, fitted on 70 of 100 labelled tracks; how well each ranks the others."""
+    scored = learners.score_groups(_held_out(lib), learners.fit_groups(_train(lib)))
+    return scoring.metrics(scored.withColumnRenamed("track_id", "item"), ["playlist_id"])
+
+
+def _learners_measured(lib):
+    if "_measured" not in lib.__dict__:
+        scored = selection.score_learners(_held_out(lib), cut(selection.fit_learners(_train(lib))))
+        lib.__dict__["_measured"] = cut(scoring.metrics(scored.withColumnRenamed("track_id", "item").withColumnRenamed("learner", "model"), ["playlist_id", "model"]))
+    return lib.__dict__["_measured"]
+
+
+@query("j07_learners")
+def _(lib):
+    """Five learners for each playlist, on held-out tracks."""
+    return _learners_measured(lib)
+
+
+@query("j09_learner_duel")
+def _(lib):
+    """Boosted trees against a forest over the playlists that both serve, metric by metric."""
+    return scoring.compare(_learners_measured(lib), "playlist_id", "model", "boosted", "forest", ["accuracy", "f1", "roc_auc", "brier", "log_loss"])
+
+
+@query("j10_learner_metrics")
+def _(lib):
+    """How the metrics of each learner go together over its playlists."""
+    pair = lambda a, b: F.round(F.corr(a, b), 4).alias(f"{a}_{b}")
+    m = _learners_measured(lib)
+    return m.groupBy("model").agg(F.count("*").alias("playlists"), pair("roc_auc", "f1"), pair("roc_auc", "brier"), pair("f1", "brier"), pair("brier", "log_loss")).filter("playlists >= 3")
+
+
+@query("j13_importances")
+def _(lib):
+    """The 15 features that weigh most in each tree learner, the mean over playlists."""
+    found = selection.importances(selection.fit_learners(_train(lib), ["tree", "forest", "boosted"]), rerank.names(GENRES))
+    place = F.row_number().over(Window.partitionBy("learner").orderBy(F.desc("weight"), "feature"))
+    return found.withColumn("place", place).filter("place <= 15").select("learner", "place", "feature", "groups", F.round("weight", 6).alias("weight"))
+
+
+# the mixture at work, and the engine
+
+@query("h02_mixture")
+def _(lib):
+    """Memberships of all tracks in the fitted mixture."""
+    total = F.aggregate("probs", F.lit(0.0), lambda s, x: s + x)
+    return _matrix(lib).select("track_id", "cluster_id", F.round("cluster_prob", 6).alias("cluster_prob"), F.round(total, 6).alias("total"))
+
+
+@query("h05_mixture_profile")
+def _(lib):
+    return clusters.cluster_profile(_matrix(lib))
+
+
+@query("h16_mixture_contingency")
+def _(lib):
+    return _matrix(lib).groupBy("gen_4", "cluster_id").agg(F.count("*").alias("n"))
+
+
+@query("i09_engine")
+def _(lib):
+    """Requests of all four kinds, some for a playlist's classifier, some that can't be served, through the whole engine."""
+    rows, t = _matrix(lib), F.col("track_id")
+    text = lambda c: F.col(c).cast("string").alias("seed_id")
+    target = lib.members.agg(F.min("playlist_id").alias("target")).withColumn("one", F.lit(1))
+    asked = lib.tracks.filter("track_id % 100 = 0").select(F.concat(F.lit("t"), t.cast("string")).alias("request_id"), F.lit("track").alias("request_type"), text("track_id"), F.when(t % 500 == 0, 0).otherwise(5).alias("k"), (t % 200 == 0).alias("aimed"))
+    artists = lib.artists.filter("artist_id % 100 = 0").select(F.concat(F.lit("a"), F.col("artist_id").cast("string")).alias("request_id"), F.lit("artist").alias("request_type"), text("artist_id"), F.lit(5).alias("k"), F.lit(False).alias("aimed"))
+    lists = lib.members.select("playlist_id").distinct().select(F.concat(F.lit("p"), "playlist_id").alias("request_id"), F.lit("playlist").alias("request_type"), F.col("playlist_id").alias("seed_id"), F.lit(10).alias("k"), F.lit(True).alias("aimed"))
+    named = lib.table("part").select("p_brand").distinct().select(F.concat(F.lit("g"), "p_brand").alias("request_id"), F.lit("genre").alias("request_type"), F.col("p_brand").alias("seed_id"), F.lit(5).alias("k"), F.lit(False).alias("aimed"))
+    every = asked.unionByName(artists).unionByName(lists).unionByName(named).withColumn("one", F.lit(1)).join(F.broadcast(target), "one")
+    every = every.select("request_id", "request_type", "seed_id", "k", F.when(F.col("aimed"), F.when(F.col("request_type") == "playlist", F.col("seed_id")).otherwise(F.col("target"))).alias("target"))
+    models = cut(learners.fit_groups(_train(lib), rounds=60).select("playlist_id", "model"))
+    found = engine.answered(every, rows, lib.track_artists, lib.members, lib.genre_xy, GENRES, models)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("i06_marginal_relevance")
+def _(lib):
+    """Of the 100 tracks most similar to each seed, the 10 that are similar to it and least like each other."""
+    corpus = _corpus(lib)
+    pool = cut(_scored(lib, 100).select("request_id", "track_id", "score"))
+    picked = recommend.marginal_relevance(pool.join(corpus.select("track_id", *SIMILARITY), "track_id"), SIMILARITY, 10)
+    return picked.join(pool, ["request_id", "track_id"]).select("request_id", "pick", "track_id", F.round("score", 6).alias("score"))
+
+
+# anomalies, rankings, selection
+
 @query("h15_anomalies")
 def _(lib):
     """Tracks that a few random cuts set apart, 5 in 100 of all."""
