@@ -6,8 +6,8 @@ that fall on each bit; the bits in which two sketches differ tell how many sampl
 
 1. every set meets one hub of each of its buckets, the sketches choose the nearest, and that pair is checked on the full sets;
 2. in buckets that the links so far leave in several components, members meet in chunks, sketch by sketch inside a task; what
-   is one component already is left out. Each member's nearest in another component is checked on the full sets;
-3. what is still apart, though its sketches are near enough for a link, is compared on the full sets, in chunks.
+   is one component already is left out;
+3. what is apart there, though its sketches are near enough for a link, is compared on the full sets, in chunks.
 
 A link is missed if its sets share no band (1 in 10^8 at the threshold, less above) or if their sketches are farther apart than the
 limit, which lies about six standard deviations out.
@@ -143,10 +143,10 @@ class NearCopies:
         best = near.groupBy("sid").agg(F.min(F.struct("d", F.xxhash64("hub").alias("h"), "hub")).alias("best"))
         return best.select(F.col("best.hub").alias("a"), F.col("sid").alias("b"))
 
-    def meetings(self, buckets: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    def meetings(self, buckets: DataFrame, joined: DataFrame, classes: DataFrame) -> DataFrame:
         """(i, j, side, bucket, sid, comp, n, odd, keys): the chunks of buckets that hold several components, two and two; side 0
         is chunk i. Chunks of the component that most of a bucket belongs to don't meet each other."""
-        placed = buckets.select(F.col("key").alias("bucket"), "sid").join(components(links).toDF("sid", "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        placed = buckets.select(F.col("key").alias("bucket"), "sid").join(joined, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         placed = placed.join(classes.select("sid", "n"), "sid")
         parts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
         several = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
@@ -201,21 +201,6 @@ class NearCopies:
 
         return meetings.mapInArrow(run, schema)
 
-    def nearest_apart(self, meetings: DataFrame) -> DataFrame:
-        """(a, b): each set with the one of another component whose sketch is nearest, if it is near enough."""
-
-        def found(i, j, x, y, near, d):
-            d = np.where(near, d, np.uint16(65_535))
-            out = []
-            for rows, others, m in ((x, y, d), (y, x, d.T))[: 1 + (i != j)]:
-                best = m.argmin(1)
-                out += [(rows[r][1], others[best[r]][1], int(m[r, best[r]])) for r in np.flatnonzero(m.min(1) < 65_535)]
-            return out
-
-        rows = self.met(meetings, found, "sid long, other long, d long")
-        best = rows.groupBy("sid").agg(F.min(F.struct("d", F.xxhash64("other").alias("h"), "other")).alias("best"))
-        return best.select(F.least("sid", "best.other").alias("a"), F.greatest("sid", "best.other").alias("b")).distinct()
-
     def doubtful(self, meetings: DataFrame) -> DataFrame:
         """(i, j, chunk, sid): the members of two chunks that may link. A pair counts only in the first band that it shares."""
 
@@ -254,13 +239,13 @@ class NearCopies:
 
         links = self.confirmed(self.nearest_hubs(buckets, classes), sets)
         used_up()
-        links = links.union(self.confirmed(self.nearest_apart(self.meetings(buckets, links, classes)), sets))
-        used_up()
-        rest = self.doubtful(self.meetings(buckets, links, classes))
+        joined = cut(components(links).toDF("sid", "comp"))
+        used_up(links)
+        rest = self.doubtful(self.meetings(buckets, joined, classes))
         used_up(buckets, classes)
         more = self.exact.compared(rest.select("i", "j").distinct(), rest.select("sid", "chunk", F.lit(1).alias("w")).distinct(), sets)
-        links = cut(links.union(more.filter("b is not null").select("a", "b")))
-        used_up(sets, rest)
+        links = cut(joined.select(F.col("comp").alias("a"), F.col("sid").alias("b")).union(more.filter("b is not null").select("a", "b")))
+        used_up(sets, rest, joined)
 
         named = least.join(components(links).toDF("sid", "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         low = named.groupBy("comp").agg(F.min("least").alias("component_id"))
