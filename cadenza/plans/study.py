@@ -127,37 +127,35 @@ def _(lib):
     return scoring.metrics(scored.withColumnRenamed("track_id", "item"), ["playlist_id"])
 
 
-def _learners_measured(lib):
-    if "_measured" not in lib.__dict__:
-        scored = selection.score_learners(_held_out(lib), cut(selection.fit_learners(_train(lib))))
-        lib.__dict__["_measured"] = cut(scoring.metrics(scored.withColumnRenamed("track_id", "item").withColumnRenamed("learner", "model"), ["playlist_id", "model"]))
-    return lib.__dict__["_measured"]
+def _learners_measured(lib, kinds):
+    scored = selection.score_learners(_held_out(lib), cut(selection.fit_learners(_train(lib), kinds)))
+    return scoring.metrics(scored.withColumnRenamed("track_id", "item").withColumnRenamed("learner", "model"), ["playlist_id", "model"])
 
 
 @query("j07_learners")
 def _(lib):
     """Five learners for each playlist, on held-out tracks."""
-    return _learners_measured(lib)
+    return _learners_measured(lib, selection.LEARNERS)
 
 
 @query("j09_learner_duel")
 def _(lib):
-    """Boosted trees against a forest over the playlists that both serve, metric by metric."""
-    return scoring.compare(_learners_measured(lib), "playlist_id", "model", "boosted", "forest", ["accuracy", "f1", "roc_auc", "brier", "log_loss"])
+    """A regression against a tree over the playlists that both serve, metric by metric."""
+    return scoring.compare(_learners_measured(lib, ["logistic", "tree"]), "playlist_id", "model", "logistic", "tree", ["accuracy", "f1", "roc_auc", "brier", "log_loss"])
 
 
 @query("j10_learner_metrics")
 def _(lib):
-    """How the metrics of each learner go together over its playlists."""
+    """How the metrics of two learners go together over their playlists."""
     pair = lambda a, b: F.round(F.corr(a, b), 4).alias(f"{a}_{b}")
-    m = _learners_measured(lib)
+    m = _learners_measured(lib, ["logistic", "tree"])
     return m.groupBy("model").agg(F.count("*").alias("playlists"), pair("roc_auc", "f1"), pair("roc_auc", "brier"), pair("f1", "brier"), pair("brier", "log_loss")).filter("playlists >= 3")
 
 
 @query("j13_importances")
 def _(lib):
     """The 15 features that weigh most in each tree learner, the mean over playlists."""
-    found = selection.importances(selection.fit_learners(_train(lib), ["tree", "forest", "boosted"]), rerank.names(GENRES))
+    found = selection.importances(selection.fit_learners(_train(lib), ["tree", "forest"]), rerank.names(GENRES))
     place = F.row_number().over(Window.partitionBy("learner").orderBy(F.desc("weight"), "feature"))
     return found.withColumn("place", place).filter("place <= 15").select("learner", "place", "feature", "groups", F.round("weight", 6).alias("weight"))
 
