@@ -257,3 +257,22 @@ def test_davies_bouldin_and_best_k(spark):
     assert clusters.davies_bouldin(df, "v", "g").first()[0] == pytest.approx(want, abs=1e-6)
     swept = spark.createDataFrame([("k", 2, 1.0, 0.4), ("k", 3, 1.0, 0.6), ("k", 4, 1.0, 0.6)], "algorithm string, k int, cost double, silhouette double")
     assert rows(clusters.best_k(swept)) == [("k", 3, 0.6)]
+
+
+def test_dear_rows_are_made_once(spark):
+    """Metrics and quantiles read their rows several times; what made them must not run again for each."""
+    from cadenza.operators import scoring
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def dear(x):
+        made.add(1)
+        return x
+
+    scored = spark.range(40, numPartitions=2).select(F.lit("a").alias("g"), F.col("id").alias("item"), (F.col("id") % 2).cast("int").alias("label"), dear(F.col("id") / 40).alias("score"))
+    assert scoring.metrics(scored, ["g"]).first()["n"] == 40
+    assert made.value == 40
+    made.value = 0
+    assert quantiles.quantiles(scored.select("g", "score"), ["score"], [0.5], ["g"], few=4).first()["q"] == [19.5 / 40]
+    assert made.value == 40
