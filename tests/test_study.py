@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import calibration, clusters, concordance, features, graph, isolation, learners, profile, quantiles, rerank, retrieval, selection
+from cadenza.operators import calibration, clusters, concordance, features, graph, isolation, learners, profile, quantiles, recommend, rerank, retrieval, selection
 
 
 def rows(df):
@@ -276,3 +276,33 @@ def test_dear_rows_are_made_once(spark):
     made.value = 0
     assert quantiles.quantiles(scored.select("g", "score"), ["score"], [0.5], ["g"], few=4).first()["q"] == [19.5 / 40]
     assert made.value == 40
+
+
+def test_large_groups_take_one_sketch(spark, monkeypatch):
+    """Ranks start from a sketch of all rows, not from the ends of the column; so one round reaches the last few rows."""
+    calls, plain = [], quantiles.cut
+    monkeypatch.setattr(quantiles, "cut", lambda df: calls.append(df.columns) or plain(df))
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("x"))
+    assert quantiles.quantiles(df, ["x"], [0.5], None, few=500).first()["q"] == [9999.5]
+    assert len(calls) <= 6
+
+
+def test_candidates_are_searched_once(spark, monkeypatch):
+    """Marginal relevance needs its candidates twice; the search for them must not run twice."""
+    seen, search = spark.sparkContext.accumulator(0), recommend.similar
+
+    def counted(*args):
+        found = search(*args).select("request_id", "track_id", "score")
+
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return found.mapInArrow(run, found.schema)
+
+    monkeypatch.setattr(recommend, "similar", counted)
+    corpus = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(40)], "track_id long, a double, b double")
+    seeds = corpus.filter("track_id < 3").withColumn("request_id", F.col("track_id"))
+    assert recommend.diverse_similar(corpus, seeds, ["a", "b"], 4, 10).count() == 12
+    assert seen.value == 30
