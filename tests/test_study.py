@@ -2,11 +2,13 @@
 
 import pickle
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.functions import scalars
 from cadenza.operators import calibration, clusters, concordance, features, graph, isolation, learners, profile, quantiles, recommend, rerank, retrieval, selection
 
 
@@ -306,3 +308,11 @@ def test_candidates_are_searched_once(spark, monkeypatch):
     seeds = corpus.filter("track_id < 3").withColumn("request_id", F.col("track_id"))
     assert recommend.diverse_similar(corpus, seeds, ["a", "b"], 4, 10).count() == 12
     assert seen.value == 30
+
+
+def test_rounded_as_the_sql_does(spark):
+    """Spark's own round gives 0.5338 for the first of these."""
+    data = [0.53375, 0.2885, 1.0005, 12.34565, -0.53375, -2.00005, 0.0, 5e-05, 0.49999999999999994, 1e300, None]
+    df = spark.createDataFrame([(x,) for x in data], "x double")
+    got = [r[0] for r in df.select(scalars.rounded(F.col("x"), 4)).collect()]
+    assert got == duckdb.execute("select list(round(x, 4)) from (select unnest($1::double[]) as x)", [data]).fetchone()[0]
