@@ -42,9 +42,8 @@ def _(lib):
     """Five numbers of popularity for each playlist and decade."""
     rows = lib.members.join(_decades(lib).filter("decade is not null and popularity is not null").select("track_id", "decade", "popularity"), "track_id")
     by = ["playlist_id", "decade"]
-    numbers = quantiles.quantiles(rows, ["popularity"], [0.0, 0.25, 0.5, 0.75, 1.0], by)
-    named = zip(("low", "q1", "q2", "q3", "high"), range(5), strict=True)
-    return numbers.join(rows.groupBy(*by).agg(F.count("*").alias("n")), by).select(*by, "n", *(F.round(F.col("q")[i], 6).alias(c) for c, i in named))
+    numbers = quantiles.counted_quantiles(rows.groupBy(*by, "popularity").agg(F.count("*").alias("n")), "popularity", [0.0, 0.25, 0.5, 0.75, 1.0], by)
+    return numbers.select(*by, "n", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("low", "q1", "q2", "q3", "high"))))
 
 
 @query("k24_map_health", "select count(*) filter (where gen_4 is not null) as mapped, count(*) filter (where gen_4 is null and first_genre is not null) as unmapped, count(*) filter (where first_genre is null) as none, round(count(*) filter (where gen_4 is not null) * 100 / count(*), 4) as mapped_pct from track_genre")

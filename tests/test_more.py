@@ -88,3 +88,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,n\n1,NA\n")
     (tmp_path / "b.csv").write_text("n,id,m\n3,2,z\n")
     assert {r["id"]: (r["n"], r["m"]) for r in files.csv_tables(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()} == {"1": (None, None), "2": ("3", "z")}
+
+
+def test_quantiles_from_counts_equal_those_of_rows(spark):
+    from cadenza.operators import quantiles
+
+    data = [(g, float(v)) for g, values in (("a", [5, 1, 1, 2, 5, 9, 9, 9]), ("b", [3]), ("c", [7, 7, 2]), (None, [1, 4])) for v in values]
+    df, shares = spark.createDataFrame(data, "g string, v double"), [0.0, 0.25, 0.5, 0.75, 1.0]
+    counted = quantiles.counted_quantiles(df.groupBy("g", "v").count().withColumnRenamed("count", "n"), "v", shares, ["g"]).collect()
+    plain = {r["g"]: r["q"] for r in quantiles.quantiles(df, ["v"], shares, ["g"]).collect()}
+    assert {r["g"]: r["q"] for r in counted} == plain and {r["g"]: r["n"] for r in counted} == {"a": 8, "b": 1, "c": 3, None: 2}
