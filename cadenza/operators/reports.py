@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
+from .quantiles import MOST, quantiles
+from .storage import cut
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
@@ -32,12 +33,16 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def centroid_outliers(rows: DataFrame, by: str, columns: list[str], share: float = 0.95) -> DataFrame:
     """Distance of each row from its group's mean in standard deviations, and whether it lies beyond the group's `share` quantile.
-    Missing values add nothing; a deviation below 1e-9 counts as 1e-9. Groups are aggregated and joined, never held whole."""
+    Missing values add nothing; a deviation below 1e-9 counts as 1e-9. Groups are aggregated and joined, never held whole. rows are read
+    twice; what is written is distances without the columns. Returns the rows' other columns, distance and is_outlier."""
     stats = rows.groupBy(by).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns))
     z = [F.coalesce(F.pow((F.col(c) - F.col(f"m_{c}")) / F.greatest(F.coalesce(f"s_{c}", F.lit(0.0)), F.lit(1e-9)), 2), F.lit(0.0)) for c in columns]
-    scored = rows.join(stats, by).withColumn("distance", F.round(F.sqrt(reduce(lambda a, b: a + b, z)), 6))
-    limit = quantiles(scored, ["distance"], [share], [by]).select(by, F.col("q")[0].alias("limit"))
-    return scored.join(limit, by).withColumn("is_outlier", F.col("distance") > F.col("limit")).select(*rows.columns, "distance", "is_outlier")
+    kept = [c for c in rows.columns if c not in columns]
+    stats = cut(stats)
+    small = F.broadcast if stats.count() <= MOST else lambda df: df  # so that rows don't travel with all their columns
+    scored = cut(rows.join(small(stats), by).select(*kept, F.round(F.sqrt(reduce(lambda a, b: a + b, z)), 6).alias("distance")))
+    limit = quantiles(scored, ["distance"], [share], [by], written=True).select(by, F.col("q")[0].alias("limit"))
+    return scored.join(small(limit), by).select(*kept, "distance", (F.col("distance") > F.col("limit")).alias("is_outlier"))
 
 
 def share_pivot(rows: DataFrame, by: str, value: str, values: list[str]) -> DataFrame:

@@ -98,3 +98,12 @@ def test_quantiles_from_counts_equal_those_of_rows(spark):
     counted = quantiles.counted_quantiles(df.groupBy("g", "v").count().withColumnRenamed("count", "n"), "v", shares, ["g"]).collect()
     plain = {r["g"]: r["q"] for r in quantiles.quantiles(df, ["v"], shares, ["g"]).collect()}
     assert {r["g"]: r["q"] for r in counted} == plain and {r["g"]: r["n"] for r in counted} == {"a": 8, "b": 1, "c": 3, None: 2}
+
+
+def test_outliers_leave_their_columns_behind(spark):
+    from cadenza.operators import reports
+
+    df = spark.createDataFrame([("a", i, float(i % 7), 1.0) for i in range(40)] + [("a", 40, 900.0, None), ("b", 1, 2.0, 2.0)], "g string, track_id long, x double, y double")
+    found = reports.centroid_outliers(df, "g", ["x", "y"])
+    assert found.columns == ["g", "track_id", "distance", "is_outlier"] and found.count() == 42
+    assert {r["track_id"] for r in found.filter("is_outlier and distance > 5").collect()} == {40}
