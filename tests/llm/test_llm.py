@@ -609,3 +609,20 @@ def test_pipeline(spark, docs, tmp_path):
     least = {i for i, _, c, _ in brute_components(list(last.values()), 5, 4, 5) if i is None or i == c}
     assert kept == sorted(map(str, least))
     assert {str(r["doc_id"]) for r in p.run(spark, str(tmp_path)).collect()} == set(kept)
+
+
+def test_line_dedup_in_parts(spark, monkeypatch):
+    """Joined in parts the result is the same, and what the parts need is off the disk after them."""
+    words = [f"w{i}" for i in range(60)]
+    rng = np.random.default_rng(12)
+    lines = []
+    for _ in range(40):
+        base = [words[i] for i in rng.choice(60, 12, replace=False)]
+        lines += [" ".join(base), " ".join([*base[:11], "odd"]), " ".join(base[:10])]
+    df = spark.createDataFrame([(i, "\n".join(lines[j] for j in rng.integers(0, len(lines), 4))) for i in range(80)], "doc_id long, text string").repartition(3)
+    want = sorted(line_dedup.repeated_lines(df).collect())
+    sizes, plain = [], line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "SMALL", 0)
+    monkeypatch.setattr(line_dedup, "candidates", lambda rows: sizes.append(rows.count()) or plain(rows))
+    assert sorted(line_dedup.repeated_lines(df).collect()) == want and any(r["n_removed"] for r in want)
+    assert len(sizes) == line_dedup.PARTS and max(sizes) < 0.5 * sum(sizes)
